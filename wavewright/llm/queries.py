@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
-from .common import read
+from . import bpe, simhash, token_cache
+from .common import read, shared_dir
 
 
 def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +23,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document. The cache starts empty, so each distinct text is
+    encoded once; a production caller passes a lasting folder."""
+    cache = f"{shared_dir(spark)}/token_cache/{uuid.uuid4().hex}"
+    return token_cache.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache, limit=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_bktree": op1_simhash_bktree,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_token_counts": op6_token_counts,
 }
 
 #: The rest cannot be expressed in SQL; tests/llm hold them against brute force.
