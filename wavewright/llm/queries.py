@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_topk, simhash, token_cache
+from . import ann, bpe, exact_topk, quality, simhash, token_cache
 from .common import read, shared_dir
 
 
@@ -28,6 +28,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document. The cache starts empty, so each distinct text is
     encoded once; a production caller passes a lasting folder."""
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_bktree": op1_simhash_bktree,
     "op3_learned_partitions": op3_learned_partitions,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_rule_ensemble": op5_rule_ensemble,
     "op6_token_counts": op6_token_counts,
     "op8_exact_topk": op8_exact_topk,
 }
