@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_topk, quality, simhash, token_cache
+from . import ann, bpe, exact_topk, langid, quality, simhash, token_cache
 from .common import read, shared_dir
 
 
@@ -40,6 +40,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache, limit=4096)
 
 
+def op7_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of every document."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: 5 highest integer inner products of each vector whose id 50 divides."""
     return exact_topk.exact_top_k(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5, scale=256.0)
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_token_counts": op6_token_counts,
+    "op7_centroids": op7_centroids,
     "op8_exact_topk": op8_exact_topk,
 }
 
