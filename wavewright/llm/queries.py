@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_topk, langid, quality, simhash, token_cache
+from . import ann, bpe, exact_topk, html_wrapper, langid, quality, simhash, token_cache
 from .common import read, shared_dir
 
 
@@ -17,6 +17,11 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), radius=3)
 
 
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return html_wrapper.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: 5 nearest found by cosine of each vector whose id 50 divides."""
     return ann.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
@@ -52,6 +57,7 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_bktree": op1_simhash_bktree,
+    "op2_wrapper_induction": op2_wrapper_induction,
     "op3_learned_partitions": op3_learned_partitions,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_rule_ensemble": op5_rule_ensemble,
