@@ -46,9 +46,10 @@ def _pack_blocks(rows: DataFrame, block: str, n: int) -> DataFrame:
     """(block, dim, ids, data): the vectors of a block and length in one row; n partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         for d, part in by_length(table):
             block_of, m, ids = part["block"].to_numpy(), matrix(part["v"]), part["vec_id"].to_numpy()
             for b in np.unique(block_of):
