@@ -120,9 +120,10 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _spanning_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows (shard, node, fp, role) of whole shards -> links (u, v); role 1 only stands in the tree, 2 only
     probes, 0 does both."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    table = pa.Table.from_batches(batches)
     shard = np.unique(table["shard"].to_numpy(), return_inverse=True)[1]
     node, fps, role = table["node"].to_numpy(), table["fp"].to_numpy().view(np.uint64), table["role"].to_numpy()
     trees, probes = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
