@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_topk, html_wrapper, langid, quality, simhash, token_cache
+from . import ann, bpe, chat_quotes, exact_topk, html_wrapper, langid, packing, quality, simhash, token_cache
 from .common import read, shared_dir
 
 
@@ -55,6 +55,16 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_top_k(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5, scale=256.0)
 
 
+def op9_variable_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every piece of every document, by piece_bpe_32k tokens."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, with its thread."""
+    return chat_quotes.format_conversations(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_bktree": op1_simhash_bktree,
     "op2_wrapper_induction": op2_wrapper_induction,
@@ -64,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_centroids": op7_centroids,
     "op8_exact_topk": op8_exact_topk,
+    "op9_variable_bins": op9_variable_bins,
+    "op10_quotation_linking": op10_quotation_linking,
 }
 
 #: The rest cannot be expressed in SQL; tests/llm hold them against brute force.
