@@ -1,0 +1,72 @@
+"""Composite runs over one window or many: prepare, denoise, score, compare, decide."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import kernels
+from ..operators import controller as ct
+from ..operators import cues, filters, metrics, scorers, validate, windows
+
+
+def analyse_windows(df: DataFrame, keys: list[str], controller: ct.Controller, repair: str = "median_w3") -> DataFrame:
+    """Packed windows (observation) -> classical and repair traces, the routed and projected decision."""
+    out = df
+    for name, method in (("classical", "moving_average_w9"), ("repair", repair)):
+        out = scorers.filter_packed(out, scorers.METHODS[method], "observation", name)
+    return ct.run_hybrid(out, keys, controller)
+
+
+def inference(df: DataFrame, keys: list[str], generator, passes: int, values: str = "values") -> DataFrame:
+    """Normalise, run a stochastic generator ``passes`` times (generator(x, seed) -> x), take the pointwise median,
+    restore: (keys, output, mad), packed."""
+    import pandas as pd
+
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for x in pdf[values]:
+                a = np.asarray(x, np.float64)
+                centre, scale = float(np.median(a)), kernels.robust_scale(a)
+                draws = np.stack([generator((a - centre) / scale, k) for k in range(passes)])
+                mid = np.median(draws, axis=0)
+                rows.append((mid * scale + centre, np.median(np.abs(draws - mid), axis=0)))
+            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(rows, columns=["output", "mad"])], axis=1)
+
+    return df.select(*keys, values).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", output array<double>, mad array<double>")
+
+
+def replay_analysis(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Long replay samples (reference, output, label, scale) by method: errors as the replay view shows them."""
+    return metrics.os_nrmse(samples, keys, "reference", "output", F.col("label"))
+
+
+def live_cues(samples: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Concern cues with the live settings, and their intervals."""
+    found = cues.concern(samples, keys, cues.LIVE)
+    return found, cues.concern_intervals(found, keys)
+
+
+def request_window(samples: DataFrame, keys: list[str], start: int, length: int) -> DataFrame:
+    """Samples of a request's window, held inside 64 to 2048 samples and the series."""
+    sizes = windows.clamp_request(samples.groupBy(*keys).agg(F.count("*").alias("n")), F.lit(start), F.lit(length))
+    return samples.join(sizes, keys).where((F.col("t") >= F.col("window_start")) & (F.col("t") < F.col("window_start") + F.col("window_length")))
+
+
+def automatic_payload(decisions: DataFrame, eligible: DataFrame, keys: list[str]) -> DataFrame:
+    """Decisions with what a response shows: the certificate where the request is eligible, review only elsewhere."""
+    rows = decisions.join(eligible.select(*keys, "eligible", "reason"), keys, "left")
+    ok = F.coalesce("eligible", F.lit(False))
+    return rows.withColumn("certificate", F.when(ok, F.struct(F.col("status"), F.col("decision"))).otherwise(F.struct(F.lit("review_only").alias("status"), F.lit(None).cast("string").alias("decision")))).withColumn("mode", F.when(ok, "automatic").otherwise("review_only"))
+
+
+def moving_candidate(samples: DataFrame, keys: list[str], width: int = 9) -> DataFrame:
+    return filters.moving_average(samples, keys, width, "reflect_odd", "observation", "candidate")
+
+
+def checked_upload(samples: DataFrame) -> DataFrame:
+    return validate.require_valid(samples, ["series_id"], "signal", constant_ok=False)
