@@ -8,11 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip01
+from ..functions.columns import clip01, in_order
 from ..functions.errors import AuditError
 from . import filters, metrics
 from . import intervals as iv
-from .sets import nearest_match
 
 
 @dataclass(frozen=True)
@@ -44,26 +43,28 @@ LIVE = CueSettings(score_weight=0.625, morphology_weight=0.375, uncertainty_weig
 
 def morphology(df: DataFrame, keys: list[str], observation: str = "observation", candidate: str = "candidate", radius: int = 8, order: str = "t") -> DataFrame:
     """Samples with ``morphology`` in [0, 1]: amplitude change, and triangles around extrema that moved, changed,
-    vanished or appeared."""
-    sized = df.join(filters.scales(df, keys, observation).drop("center"), keys)
-    smooth = filters.moving_average(sized, keys, 5, "edge", observation, "__so", order)
-    smooth = filters.moving_average(smooth, keys, 5, "edge", candidate, "__sc", order)
-    old = iv.local_extrema(smooth, keys, "__so", F.col("scale"), order).select(*keys, order, "polarity")
-    new = iv.local_extrema(smooth, keys, "__sc", F.col("scale"), order).select(*keys, order, "polarity")
-    matched = nearest_match(old, new, keys, radius, at=order)
-    at_old = sized.select(*keys, order, F.col(observation).alias("__o"), "scale")
-    at_new = sized.select(*keys, F.col(order).alias("match_t"), F.col(candidate).alias("__c"))
-    changes = matched.join(at_old, [*keys, order]).join(at_new, [*keys, "match_t"], "left")
-    amplitude = F.least(F.abs(F.col("__c") - F.col("__o")) / F.col("scale"), F.lit(1.0))
-    height = F.when(F.col("match_t").isNull(), 1.0).otherwise(0.55 * amplitude + 0.45 * F.col("distance") / radius)
-    peaks = changes.select(*keys, F.col(order).alias("center"), height.alias("height"))
-    # an extremum of the candidate with none of the observation near it, of either kind
-    near_old = nearest_match(new.withColumn("__any", F.lit(1)), old.withColumn("__any", F.lit(1)), keys, radius, "__any", order)
-    taken = matched.where("match_t is not null").select(*keys, F.col("match_t").alias(order)).distinct().withColumn("__taken", F.lit(True))
-    fresh = near_old.where("match_t is null").join(taken, [*keys, order], "left_anti").select(*keys, F.col(order).alias("center"), F.lit(0.8).alias("height"))
-    spread = iv.spread_peaks(sized, peaks.unionByName(fresh), keys, radius, "__peak", order)
-    base = 0.2 * clip01(F.abs(F.col(candidate) - F.col(observation)) / F.col("scale"))
-    return spread.withColumn("morphology", clip01(F.greatest(base, F.col("__peak")))).drop("__peak", "scale")
+    vanished or appeared. Matches are looked up in a frame of the radius around each sample, so the samples are
+    dealt by their window once and nothing is joined."""
+    t, around = F.col(order), in_order(keys, order).rangeBetween(-radius, radius)
+    out = filters.with_scale(df, keys, observation, "__scale")
+    for src, name in ((observation, "__so"), (candidate, "__sc")):
+        out = filters.moving_average(out, keys, 5, "edge", src, name, order)
+    out = out.withColumn("__po", iv.polarity(keys, "__so", F.col("__scale"), order)).withColumn("__pc", iv.polarity(keys, "__sc", F.col("__scale"), order))
+    there = F.collect_list(F.when(F.col("__pc").isNotNull(), F.struct(t.alias("at"), F.col("__pc").alias("kind"), F.col(candidate).alias("c")))).over(around)
+    out = out.withColumn("__there", there)
+    same = F.filter("__there", lambda x: x["kind"] == F.col("__po"))
+    best = F.array_min(F.transform(same, lambda x: F.struct(F.abs(x["at"] - t).alias("d"), x["at"].alias("at"), x["c"].alias("c"))))
+    out = out.withColumn("__match", F.when(F.col("__po").isNotNull(), best))
+    amplitude = F.least(F.abs(F.col("__match.c") - F.col(observation)) / F.col("__scale"), F.lit(1.0))
+    old = F.when(F.col("__po").isNotNull(), F.when(F.col("__match").isNull(), 1.0).otherwise(0.55 * amplitude + 0.45 * F.col("__match.d") / radius))
+    out = out.withColumn("__taken", F.collect_list("__match.at").over(around)).withColumn("__near", F.count("__po").over(around) > 0)
+    new = F.when(F.col("__pc").isNotNull() & ~F.array_contains("__taken", t) & ~F.col("__near"), 0.8)  # an extremum of the candidate alone
+    out = out.withColumn("__height", F.greatest(old, new))
+    peaks = F.collect_list(F.when(F.col("__height").isNotNull(), F.struct(t.alias("at"), F.col("__height").alias("h")))).over(around)
+    out = out.withColumn("__peaks", peaks)
+    spread = F.aggregate("__peaks", F.lit(0.0), lambda acc, x: F.greatest(acc, x["h"] * (1.0 - F.abs(x["at"] - t) / (radius + 1))))
+    base = 0.2 * clip01(F.abs(F.col(candidate) - F.col(observation)) / F.col("__scale"))
+    return out.withColumn("morphology", clip01(F.greatest(base, spread))).drop("__scale", "__so", "__sc", "__po", "__pc", "__there", "__match", "__taken", "__near", "__height", "__peaks")
 
 
 def concern(df: DataFrame, keys: list[str], settings: CueSettings | None = None, order: str = "t") -> DataFrame:
@@ -86,9 +87,8 @@ def concern(df: DataFrame, keys: list[str], settings: CueSettings | None = None,
 def concern_intervals(df: DataFrame, keys: list[str], order: str = "t") -> DataFrame:
     """(keys, start, end, peak, mean, dominant_cue, level) of runs above low."""
     cue = {"score change": "score_change", "morphology": "morphology", "stochastic disagreement": "uncertainty"}
-    runs = metrics.interval_summary(df, keys, F.col("level") != "low", "concern", cue, order)
-    high = metrics.event_hits(df, runs.select(*keys, "start", "end"), keys, {"high": F.col("level") == "high"}, order)
-    return runs.join(high, [*keys, "start", "end"]).withColumn("level", F.when(F.col("high"), "high").otherwise("medium")).drop("high")
+    runs = metrics.interval_summary(df, keys, F.col("level") != "low", "concern", cue, order, {"__high": F.bool_or(F.col("level") == "high")})
+    return runs.withColumn("level", F.when(F.col("__high"), "high").otherwise("medium")).drop("__high")
 
 
 def replay_cues(df: DataFrame, threshold: float, scale: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import in_order, robust_scale
+from ..functions.columns import in_order, robust_scale, whole
 
 
 def scales(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -13,6 +13,14 @@ def scales(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     return df.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.5)").alias("center"), robust_scale(value).alias("scale"))
 
 
+def with_scale(df: DataFrame, keys: list[str], value: str = "value", name: str = "scale") -> DataFrame:
+    """Samples with the robust scale of their window: a window aggregate, so the samples are not joined to
+    themselves."""
+    w = whole(keys)
+    quartile = lambda p: F.expr(f"percentile({value}, {p})").over(w)
+    return df.withColumn(name, F.greatest((quartile(0.75) - quartile(0.25)) / 1.349, F.stddev_pop(value).over(w), F.lit(1e-4)))
+
+
 def normalise(df: DataFrame, keys: list[str], columns: list[str], by: str) -> DataFrame:
     """Columns (v - center) / scale, with the statistics of column ``by``; center and scale stay for restoring."""
     out = df.join(scales(df, keys, by), keys)
@@ -33,7 +41,8 @@ def median3(df: DataFrame, keys: list[str], value: str = "value", name: str = "f
 def moving_average(df: DataFrame, keys: list[str], width: int, pad: str, value: str = "value", name: str = "filtered", order: str = "t") -> DataFrame:
     """Centred mean over dense samples 0..n-1. pad ``edge``: the ends are repeated, even widths shrink by one;
     ``reflect``: mirrored without the end sample, even widths shrink by one; ``reflect_odd``: mirrored, even widths
-    grow by one, at least 3. Missing neighbours come from rows added beyond the ends, so one window does all.
+    grow by one, at least 3. Samples near an end also stand in for their images beyond it, in one pass: the
+    samples are dealt once and never joined to themselves.
     """
     if pad == "reflect_odd":
         width = max(3, width | 1)
@@ -42,18 +51,15 @@ def moving_average(df: DataFrame, keys: list[str], width: int, pad: str, value:
     half = width // 2
     if half < 1:
         return df.withColumn(name, F.col(value).cast("double"))
-    t = F.col(order)
-    sized = df.join(df.groupBy(*keys).agg(F.max(order).alias("__last")), keys)
-    steps = F.explode(F.expr(f"sequence(1, {half})")).alias("__d")
+    t, last, none = F.col(order), F.col("__last"), F.expr(f"cast(array() as array<{dict(df.dtypes)[order]}>)")
     if pad == "edge":
-        left = sized.where(t == 0).select(*keys, value, steps).select(*keys, (-F.col("__d")).alias(order), value)
-        right = sized.where(t == F.col("__last")).select(*keys, value, "__last", steps).select(*keys, (F.col("__last") + F.col("__d")).alias(order), value)
+        left = F.when(t == 0, F.expr(f"transform(sequence(1, {half}), d -> cast(-d as {dict(df.dtypes)[order]}))")).otherwise(none)
+        right = F.when(t == last, F.expr(f"transform(sequence(1, {half}), d -> cast({order} + d as {dict(df.dtypes)[order]}))")).otherwise(none)
     else:
-        left = sized.where(t.between(1, half)).select(*keys, (-t).alias(order), value)
-        right = sized.where((t < F.col("__last")) & (t >= F.col("__last") - half)).select(*keys, (2 * F.col("__last") - t).alias(order), value)
-    ends = left.unionByName(right).withColumn("__end", F.lit(True))
-    joined = df.withColumn("__end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
-    return joined.withColumn(name, F.avg(value).over(in_order(keys, order).rangeBetween(-half, half))).where("not __end").drop("__end")
+        left = F.when(t.between(1, half), F.array(-t)).otherwise(none)
+        right = F.when((t < last) & (t >= last - half), F.array(2 * last - t)).otherwise(none)
+    spread = df.withColumn("__last", F.max(order).over(whole(keys))).withColumn("__at", F.explode(F.concat(F.array(t), left, right)))
+    return spread.withColumn(name, F.avg(value).over(in_order(keys, "__at").rangeBetween(-half, half))).where(F.col("__at") == t).drop("__at", "__last")
 
 
 def blend(df: DataFrame, observation: str, candidate: str, beta: Column, name: str = "output") -> DataFrame:

@@ -155,13 +155,17 @@ def components(df: DataFrame, keys: list[str], flag: Column, score: str = "score
     )
 
 
-def local_extrema(df: DataFrame, keys: list[str], value: str, scale: Column, order: str = "t") -> DataFrame:
-    """(keys, t, value, polarity): samples that rise by more than a floor of 0.01 scale and then fall by at least
-    it (+1), or the reverse (-1); the first and last sample are none."""
+def polarity(keys: list[str], value: str, scale: Column, order: str = "t") -> Column:
+    """+1 where a sample rises by more than a floor of 0.01 scale and then falls by at least it, -1 for the reverse,
+    else null; the first and last sample are neither."""
     w = in_order(keys, order)
     left, right, floor = F.col(value) - F.lag(value).over(w), F.lead(value).over(w) - F.col(value), 0.01 * scale
-    kind = F.when((left > floor) & (right <= -floor), 1).when((left < -floor) & (right >= floor), -1)
-    return df.withColumn("polarity", kind).where("polarity is not null").select(*keys, order, value, "polarity")
+    return F.when((left > floor) & (right <= -floor), 1).when((left < -floor) & (right >= floor), -1)
+
+
+def local_extrema(df: DataFrame, keys: list[str], value: str, scale: Column, order: str = "t") -> DataFrame:
+    """(keys, t, value, polarity) of local extrema."""
+    return df.withColumn("polarity", polarity(keys, value, scale, order)).where("polarity is not null").select(*keys, order, value, "polarity")
 
 
 def spread_peaks(df: DataFrame, peaks: DataFrame, keys: list[str], radius: int, name: str = "spread", order: str = "t") -> DataFrame:

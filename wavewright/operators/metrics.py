@@ -238,13 +238,14 @@ def routing_fractions(df: DataFrame, keys: list[str], weight: str = "weight") ->
     return df.groupBy(*keys).agg(share(w == 1).alias("repair_fraction"), share((w > 0) & (w < 1)).alias("halo_fraction"), share(w == 0).alias("classical_fraction"), F.avg(w).alias("mean_weight"))
 
 
-def interval_summary(df: DataFrame, keys: list[str], active: Column, value: str, cues: dict[str, str], order: str = "t") -> DataFrame:
-    """Runs of active samples with peak, mean and the cue whose mean is largest (the first of equals)."""
+def interval_summary(df: DataFrame, keys: list[str], active: Column, value: str, cues: dict[str, str], order: str = "t", more: dict[str, Column] | None = None) -> DataFrame:
+    """Runs of active samples with peak, mean, the cue whose mean is largest (the first of equals), and further
+    aggregates."""
     run = F.col(order) - F.row_number().over(in_order(keys, order))
     on = df.where(active).withColumn("__run", run)
     means = {n: F.avg(c) for n, c in cues.items()}
     out = on.groupBy(*keys, "__run").agg(
-        F.min(order).alias("start"), (F.max(order) + 1).alias("end"), F.max(value).alias("peak"), F.avg(value).alias("mean"), *(m.alias(f"__m_{i}") for i, m in enumerate(means.values()))
+        F.min(order).alias("start"), (F.max(order) + 1).alias("end"), F.max(value).alias("peak"), F.avg(value).alias("mean"), *(m.alias(f"__m_{i}") for i, m in enumerate(means.values())), *(c.alias(n) for n, c in (more or {}).items())
     )
     top = F.greatest(*(F.col(f"__m_{i}") for i in range(len(cues))))
     dominant = F.coalesce(*(F.when(F.col(f"__m_{i}") >= top, F.lit(n)) for i, n in enumerate(cues)))
