@@ -55,8 +55,8 @@ def merge_buffered(events: DataFrame, keys: list[str], buffer: int, length: Colu
     return out.select(*keys, F.greatest("start", F.lit(0)).alias("start"), (F.least("end", "__n") - 1).alias("stop"))
 
 
-def _distances(df: DataFrame, events: DataFrame, keys: list[str], reach: int, order: str) -> DataFrame:
-    """Samples outside an event and at most ``reach`` from it: (keys, t, distance). Made from the events outward, so
+def distances(events: DataFrame, keys: list[str], reach: int, order: str) -> DataFrame:
+    """Places outside an event and at most ``reach`` from it: (keys, t, distance). Made from the events outward, so
     no pair of sample and event is tried in vain."""
     steps = F.explode(F.expr(f"sequence(1, {reach})")).alias("distance")
     sides = events.select(*keys, "start", "end", steps)
@@ -71,7 +71,7 @@ def extend_labels(df: DataFrame, keys: list[str], label: Column, buffer: int, or
     base = F.coalesce(label.cast("double"), F.lit(0.0))
     if buffer // 2 < 1:
         return df.withColumn("extended", base)
-    near = _distances(df, islands(df, keys, label, order), keys, buffer // 2, order)
+    near = distances(islands(df, keys, label, order), keys, buffer // 2, order)
     ramp = near.groupBy(*keys, order).agg(F.sum(F.sqrt(1.0 - F.col("distance") / buffer)).alias("__ramp"))
     return df.join(ramp, [*keys, order], "left").withColumn("extended", F.least(F.lit(1.0), base + F.coalesce("__ramp", F.lit(0.0)))).drop("__ramp")
 
@@ -81,7 +81,7 @@ def soft_labels(df: DataFrame, keys: list[str], label: Column, tolerance: int, o
     base = F.coalesce(label.cast("double"), F.lit(0.0))
     if tolerance < 1:
         return df.withColumn("soft", base)
-    near = _distances(df, islands(df, keys, label, order), keys, tolerance, order)
+    near = distances(islands(df, keys, label, order), keys, tolerance, order)
     best = near.groupBy(*keys, order).agg(F.max(1.0 - F.col("distance") / (tolerance + 1.0)).alias("__soft"))
     return df.join(best, [*keys, order], "left").withColumn("soft", F.greatest(base, F.coalesce("__soft", F.lit(0.0)))).drop("__soft")
 

@@ -109,52 +109,54 @@ def mean_over_tolerances(aps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def vus_pr(df: DataFrame, keys: list[str], label: str, score: str, max_buffer: int, thresholds: int = 250, order: str = "t") -> DataFrame:
-    """(keys, vus_pr): range-aware area under precision and recall, averaged over buffers 0..max_buffer.
+    """(keys, vus_pr, n_buffers): range-aware area under precision and recall, averaged over buffers 0..max_buffer.
 
     Sums over thresholds are cumulative: each sample counts from the first threshold that it reaches, so the
     work is buffers x samples, never buffers x thresholds x samples. Keys without labels, or with labels only,
     give no row.
     """
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), order)) - 1)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum(F.col(label).cast("int")).alias("__p")).where("__p > 0 and __p < __n")
-    steps = sizes.select(*keys, "__n", "__p", F.explode(F.expr(f"sequence(0, {thresholds - 1})")).alias("k"))
-    steps = steps.withColumn("__r", F.floor(F.col("k") * ((F.col("__n") - 1) / (thresholds - 1))).cast("int"))
-    at = steps.join(ranked.select(*keys, "__r", F.col(score).alias("__s")), [*keys, "__r"]).select(*keys, "k", "__s", "__n", "__p")
-    # the first threshold, in descending order, that each sample reaches
-    levels = at.groupBy(*keys, "__s").agg(F.min("k").alias("k"))
-    both = df.select(*keys, order, F.col(score).alias("__s"), F.lit(None).cast("int").alias("k")).unionByName(levels.withColumn(order, F.lit(None).cast("long")))
-    below = F.min("k").over(Window.partitionBy(*keys).orderBy(F.desc("__s")).rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    reach = both.withColumn("k", F.when(F.col("k").isNotNull(), F.col("k")).otherwise(below)).where(f"{order} is not null").select(*keys, order, "k")
-    events = iv.islands_inclusive(df, keys, F.col(label), order)
-    parts = []
-    for b in range(max_buffer + 1):
-        ext = iv.extend_labels(df, keys, F.col(label), b, order).select(*keys, order, F.col(label).cast("int").alias("__l"), "extended")
-        parts.append(ext.withColumn("b", F.lit(b)))
-    samples = parts[0]
-    for p in parts[1:]:
-        samples = samples.unionByName(p)
-    samples = samples.join(reach, [*keys, order])
-    mass = samples.groupBy(*keys, "b", "k").agg(F.sum("extended").alias("tp"), F.sum(F.when(F.col("__l") == 0, F.col("extended")).otherwise(0.0)).alias("wide"), F.count("*").alias("pred"))
-    merged = []
-    joined = events.join(sizes.select(*keys, "__n"), keys)
-    for b in range(max_buffer + 1):
-        merged.append(iv.merge_buffered(joined, keys, b, F.col("__n")).withColumn("b", F.lit(b)))
-    extents = merged[0]
-    for m in merged[1:]:
-        extents = extents.unionByName(m)
-    points = extents.select(*keys, "b", "start", F.explode(F.expr("sequence(start, stop)")).alias(order))
-    met = points.join(reach, [*keys, order]).groupBy(*keys, "b", "start").agg(F.min("k").alias("k"))
-    met = met.groupBy(*keys, "b", "k").agg(F.count("*").alias("hit"))
-    counts = extents.groupBy(*keys, "b").agg(F.count("*").alias("events"))
-    grid = at.select(*keys, "k", "__p").join(counts, keys)
-    grid = grid.join(mass, [*keys, "b", "k"], "left").join(met, [*keys, "b", "k"], "left").na.fill(0)
-    upto = Window.partitionBy(*keys, "b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    run = grid.select(*keys, "b", "k", "__p", "events", *(F.sum(c).over(upto).alias(c) for c in ("tp", "wide", "pred", "hit")))
-    recall = F.least(F.lit(1.0), F.col("tp") / ((2 * F.col("__p") + F.col("wide")) / 2.0))
-    run = run.withColumn("tpr", recall * F.col("hit") / F.col("events")).withColumn("precision", F.col("tp") / F.col("pred"))
-    step = F.col("tpr") - F.coalesce(F.lag("tpr").over(Window.partitionBy(*keys, "b").orderBy("k")), F.lit(0.0))
-    areas = run.withColumn("__a", step * F.col("precision")).groupBy(*keys, "b").agg(F.sum("__a").alias("area"))
-    return areas.groupBy(*keys).agg(F.avg("area").alias("vus_pr"), F.count("*").alias("n_buffers"))
+    kb, kbt = [*keys, "__buffer"], [*keys, "__buffer", "__k"]
+    down = Window.partitionBy(*keys).orderBy(F.desc("__s"), order)
+    base = df.select(*keys, order, F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("__l"), F.col(score).alias("__s"))
+    ranked = base.withColumn("__r", F.row_number().over(down) - 1)
+    sizes = base.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum("__l").alias("__p")).where("__p > 0 and __p < __n")
+    steps = sizes.select(*keys, "__n", "__p", F.explode(F.expr(f"sequence(0, {thresholds - 1})")).alias("__k"))
+    steps = steps.withColumn("__r", F.floor(F.col("__k") * ((F.col("__n") - 1) / (thresholds - 1))).cast("int"))
+    at = steps.join(ranked.select(*keys, "__r", "__s"), [*keys, "__r"]).select(*keys, "__k", "__s", "__p")
+    # the first threshold, in descending order, that each sample reaches: the least one at or below its score
+    levels = at.groupBy(*keys, "__s").agg(F.min("__k").alias("__k"))
+    both = base.select(*keys, order, "__l", "__s").unionByName(levels, allowMissingColumns=True)
+    below = F.min("__k").over(Window.partitionBy(*keys).orderBy(F.desc("__s")).rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    reach = both.withColumn("__k", below).where(F.col(order).isNotNull()).select(*keys, order, "__l", "__k")
+
+    events = iv.islands(base, keys, F.col("__l") == 1, order)
+    every = F.explode(F.expr(f"sequence(0, {max_buffer})")).alias("__buffer")
+    samples = reach.join(sizes.select(*keys), keys).select(*keys, order, "__l", "__k", every)
+    if max_buffer >= 2:
+        near = iv.distances(events, keys, max_buffer // 2, order)
+        near = near.withColumn("__buffer", F.explode(F.expr(f"sequence(2 * distance, {max_buffer})")))
+        ramp = near.groupBy(*kb, order).agg(F.sum(F.sqrt(1.0 - F.col("distance") / F.col("__buffer"))).alias("__ramp"))
+        samples = samples.join(ramp, [*kb, order], "left")
+    else:
+        samples = samples.withColumn("__ramp", F.lit(0.0))
+    samples = samples.withColumn("__e", F.least(F.lit(1.0), F.col("__l") + F.coalesce("__ramp", F.lit(0.0))))
+    mass = samples.groupBy(*kbt).agg(F.sum("__e").alias("__tp"), F.sum(F.when(F.col("__l") == 0, F.col("__e")).otherwise(0.0)).alias("__wide"), F.count("*").alias("__pred"))
+
+    wide = events.select(*keys, "start", "end", every)
+    half = F.expr("__buffer div 2")
+    extents = iv.merge(wide.select(*kb, (F.col("start") - half).alias("start"), (F.col("end") + half).alias("end")), kb, gap=-1)
+    points = extents.select(*kb, "start", F.explode(F.expr("sequence(start, end - 1)")).alias(order))
+    met = points.join(reach.select(*keys, order, "__k"), [*keys, order]).groupBy(*kb, "start").agg(F.min("__k").alias("__k")).groupBy(*kbt).agg(F.count("*").alias("__hit"))
+    counts = extents.groupBy(*kb).agg(F.count("*").alias("__events"))
+
+    grid = at.select(*keys, "__k", "__p").join(counts, keys).join(mass, kbt, "left").join(met, kbt, "left").na.fill(0)
+    upto = Window.partitionBy(*kb).orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    run = grid.select(*kbt, "__p", "__events", *(F.sum(c).over(upto).alias(c) for c in ("__tp", "__wide", "__pred", "__hit")))
+    recall = F.least(F.lit(1.0), F.col("__tp") / ((2 * F.col("__p") + F.col("__wide")) / 2.0))
+    run = run.withColumn("__tpr", recall * F.col("__hit") / F.col("__events"))
+    step = F.col("__tpr") - F.coalesce(F.lag("__tpr").over(Window.partitionBy(*kb).orderBy("__k")), F.lit(0.0))
+    areas = run.withColumn("__a", step * F.col("__tp") / F.col("__pred")).groupBy(*kb).agg(F.sum("__a").alias("__area"))
+    return areas.groupBy(*keys).agg(F.avg("__area").alias("vus_pr"), F.count("*").alias("n_buffers"))
 
 
 def event_decisions(df: DataFrame, keys: list[str], label: Column, reference: Column, observation: Column, candidate: Column, order: str = "t") -> DataFrame:
