@@ -85,8 +85,9 @@ def _histograms(k: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, at, q_ids, _, score, own in _tiles(batches, scale):
             lo, width = (np.frombuffer(row[x], "<i8")[at] for x in ("lo", "width"))
-            base = score - lo[:, None]
-            bins = np.where(own | (base < 0), -1, np.minimum(base // width[:, None], BINS))  # BINS: above the range
+            # unsigned, as the distance of two longs can be no long; BINS: above the range
+            step = (score.astype(np.uint64) - lo.astype(np.uint64)[:, None]) // width.astype(np.uint64)[:, None]
+            bins = np.where(own | (score < lo[:, None]), -1, np.minimum(step, BINS).astype(np.int64))
             who, kept, n = [], [], []
             top = np.sort(bins, axis=1)[:, ::-1][:, :k] if bins.shape[1] > k else bins
             for i in range(len(at)):
@@ -147,7 +148,7 @@ def exact_top_k(table: DataFrame, is_query: str, k: int = 5, scale: float = 256.
         from_top = Window.partitionBy("query_id").orderBy(F.desc("bin"))  # at most BINS + 1 rows a query
         reached = counts.withColumn("upto", F.sum("n").over(from_top)).where(f"upto >= {k}").groupBy("query_id").agg(F.max("bin").alias("bin"))
         narrower = F.when(F.col("bin").isNull() | (F.col("width") <= 1), 0).otherwise(F.ceil(F.col("width") / BINS)).cast("long")
-        lo = F.when(F.col("bin").isNotNull() & (F.col("width") > 0), F.expr("lo + bin * width")).otherwise(F.col("lo"))
+        lo = F.when(F.col("bin").isNotNull() & (F.col("width") > 0), F.expr("cast(cast(lo as decimal(38, 0)) + cast(bin as decimal(18, 0)) * cast(width as decimal(18, 0)) as bigint)")).otherwise(F.col("lo"))
         state = cut(state.join(reached, "query_id", "left").select("q_block", "dim", "query_id", lo.alias("lo"), narrower.alias("width")))
     found = ask(state, _selected(k, scale), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows from each block
@@ -170,7 +171,10 @@ def _first_state(scale: float, bound: float):
         for batch in batches:
             for r in batch.to_pylist():
                 q = quantise(np.frombuffer(r["q_data"], "<f8").reshape(-1, r["dim"]), scale)
-                reach = np.minimum(np.ceil(np.sqrt((q**2).sum(axis=1)) * bound * (1 + 1e-12)) + 1, 2.0**62).astype(np.int64)
+                reach = np.ceil(np.sqrt((q**2).sum(axis=1)) * bound * (1 + 1e-12)) + 1
+                beyond = ~(reach < 2.0**62)
+                reach = np.where(beyond, 0.0, reach).astype(np.int64)
+                reach[beyond] = _LONG
                 ids = np.frombuffer(r["q_ids"], "<i8")
                 width = (2 * (reach // BINS) + 2).astype(np.int64)
                 yield pa.record_batch(

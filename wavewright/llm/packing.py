@@ -9,8 +9,9 @@ least total cost stays.
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,14 @@ GROUP_PIECES = 32_768
 
 def best_fit(lengths: Sequence[int], capacities: Sequence[int], least: int) -> tuple[list[int], list[int], list[int]]:
     """(bin of each piece, its offset there, opened size of each bin); lengths longest first, all in
-    1..max(capacities). A new bin has the smallest permitted size that is not below ``least`` and holds the piece."""
-    rooms, mask = defaultdict(deque), 0  # open bins by room left; mask has a bit for each room that some bin has
+    1..max(capacities). Of bins with equal room the first opened is taken; a new bin has the smallest permitted size that is not below ``least`` and holds the piece."""
+    rooms, mask = defaultdict(list), 0  # heaps of open bins by room left; mask has a bit for each room that some bin has
     bins, offsets, opened, filled = [], [], [], []
     for n in lengths:
         reach = mask >> n
         if reach:
             room = (reach & -reach).bit_length() - 1 + n
-            b = rooms[room].popleft()
+            b = heappop(rooms[room])
             if not rooms[room]:
                 mask ^= 1 << room
         else:
@@ -48,7 +49,7 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], least: int) -> t
         offsets.append(filled[b])
         filled[b] += n
         if room > n:
-            rooms[room - n].append(b)
+            heappush(rooms[room - n], b)
             mask |= 1 << (room - n)
     return bins, offsets, opened
 

@@ -195,8 +195,8 @@ def _lasso(m: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 600) -> t
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 3, penalty: float = 2e-3, seed: int = 0) -> RuleEnsemble:
-    """Fit on statistics and 0/1 labels. Without labels, or with one label only, every score is that label's
-    smoothed share."""
+    """Fit on statistics and 0/1 labels. Without labels, with one label only, or if nothing tells them apart, every
+    score is the smoothed share of label 1."""
     share = (y.sum() + 1) / (len(y) + 2)
     flat = RuleEnsemble(float(np.log(share / (1 - share))), ())
     if len(y) == 0 or y.min() == y.max():
@@ -214,6 +214,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 3, penalty:
         paths |= dict.fromkeys(found)
         p = 1 / (1 + np.exp(-z))
         z = z + 0.3 * np.clip(_paths(x, cuts, binned, p - y, p * (1 - p), depth, least)[1], -4, 4)
+    if not paths:
+        return flat
     rules = [Rule(tests) for tests in paths]
     m = np.stack([r.holds(x) for r in rules], axis=1).astype(np.float64)
     _, first = np.unique(m, axis=1, return_index=True)  # rules that hold on the same rows are one
