@@ -12,10 +12,12 @@ import base64
 import codecs
 import hashlib
 import os
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -53,23 +55,42 @@ class _Splitter:
         lead = sorted({chr(c).encode()[:1] for c in (*range(0x80, 0xD800, 64), *range(0xE000, 0x110000, 64))})
         ranks = {bytes([b]): b for b in range(256)} | {x + b: 256 + i for i, (x, b) in enumerate((x, b) for x in (b"a", b"1") for b in lead)}
         probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        doubtful = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)]
-        newer = [c for c in doubtful if len(probe.encode_ordinary(("a" if regex.match(r"\p{L}", c) else "1") + c)) == 1 + len(c.encode())]
+        unassigned = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+        doubtful = [("a", c) for c in regex.findall(r"\p{L}", unassigned)] + [("1", c) for c in regex.findall(r"\p{N}", unassigned)]
+        newer = [c for like, c in doubtful if len(probe.encode_ordinary(like + c)) == 1 + len(c.encode())]
         self.pattern, self.newer, self.careful = regex.compile(pattern), None, None
+        self.latin = self._latin(pattern)
         if newer:
             some = "[" + "".join(newer) + "]"
             self.newer = regex.compile(some)
             classes = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\p{L}\p{N}]|" + some + ")")
             self.careful = regex.compile(regex.sub(r"(?<!\[\^\\s)(?<!\})\\p\{([LN])\}", lambda m: f"(?:(?!{some})\\p{{{m[1]}}})", classes))
 
+    @staticmethod
+    def _latin(pattern: str) -> "re.Pattern | None":
+        """The pattern for texts of Latin-1 characters alone, its classes spelled out for the faster engine; None if
+        it uses more than letters, numbers and white space."""
+        first = "".join(map(chr, range(256)))
+        spelled = pattern
+        for name in (r"\p{L}", r"\p{N}", r"\s"):
+            members = "".join(map(re.escape, regex.findall(name, first)))
+            inside = regex.compile(r"(\[\^[^\]]*?)" + re.escape(name))
+            while inside.search(spelled):
+                spelled = inside.sub(lambda m, x=members: m[1] + x, spelled, count=1)
+            spelled = regex.sub(r"\\S", lambda _: "\x00", spelled).replace(name, f"[{members}]") if name == r"\s" else spelled.replace(name, f"[{members}]")
+            if name == r"\s":
+                spelled = spelled.replace("\x00", f"[^{members}]")
+        try:
+            return None if r"\p" in spelled else re.compile(spelled)
+        except re.error:
+            return None
+
     def __call__(self, text: str) -> "regex.Pattern":
-        if self.newer is None or text.isascii():
-            return self.pattern
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.careful if self.newer.search(text) else self.pattern
-        return self.pattern
+            return self.careful if self.newer is not None and self.newer.search(text) else self.pattern
+        return self.latin or self.pattern
 
 
 class ByteBPE:
@@ -96,23 +117,25 @@ class ByteBPE:
     def _mapped(self, token: bytes) -> str:
         return token.decode("latin-1").translate(self.latin)
 
-    def _fill(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Ids of pieces that the cache lacks; short ones enter the cache."""
-        missing = [p for p in set(pieces) if p not in self.cache]
-        found = self.library.encode_batch([self._mapped(p.encode("utf-8", "surrogatepass")) for p in missing], add_special_tokens=False)
-        made = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(missing, found, strict=True)}
-        if len(self.cache) + len(made) > CACHE_PIECES:
-            self.cache.clear()
-        self.cache.update((p, ids) for p, ids in made.items() if len(p) <= CACHED_LENGTH)
-        return made
-
     def _ids_of(self, pieces: list[str]) -> bytes:
+        cache = self.cache
         try:
-            return b"".join(map(self.cache.__getitem__, pieces))
+            return b"".join(map(cache.__getitem__, pieces))
         except KeyError:
-            known = {p: self.cache[p] for p in set(pieces) if p in self.cache}
-            known |= self._fill(pieces)
-            return b"".join(map(known.__getitem__, pieces))
+            pass
+        missing = [p for p in set(pieces) if p not in cache]
+        if len(cache) + len(missing) > CACHE_PIECES:
+            cache.clear()
+            missing = list(set(pieces))
+        found = self.library.encode_batch([self._mapped(p.encode("utf-8", "surrogatepass")) for p in missing], add_special_tokens=False)
+        for piece, e in zip(missing, found, strict=True):
+            ids = e.ids
+            cache[piece] = pack("<%dI" % len(ids), *ids)
+        out = b"".join(map(cache.__getitem__, pieces))
+        for piece in missing:
+            if len(piece) > CACHED_LENGTH:
+                del cache[piece]
+        return out
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The text's pieces in lists of bounded length."""
