@@ -205,3 +205,18 @@ def test_streams(spark, tmp_path):
     q.stop()
     got = [r["score"] for r in spark.table("scores").orderBy("ts").collect()]
     assert got[:4] == [0.0] * 4 and got[10] == pytest.approx(2.5**2)
+
+
+def test_bundles_and_packages(spark, tmp_path):
+    digest = sinks.write_bundle(str(tmp_path / "m.npz"), {"w": np.ones(3)})
+    assert readers.read_bundle((tmp_path / "m.npz").read_bytes(), digest)["w"].tolist() == [1, 1, 1]
+    sources = {"m.npz": (str(tmp_path / "m.npz"), digest)}
+    assert sinks.package_files(sources, str(tmp_path / "out")) == {"m.npz": digest}
+    with pytest.raises(FileExistsError):
+        sinks.package_files(sources, str(tmp_path / "out"))
+    with pytest.raises(AuditError):
+        sinks.package_files({"m.npz": (str(tmp_path / "m.npz"), "0")}, str(tmp_path / "other"))
+    found = digests.file_digests(spark, str(tmp_path / "out"))
+    digests.require_files(found, {"m.npz": digest})
+    with pytest.raises(AuditError):
+        digests.require_files(found, {"m.npz": "0"})

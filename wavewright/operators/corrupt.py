@@ -59,8 +59,7 @@ def hashed_drift(df: DataFrame, keys: list[str], key: Column, severity: float, l
 
 def prepare_case(df: DataFrame, keys: list[str], length: int, label: Column, key: Column, severity: float) -> DataFrame:
     """The window of each series around its labels, with a noisy observation."""
-    from .filters import scales
+    from .filters import with_scale
     from .windows import extract_window
 
-    w = extract_window(df, keys, length, label)
-    return hashed_noise(w.join(scales(w, keys), keys), keys, key, severity)
+    return hashed_noise(with_scale(extract_window(df, keys, length, label), keys), keys, key, severity)

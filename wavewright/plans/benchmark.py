@@ -173,8 +173,7 @@ def parity(found: DataFrame, expected: DataFrame, keys: list[str], tolerances: d
 
 def median_diagnostic(samples: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
     """Hierarchical error of the median-of-three filter on long samples (reference, observation, label)."""
-    sized = samples.join(filters.scales(samples, keys, "observation").drop("center"), keys)
-    out = filters.median3(sized, keys, "observation", "output")
+    out = filters.median3(filters.with_scale(samples, keys, "observation"), keys, "observation", "output")
     rows = metrics.os_nrmse(out, [*levels, *[k for k in keys if k not in levels]], "reference", "output", F.col("label"))
     return metrics.hierarchical_mean(rows, levels, "os_nrmse")
 

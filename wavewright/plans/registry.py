@@ -384,6 +384,16 @@ def shared_evidence(spark, d):
     return iv.shared_evidence(samples(spark, d), K, [F.col("value") >= HIGH, F.col("label")]).select("series_id", "t", "shared")
 
 
+@query(TILES + """, x2 AS (SELECT series_id, t, least(4, floor(value / 60)) / 4.0 AS beta FROM s), y AS (SELECT *, CASE WHEN beta = lag(beta) OVER k AND t = lag(t) OVER k + 1 THEN 0 ELSE 1 END AS nw FROM x2 WHERE beta > 0 WINDOW k AS (PARTITION BY series_id ORDER BY t)),
+    g AS (SELECT *, sum(nw) OVER (PARTITION BY series_id ORDER BY t) AS g FROM y), b0 AS (SELECT series_id, min(t) AS a, max(t) + 1 AS b FROM g GROUP BY series_id, g)
+    SELECT b0.series_id, b0.a AS "start", b0.b AS "end", coalesce(array_to_string(list_sort(list_distinct(flatten(list(tl.reasons) FILTER (WHERE tl.reasons IS NOT NULL)))), ';'), '') AS reasons FROM b0 LEFT JOIN tl ON tl.series_id = b0.series_id AND tl.a < b0.b AND tl.b > b0.a GROUP BY b0.series_id, b0.a, b0.b""")
+def runs_with_reasons(spark, d):
+    s = samples(spark, d).withColumn("beta", F.least(F.lit(4), F.floor(F.col("value") / 60)) / 4.0)
+    tiled = iv.tiles(reason_rows(spark, d), K, 8, F.col("n"))
+    out = iv.runs_with_reasons(iv.beta_runs(s, K), tiled, K)
+    return out.select("series_id", "start", "end", F.array_join("reasons", ";").alias("reasons"))
+
+
 # Joins -----------------------------------------------------------------------------------------------------------------
 
 
@@ -528,6 +538,14 @@ def stable_seeds(spark, d):
     return table(spark, d, "customer").select("c_custkey", cols.stable_seed(F.lit("seed"), F.col("c_custkey").cast("string"), F.lit("gaussian")).alias("seed"))
 
 
+@query(f"""WITH {S}, m AS (SELECT series_id, coalesce(floor(quantile_cont(CASE WHEN label THEN t END, 0.5)), count(*) // 2) AS mid, count(*) AS n FROM s GROUP BY series_id),
+    p AS (SELECT series_id, CAST(greatest(0, least(mid - 16, n - 32)) AS BIGINT) AS ws FROM m WHERE n >= 32), x AS (SELECT s.* FROM s JOIN p USING (series_id) WHERE t >= ws AND t < ws + 32), sc AS (SELECT series_id, {SCALE} AS scale FROM x GROUP BY ALL)
+    SELECT series_id, t, round(value + 0.125 * scale * {noise("'c|' || CAST(event_id AS VARCHAR)")}, 6) AS observation FROM x JOIN sc USING (series_id)""")
+def prepared_cases(spark, d):
+    c = corrupt.prepare_case(samples(spark, d), K, WINDOW, F.col("label"), F.concat_ws("|", F.lit("c"), F.col("event_id").cast("string")), 0.5)
+    return c.select("series_id", "t", r6(F.col("observation"), "observation"))
+
+
 @query(f"""WITH {W()}, d AS (SELECT DISTINCT series_id, w FROM win) SELECT series_id, w, family, CAST(severity AS DOUBLE) AS severity, 0 AS replicate FROM d CROSS JOIN (VALUES ('gaussian'), ('impulse'), ('drift'), ('mixed')) f(family) CROSS JOIN (VALUES (0.25), (0.5), (0.75)) v(severity)""")
 def condition_grid(spark, d):
     return sets.condition_grid(window_samples(spark, d).select(*KW).distinct(), list(benchmark.FAMILIES), list(benchmark.SEVERITIES))
@@ -709,6 +727,15 @@ def score_bundle(spark, d):
     return b.select("series_id", r6(F.col("ap_before"), "ap_before"), r6(F.col("ap_after"), "ap_after"), "erasure")
 
 
+@query(LONG + """, g AS (SELECT *, value * 1.1 AS noisy FROM f), a AS (SELECT series_id, sqrt(avg(pow(value - filtered, 2))) AS rmse FROM g GROUP BY ALL),
+    h AS (SELECT e.series_id, a, bool_or(value >= 100) AS x, bool_or(filtered >= 100) AS y FROM e JOIN f ON f.series_id = e.series_id AND t >= a AND t < b GROUP BY ALL)
+    SELECT k.series_id, round(first(rmse), 8) AS rmse, round(coalesce(count(*) FILTER (WHERE x AND NOT y) / nullif(count(*) FILTER (WHERE x), 0), 0), 6) AS erasure FROM k JOIN a USING (series_id) LEFT JOIN h USING (series_id) GROUP BY k.series_id""")
+def demo_bundle(spark, d):
+    f = filtered_series(spark, d).withColumn("noisy", F.col("value") * 1.1)
+    b = metrics.demo_bundle(f, K, "label", "value", "noisy", "filtered", "value", "filtered", HIGH)
+    return b.select("series_id", F.round("rmse", 8).alias("rmse"), r6(F.col("erasure"), "erasure"))
+
+
 @query("""SELECT lang, count(*) AS documents, count(DISTINCT source) AS sources, sum(n_chars) AS chars FROM documents GROUP BY ROLLUP (lang)""")
 def manifest_summary(spark, d):
     x = table(spark, d, "documents")
@@ -1007,7 +1034,11 @@ def standing_edits(spark, d):
     return sessions.standing_edits(action_log(spark, d), ["conv_id"]).select("conv_id", "revision", "action")
 
 
-@query()
+@query("""WITH a AS (SELECT DISTINCT conv_id, turn, conv_id + turn AS k, CASE WHEN turn > 0 AND (conv_id + turn) % 3 = 0 THEN 'revert' WHEN (conv_id + turn) % 3 = 1 THEN 'protect' ELSE 'blend' END AS action FROM conversations),
+    h AS (SELECT *, sum(CASE WHEN action = 'revert' THEN -1 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM a), l AS (SELECT *, min(h) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM h),
+    e AS (SELECT conv_id, turn, action, k % 5 AS a, k % 5 + 3 AS b FROM l WHERE action <> 'revert' AND coalesce(later, h) >= h), t AS (SELECT DISTINCT conv_id, unnest(generate_series(0, 7)) AS t FROM conversations),
+    x AS (SELECT t.conv_id, t.t, last(action ORDER BY turn) AS action FROM t LEFT JOIN e ON e.conv_id = t.conv_id AND t.t >= a AND t.t < b GROUP BY t.conv_id, t.t)
+    SELECT conv_id, t, CASE action WHEN 'protect' THEN CAST(t AS DOUBLE) WHEN 'blend' THEN 0.5 * t - 0.5 ELSE -1.0 END AS current FROM x""")
 def session_signals(spark, d):
     log = action_log(spark, d)
     s = log.select("conv_id").distinct().withColumn("t", F.explode(F.expr("sequence(0L, 7L)"))).withColumns({"observation": F.col("t").cast("double"), "candidate": F.lit(-1.0), "baseline": F.lit(-1.0)})
@@ -1046,6 +1077,13 @@ def table_fingerprint(spark, d):
     return digests.table_digest(table(spark, d, "nation"))
 
 
+@query(f"""WITH {W()}, {NOISY}, os AS (SELECT series_id, w, greatest((quantile_cont(obs, 0.75) - quantile_cont(obs, 0.25)) / 1.349, stddev_pop(obs), 1e-4) AS sc FROM noisy GROUP BY ALL), f AS ({med3("noisy", "series_id, w", "obs", "i")}),
+    m AS (SELECT series_id, w, sqrt(avg(pow(filtered - value, 2))) / first(sc) AS e FROM f JOIN os USING (series_id, w) GROUP BY ALL), g AS (SELECT series_id, avg(e) AS e FROM m GROUP BY ALL) SELECT round(avg(e), 6) AS mean FROM g""")
+def median_diagnostic(spark, d):
+    n = noisy_windows(spark, d).select(*KW, "i", "label", F.col("value").alias("reference"), "observation").withColumn("t", F.col("i"))
+    return benchmark.median_diagnostic(n, KW, K).select(r6(F.col("mean"), "mean"))
+
+
 # Benchmark job ---------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
+import shutil
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +59,26 @@ def verify_receipt(spark, receipt: dict) -> None:
     """AuditError if the table is not the one that the receipt names."""
     if table_digest(spark.read.parquet(receipt["path"])).first()["digest"] != receipt["digest"]:
         raise AuditError(f"{receipt['path']} differs from its receipt")
+
+
+def write_bundle(path: str, arrays: dict[str, np.ndarray]) -> str:
+    """Named weight arrays as one npz file on the driver, put in place whole; its digest."""
+    data = io.BytesIO()
+    np.savez(data, **arrays)
+    with open(f"{path}.part", "wb") as file:
+        file.write(data.getvalue())
+    os.replace(f"{path}.part", path)
+    return hashlib.sha256(data.getvalue()).hexdigest()
+
+
+def package_files(sources: dict[str, tuple[str, str]], target: str) -> dict[str, str]:
+    """Copy (path, SHA-256) files under their names into a new folder, each only if its digest holds; the manifest."""
+    for name, (path, wanted) in sources.items():
+        with open(path, "rb") as file:
+            if hashlib.file_digest(file, "sha256").hexdigest() != wanted:
+                raise AuditError(f"{name} differs from its digest")
+    os.makedirs(target)  # an existing folder is refused
+    for name, (path, _) in sources.items():
+        shutil.copyfile(path, f"{target}/{name}.part")
+        os.replace(f"{target}/{name}.part", f"{target}/{name}")
+    return {name: wanted for name, (_, wanted) in sources.items()}
