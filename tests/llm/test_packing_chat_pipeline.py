@@ -115,6 +115,35 @@ def test_quotes(spark):
     assert found[1, 2]["n_quoted"] == 2
 
 
+def test_quotes_match_sql(spark, tmp_path):
+    from helpers import oracle
+    from helpers import rows as plain
+
+    rng = np.random.default_rng(4)
+    words = ["yes", "No way", "see you", "what now?", "fine", "It is late"]
+    table = []
+    for conv in range(12):
+        said = []
+        for turn in range(9):
+            lines = []
+            for _ in range(int(rng.integers(0, 3))):
+                if said:
+                    src = said[int(rng.integers(len(said)))].split("\n")
+                    mark = ["> ", ">", ">> ", "> > "][int(rng.integers(4))]
+                    lines += (["On Monday X wrote:"] if rng.random() < 0.3 else []) + [mark + x.upper() if rng.random() < 0.2 else mark + x for x in src]
+                lines += [""] * int(rng.integers(0, 2))
+            text = "\n".join([*lines, *(words[int(rng.integers(6))] + f" {conv % 3}" for _ in range(int(rng.integers(1, 4))))])
+            said.append(text)
+            table.append((conv, turn, [None, "user", "assistant"][int(rng.integers(3))], None if rng.random() < 0.05 else text, "x"))
+    df = spark.createDataFrame(table, CHAT)
+    found = chat_quotes.format_conversations(df).toPandas()
+    assert found.reply_to.notna().sum() > 10 and found.depth.max() > 1
+    for t in ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels").split():
+        spark.range(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert plain(found) == plain(oracle(queries.ORACLE_SQL["op10_quotation_linking"], str(tmp_path)))
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "user", "start")] + [(1, i, "user", (f"> message {i - 1}\n" if i > 1 else "> start\n") + f"message {i}") for i in range(1, 40)]
     found = threads_of(spark, rows)

@@ -78,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quotation_linking": op10_quotation_linking,
 }
 
-#: The rest cannot be expressed in SQL; tests/llm hold them against brute force.
+#: The others cannot be expressed in SQL; tests/llm hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_topk": """
         WITH v AS (
@@ -95,4 +95,45 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op10_quotation_linking": r"""
+        WITH RECURSIVE m AS (
+            SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+        ), l0 AS (
+            SELECT rid, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM (SELECT rid, string_split_regex(text, '\r\n|\n|\r') AS lines FROM m)
+        ), l1 AS (
+            SELECT *, len(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) AS lv FROM l0
+        ), l AS (
+            SELECT *, coalesce(lead(lv) OVER (PARTITION BY rid ORDER BY pos), 0) AS nxt,
+                   regexp_matches(line, '^[ \t]*(?:On\b.{0,300}\bwrote|.{1,200}\bwrote|.{1,200}\bschrieb|.{1,200}\ba écrit|.{1,200}\bescribió)[ \t]*:[ \t]*$') AS says FROM l1
+        ), own AS (
+            SELECT rid, line, pos FROM l WHERE lv = 0 AND NOT (says AND nxt > 0)
+        ), body AS (
+            SELECT m.rid, conv_id, turn, coalesce(string_agg(line, chr(10) ORDER BY pos), '') AS body FROM m LEFT JOIN own USING (rid) GROUP BY ALL
+        ), unit AS (
+            SELECT conv_id, turn, body AS x FROM body UNION ALL SELECT conv_id, turn, unnest(string_split_regex(body, '\n[ \t]*\n')) FROM body
+            UNION ALL SELECT conv_id, turn, line FROM own JOIN m USING (rid)
+        ), origin AS (
+            SELECT conv_id, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS norm, min(turn) AS quoted FROM unit WHERE turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY ALL
+        ), runs AS (
+            SELECT rid, pos, lv, regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '') AS b, sum(begins) OVER (PARTITION BY rid ORDER BY pos) AS passage FROM (
+                SELECT *, CASE WHEN lv = lag(lv) OVER (PARTITION BY rid ORDER BY pos) THEN 0 ELSE 1 END AS begins FROM l)
+        ), asked AS (
+            SELECT rid, passage, lv, -1 AS li, string_agg(b, chr(10) ORDER BY pos) AS x FROM runs WHERE lv > 0 GROUP BY rid, passage, lv
+            UNION ALL SELECT rid, passage, lv, row_number() OVER (PARTITION BY rid, passage ORDER BY pos) - 1, b FROM runs WHERE lv > 0
+        ), linked AS (
+            SELECT m.conv_id, m.turn, lv, passage, first(quoted ORDER BY li) AS quoted FROM asked JOIN m USING (rid)
+            JOIN origin o ON o.conv_id = m.conv_id AND o.norm = lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AND o.norm <> '' AND quoted < m.turn GROUP BY ALL
+        ), parent AS (
+            SELECT conv_id, turn, first(quoted ORDER BY lv, passage) AS reply_to FROM linked GROUP BY ALL
+        ), up AS (
+            SELECT conv_id, turn, reply_to AS root, CAST(1 AS BIGINT) AS depth FROM parent
+            UNION ALL SELECT up.conv_id, up.turn, p.reply_to, up.depth + 1 FROM up JOIN parent p ON p.conv_id = up.conv_id AND p.turn = up.root
+        ), tree AS (
+            SELECT conv_id, turn, last(root ORDER BY depth) AS root, max(depth) AS depth FROM up GROUP BY ALL
+        ), q AS (SELECT rid, count(*) FILTER (WHERE lv > 0) AS n_quoted FROM l GROUP BY rid
+        ), t AS (SELECT rid, regexp_replace(body, '^\s+|\s+$', '', 'g') AS text FROM body)
+        SELECT m.conv_id, m.turn, m.role, t.text, p.reply_to, coalesce(tree.root, m.turn) AS thread_root, coalesce(tree.depth, 0) AS depth, n_quoted,
+               '<|' || m.role || '|>' || chr(10) || t.text || chr(10) || '<|end|>' AS formatted
+        FROM m JOIN t USING (rid) JOIN q USING (rid) LEFT JOIN parent p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN tree ON tree.conv_id = m.conv_id AND tree.turn = m.turn
+    """,
 }
