@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,10 +114,10 @@ class Rule:
             out &= (x[:, f] > t) if above else (x[:, f] <= t)
         return out
 
-    def column(self) -> Column:
+    def column(self, statistic: Callable[[int], Column]) -> Column:
         out = F.lit(True)
         for f, above, t in self.tests:
-            c = F.col(STATISTICS[f])
+            c = statistic(f)
             out = out & ((c > F.lit(float(t))) if above else (c <= F.lit(float(t))))
         return out
 
@@ -133,11 +133,11 @@ class RuleEnsemble:
             z += r.weight * r.holds(x)
         return 1 / (1 + np.exp(-z))
 
-    def column(self) -> Column:
-        """The score as one column expression over the statistics."""
+    def column(self, statistic: Callable[[int], Column] = lambda f: F.col(STATISTICS[f])) -> Column:
+        """The score as one column expression; ``statistic`` gives the column of a statistic's number."""
         z = F.lit(float(self.intercept))
         for r in self.rules:
-            z = z + F.when(r.column(), F.lit(float(r.weight))).otherwise(F.lit(0.0))
+            z = z + F.when(r.column(statistic), F.lit(float(r.weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
@@ -217,9 +217,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 3, penalty:
     if not paths:
         return flat
     rules = [Rule(tests) for tests in paths]
+    m = {r.holds(x).tobytes(): r for r in reversed(rules)}  # rules that hold on the same rows are one
+    rules = list(reversed(m.values()))
     m = np.stack([r.holds(x) for r in rules], axis=1).astype(np.float64)
-    _, first = np.unique(m, axis=1, return_index=True)  # rules that hold on the same rows are one
-    rules, m = [rules[i] for i in np.sort(first)], m[:, np.sort(first)]
     intercept, weights = _lasso(m, y.astype(np.float64), penalty)
     return RuleEnsemble(intercept, tuple(Rule(r.tests, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6))
 
@@ -228,6 +228,27 @@ def is_held_out(id_col: Column, parts: int = 5, part: int = 0) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % parts == part, F.lit(False))
 
 
+def _taught(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): FIT_ROWS rows at most, least by a hash of the id; see score_documents.
+
+    A first cut by hash leaves about twice as many rows, so that tasks send few rows on; if it leaves too few, all are
+    ordered.
+    """
+    known = labels.where("doc_id is not null and quality in (0, 1)").where(~is_held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
+    known = cut(known)
+    n = known.count()
+    some = known.where(F.col("h") < int(-(2**63) + 2**64 * min(1.0, 2 * FIT_ROWS / n)) - 1) if n > 2 * FIT_ROWS else known
+    if some is not known and some.count() < FIT_ROWS:
+        some = known
+    return cut(some.orderBy("h", "doc_id").limit(FIT_ROWS).drop("h"))
+
+
+def _fit_on(sample: DataFrame) -> RuleEnsemble:
+    rows = sample.select("quality", *STATISTICS).toPandas().sort_values(["quality", *STATISTICS])
+    return fit(rows[list(STATISTICS)].to_numpy(np.float64), rows["quality"].to_numpy(np.int64))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: float = GOOD) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each row of docs.
 
@@ -237,10 +258,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     0.5. An empty table gives no rows.
     """
     stats = cut(with_statistics(docs, id_col, text_col))
-    known = labels.where("doc_id is not null and quality in (0, 1)").where(~is_held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    sample = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), *STATISTICS).limit(FIT_ROWS).select("quality", *STATISTICS).toPandas()
-    model = fit(sample[list(STATISTICS)].to_numpy(np.float64), sample["quality"].to_numpy(np.int64))
+    model = _fit_on(stats.join(F.broadcast(_taught(labels)), "doc_id"))
     score = stats.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return score.withColumn("predicted", F.when(F.col("score") >= good, 1).otherwise(0))
 
