@@ -380,3 +380,20 @@ def test_sets(spark):
         sets.require_disjoint(a, b, K)
     assert not sets.grids_equal(a, b, K) and sets.grids_equal(a, a, K)
     assert [r["k"] for r in sets.except_keys(a, b, K).collect()] == [1]
+
+
+def test_unet():
+    from wavewright.functions import networks as nw
+
+    shape = nw.UNetShape(base=4, depth=2, widest=8)
+    x = np.random.default_rng(0).normal(size=51)
+    assert (nw.TemporalUNet(nw.random_weights(shape), shape)(x) == x).all()
+    net = nw.TemporalUNet(nw.random_weights(shape, out_scale=0.3), shape)
+    assert (net(x) == net(x)).all() and (net(x, 1) == net(x, 1)).all() and (net(x, 1) != net(x, 2)).any()
+    assert np.abs(net(x) - x).max() <= 1.0
+    w, b = np.random.default_rng(1).normal(size=(2, 3, 5)), np.array([1.0, -1.0])
+    y = np.random.default_rng(2).normal(size=(3, 9))
+    plain = [[sum(w[o, i, k] * (y[i, t + k - 2] if 0 <= t + k - 2 < 9 else 0) for i in range(3) for k in range(5)) + b[o] for t in range(9)] for o in range(2)]
+    assert nw.convolve(y, w, b) == pytest.approx(np.array(plain)) and nw.convolve(y, w, b, 2) == pytest.approx(np.array(plain)[:, ::2])
+    assert nw.resize(np.array([[0.0, 1.0]]), 4)[0].tolist() == [0.0, 0.25, 0.75, 1.0]
+    assert nw.norm_groups(6, 4) == 3
