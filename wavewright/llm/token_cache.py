@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import cut
 
 CACHE_CHUNKS = 400_000
 CACHED_LENGTH = 48
@@ -153,6 +154,6 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str, pattern: str = "",
     local = keyed.select("digest", "text").mapInArrow(_first_seen, "digest binary, text string")
     misses = local.repartition("digest").join(known, "digest", "left_anti")
     misses.mapInArrow(_encode_distinct(path, pattern, version), _SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, version)
+    counts = cut(read_cache(spark, cache_path, version))  # an aggregate in the join's stage would keep Spark from splitting a hot digest
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
