@@ -956,13 +956,33 @@ def cue_samples(spark, d):
     return both.withColumns({"score_before": F.col("observation") / 100, "score_after": F.col("candidate") / 100, "mad": F.abs(F.col("filtered") - F.col("candidate")) / 100})
 
 
-@query()
+def edge_mean(name: str, src: str, v: str, half: int) -> str:
+    return f"""{name} AS (SELECT a.series_id, a.w, a.i, avg(b.{v}) AS m FROM {src} a CROSS JOIN (SELECT unnest(generate_series(-{half}, {half})) AS k) q
+        JOIN {src} b ON b.series_id = a.series_id AND b.w = a.w AND b.i = greatest(0, least(31, a.i + k)) GROUP BY ALL)"""
+
+
+POLARITY = "CASE WHEN {v} - lag({v}) OVER k > 0.01 * scale AND lead({v}) OVER k - {v} <= -0.01 * scale THEN 1 WHEN {v} - lag({v}) OVER k < -0.01 * scale AND lead({v}) OVER k - {v} >= 0.01 * scale THEN -1 END"
+KEYED = "{a}.series_id = {b}.series_id AND {a}.w = {b}.w"
+CONCERN = FILT + f""", {edge_mean("c0", "f", "filtered", 2)}, sc AS (SELECT series_id, w, {SCALE} AS scale FROM win GROUP BY ALL), c1 AS (SELECT f.series_id, f.w, f.i, value AS o, m AS c, abs(filtered - m) / 100 AS mad, scale FROM f JOIN c0 USING (series_id, w, i) JOIN sc USING (series_id, w)),
+    {edge_mean("so", "c1", "o", 2)}, {edge_mean("sn", "c1", "c", 2)}, c2 AS (SELECT c1.*, so.m AS so, sn.m AS sn FROM c1 JOIN so USING (series_id, w, i) JOIN sn USING (series_id, w, i)),
+    c3 AS (SELECT *, {POLARITY.format(v="so")} AS po, {POLARITY.format(v="sn")} AS pn FROM c2 WINDOW k AS (PARTITION BY series_id, w ORDER BY i)),
+    mt AS (SELECT x.series_id, x.w, x.i, y.i AS j, abs(x.i - y.i) AS dist, x.o, y.c, x.scale FROM c3 x LEFT JOIN c3 y ON {KEYED.format(a="x", b="y")} AND y.pn = x.po AND abs(x.i - y.i) <= 8 WHERE x.po IS NOT NULL QUALIFY row_number() OVER (PARTITION BY x.series_id, x.w, x.i ORDER BY abs(x.i - y.i) NULLS LAST, y.i) = 1),
+    pk AS (SELECT series_id, w, i AS p, CASE WHEN j IS NULL THEN 1.0 ELSE 0.55 * least(abs(c - o) / scale, 1.0) + 0.45 * dist / 8 END AS h FROM mt
+        UNION ALL SELECT series_id, w, i, 0.8 FROM c3 n WHERE pn IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mt WHERE {KEYED.format(a="mt", b="n")} AND mt.j = n.i) AND NOT EXISTS (SELECT 1 FROM c3 x WHERE {KEYED.format(a="x", b="n")} AND x.po IS NOT NULL AND abs(x.i - n.i) <= 8)),
+    sp AS (SELECT c3.series_id, c3.w, c3.i, max(h * (1 - abs(c3.i - p) / 9.0)) AS s FROM c3 LEFT JOIN pk ON {KEYED.format(a="pk", b="c3")} AND abs(c3.i - p) <= 8 GROUP BY ALL),
+    c4 AS (SELECT c3.*, least(1, greatest(0.2 * least(1, abs(c - o) / scale), coalesce(s, 0))) AS morphology, least(1, abs(c - o) / 100 / 0.3) AS ch, least(1, mad / 0.12) AS uncertainty FROM c3 JOIN sp USING (series_id, w, i)),
+    c5 AS (SELECT *, 0.5 * ch + 0.3 * morphology + 0.2 * uncertainty AS mix FROM c4), {edge_mean("c6", "c5", "mix", 3)}, cc AS (SELECT c5.*, least(1, greatest(0, m)) AS concern, CASE WHEN m >= 0.62 THEN 'high' WHEN m >= 0.32 THEN 'medium' ELSE 'low' END AS level FROM c5 JOIN c6 USING (series_id, w, i))"""
+
+
+@query(CONCERN + " SELECT series_id, w, i, round(morphology, 6) AS morphology, round(uncertainty, 6) AS uncertainty, round(concern, 6) AS concern, level FROM cc")
 def concern_cues(spark, d):
     c = cues.concern(cue_samples(spark, d), KW, order="i")
     return c.select(*KW, "i", *(r6(F.col(x), x) for x in ("morphology", "uncertainty", "concern")), "level")
 
 
-@query()
+@query(CONCERN + """, r AS (SELECT *, i - row_number() OVER (PARTITION BY series_id, w ORDER BY i) AS g FROM cc WHERE level <> 'low'),
+    a AS (SELECT series_id, w, min(i) AS a, max(i) + 1 AS b, max(concern) AS peak, avg(concern) AS mean, avg(ch) AS m1, avg(morphology) AS m2, avg(uncertainty) AS m3, bool_or(level = 'high') AS hi FROM r GROUP BY series_id, w, g)
+    SELECT series_id, w, a AS "start", b AS "end", round(peak, 6) AS peak, round(mean, 6) AS mean, CASE WHEN m1 >= m2 AND m1 >= m3 THEN 'score change' WHEN m2 >= m3 THEN 'morphology' ELSE 'stochastic disagreement' END AS dominant_cue, CASE WHEN hi THEN 'high' ELSE 'medium' END AS level FROM a""")
 def concern_intervals(spark, d):
     c = cues.concern(cue_samples(spark, d), KW, order="i")
     return cues.concern_intervals(c, KW, "i").select(*KW, "start", "end", r6(F.col("peak"), "peak"), r6(F.col("mean"), "mean"), "dominant_cue", "level")
