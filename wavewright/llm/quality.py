@@ -263,26 +263,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return score.withColumn("predicted", F.when(F.col("score") >= good, 1).otherwise(0))
 
 
+def _statistics_of(texts: pa.Array) -> pa.Array:
+    rows = [statistics(t.as_py()) for t in texts]
+    flat = pa.array(np.array(rows, np.float64).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS)), flat)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: float = GOOD) -> DataFrame:
     """The rows of docs, with its columns, whose text scores at least ``good``.
 
-    Decided in one pass over the texts, so they are not shuffled: the fitted rules are applied to statistics
-    made beside each row.
+    Decided in one pass over the texts: statistics are made beside each row, the fitted rules are a filter over
+    them, and texts are neither shuffled nor sent back from Python.
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").where(~is_held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    taught = known.orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS)
-    picked = docs.join(F.broadcast(taught.select(F.col("doc_id").alias("__id"), "quality")), F.col(id_col).cast("long") == F.col("__id"))
-    with_label = picked.select(F.col("quality").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = with_statistics(with_label, "doc_id", "text").toPandas()
-    sample = sample.sort_values(["doc_id", *STATISTICS])
-    model = fit(sample[list(STATISTICS)].to_numpy(np.float64), sample["doc_id"].to_numpy(np.int64))
-    fields = docs.schema.fieldNames()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = fields.index(text_col)
-        for batch in batches:
-            m = np.array([statistics(None if (s := t.as_py()) is None else str(s)) for t in batch.column(at)], np.float64).reshape(batch.num_rows, len(STATISTICS))
-            yield batch.filter(pa.array(model.score(m) >= good))
-
-    return docs.mapInArrow(run, docs.schema)
+    taught = F.broadcast(_taught(labels).withColumnsRenamed({"doc_id": "__id", "quality": "__quality"}))
+    picked = docs.join(taught, F.col(id_col).cast("long") == F.col("__id")).select(F.col("__quality").cast("long").alias("id"), F.col(text_col).alias("text"))
+    model = _fit_on(with_statistics(picked, "id", "text").withColumnRenamed("doc_id", "quality"))
+    made = docs.withColumn("__statistics", F.arrow_udf(_statistics_of, "array<double>")(F.col(text_col).cast("string")))
+    return made.where(model.column(lambda f: F.col("__statistics")[f]) >= good).drop("__statistics")
