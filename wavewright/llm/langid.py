@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 
 WIDTH = 2048
 CENTROIDS = 4
 #: Bounds of the rows that the centroids are fitted on: of each language, and in all (least by a hash of the id).
-FIT_ROWS, FIT_ROWS_ALL = 1500, 12_000
+FIT_ROWS, FIT_ROWS_ALL = 1000, 8_000
+#: Up to so many languages, their counts are broadcast.
+MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
 _SPAN = 1 << 20
 
@@ -72,8 +75,8 @@ class Centroids:
     least: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts) * self.idf
-        return v / np.maximum(np.sqrt((v * v).sum(axis=-1, keepdims=True)), 1e-300)
+        v = np.log1p(counts, dtype=np.float32) * self.idf.astype(np.float32)
+        return v / np.maximum(np.sqrt((v * v).sum(axis=-1, keepdims=True)), 1e-30)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text."""
@@ -85,7 +88,7 @@ class Centroids:
         counts = np.stack([found[i] for i in at])
         cos = self.vectors(counts) @ self.centres.T
         best = np.argmax(cos, axis=1)
-        near = np.clip(cos[np.arange(len(at)), best], 0.0, 1.0)
+        near = np.clip(cos[np.arange(len(at)), best].astype(np.float64), 0.0, 1.0)
         far = near < 0.6 * self.least[size_class(counts)]
         for i, b, s, r in zip(at, best, near, far, strict=True):
             langs[i], score[i], rejected[i] = self.langs[self.of[b]], s, r
@@ -102,13 +105,13 @@ def _kmeans(v: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     centres /= np.sqrt((centres**2).sum(axis=1, keepdims=True))
     while len(centres) < min(k, len(v)):
         far = np.maximum(1 - (v @ centres.T).max(axis=1), 1e-12)
-        centres = np.concatenate([centres, v[rng.choice(len(v), p=far / far.sum())][None]])
+        centres = np.concatenate([centres, v[rng.choice(len(v), p=far.astype(np.float64) / far.sum(dtype=np.float64))][None]])
     for _ in range(rounds):
         mine = np.argmax(v @ centres.T, axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, mine, v)
         norms = np.sqrt((sums**2).sum(axis=1, keepdims=True))
-        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-300), centres)
+        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-30), centres)
     return centres
 
 
@@ -120,7 +123,7 @@ def fit(counts: np.ndarray, langs: np.ndarray, seed: int = 0) -> Centroids:
     rng = np.random.default_rng(seed)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1
     blank = Centroids(names, np.zeros(0, int), np.zeros((0, WIDTH)), idf, np.zeros(32))
-    v = blank.vectors(counts).astype(np.float64)
+    v = blank.vectors(counts)
     parts = [_kmeans(v[langs == name], CENTROIDS, rng) for name in names]
     of, centres = np.repeat(np.arange(len(names)), list(map(len, parts))), np.concatenate(parts)
     best = (v @ centres.T).max(axis=1)
@@ -138,13 +141,16 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
-    """Fit on rows that are not held out and have a language: FIT_ROWS of each language, FIT_ROWS_ALL in all."""
+    """Fit on rows that are not held out and have a language: FIT_ROWS of each language at most, FIT_ROWS_ALL in all."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and id is not null")
     rows = rows.where(~is_held_out(F.col("id"))).select("id", "lang", F.xxhash64("id", F.lit(7)).alias("h"))
-    # first within slices of a language, so that a frequent language is not sorted in one task
-    in_slice = Window.partitionBy("lang", F.expr("pmod(id, 64)")).orderBy("h")
-    some = rows.withColumn("n", F.row_number().over(in_slice)).where(f"n <= {FIT_ROWS}").drop("n")
-    some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(f"n <= {FIT_ROWS}")
+    # a first cut by hash leaves about four times the rows wanted of each language, so that none is sorted whole
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("of_lang")))
+    if counts.count() <= MOST_LANGUAGES:  # else Spark deals the rows by language for the join
+        counts = F.broadcast(counts)
+    below = F.col("h") < F.least(F.lit(1.0), 4.0 * FIT_ROWS / F.col("of_lang")) * 2.0**64 - 2.0**63
+    some = rows.join(counts, "lang").where((F.col("of_lang") <= 4 * FIT_ROWS) | below)
+    some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(f"n <= {FIT_ROWS}")
     some = some.orderBy("n", "h").limit(FIT_ROWS_ALL).select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +190,9 @@ def identify(docs: DataFrame, model: Centroids | None = None, id_col: str = "doc
 def keep_identified(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, with its columns, whose text is not rejected; texts are not shuffled."""
     model = learn(docs, id_col, text_col, lang_col)
-    at = docs.schema.fieldNames().index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                some = batch.slice(start, 1024)
-                _, _, rejected = model.predict(some.column(at).to_pylist())
-                yield some.filter(pa.array(~rejected))
+    @F.arrow_udf("boolean")
+    def stays(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([~model.predict(texts.slice(at, 1024).to_pylist())[2] for at in range(0, len(texts), 1024)] or [np.zeros(0, bool)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(stays(F.col(text_col).cast("string")))
