@@ -211,7 +211,10 @@ def nearest(table: DataFrame, is_query: str, k: int = 5, parts: int | None = Non
     sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     routers = {}
     for d, n in sizes.items():
-        sample = rows.where(F.col("dim") == d).select("v", F.xxhash64("vec_id", F.lit(11)).alias("h")).orderBy("h").limit(SAMPLE_ROWS).toPandas()
+        some = rows.where(F.col("dim") == d).select("v", F.xxhash64("vec_id", F.lit(11)).alias("h"))
+        if n > 4 * SAMPLE_ROWS:  # a first cut by hash, so that tasks send few rows on
+            some = some.where(F.col("h") < int(2**64 * 4 * SAMPLE_ROWS / n) - 2**63)
+        sample = some.orderBy("h").limit(SAMPLE_ROWS).toPandas()
         wanted = parts or 1 << max(0, min(6, (n // 256).bit_length() - 1))
         routers[d] = fit_router(_unit(np.stack(sample["v"].to_numpy())), wanted, k, target)
     if not routers:
