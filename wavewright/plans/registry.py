@@ -1065,7 +1065,8 @@ def session_signals(spark, d):
     return sessions.current_signal(s, log, ["conv_id"]).select("conv_id", "t", "current")
 
 
-@query()
+@query("""WITH a AS (SELECT DISTINCT conv_id, turn, conv_id + turn AS k, CASE WHEN turn > 0 AND (conv_id + turn) % 3 = 0 THEN 'revert' WHEN (conv_id + turn) % 3 = 1 THEN 'protect' ELSE 'blend' END AS action FROM conversations)
+    SELECT conv_id, count(*) AS n_actions, list_reduce(list_prepend(repeat('0', 64), list(concat_ws('|', turn, action, k % 5, k % 5 + 3) ORDER BY turn)), lambda x, y: sha256(x || '|' || y)) AS chain FROM a GROUP BY conv_id""")
 def action_chain(spark, d):
     return sessions.chain_actions(action_log(spark, d), ["conv_id"], ["action", "start", "end"])
 
@@ -1087,7 +1088,7 @@ def array_hashes(spark, d):
     return digests.prefix_digests(p.withColumn("training_end", F.lit(16))).select(*KW, "digest", "prefix_digest")
 
 
-@query()
+@query("""SELECT event_id, sha256(CAST(json(props) AS VARCHAR)) AS digest FROM events""")
 def canonical_json_hashes(spark, d):
     return digests.json_digests(table(spark, d, "events").select("event_id", "props"), "props").select("event_id", "digest")
 
