@@ -25,6 +25,8 @@ CENTROIDS = 4
 FIT_ROWS, FIT_ROWS_ALL = 1000, 8_000
 #: Up to so many languages, their counts are broadcast.
 MOST_LANGUAGES = 10_000
+#: A text is too far below this share of the least cosine seen for texts of its size.
+REACH = 0.4
 UNKNOWN = "und"
 _SPAN = 1 << 20
 
@@ -89,7 +91,7 @@ class Centroids:
         cos = self.vectors(counts) @ self.centres.T
         best = np.argmax(cos, axis=1)
         near = np.clip(cos[np.arange(len(at)), best].astype(np.float64), 0.0, 1.0)
-        far = near < 0.6 * self.least[size_class(counts)]
+        far = near < REACH * self.least[size_class(counts)]
         for i, b, s, r in zip(at, best, near, far, strict=True):
             langs[i], score[i], rejected[i] = self.langs[self.of[b]], s, r
         return langs, score, rejected
