@@ -982,10 +982,10 @@ def concern_cues(spark, d):
 
 @query(CONCERN + """, r AS (SELECT *, i - row_number() OVER (PARTITION BY series_id, w ORDER BY i) AS g FROM cc WHERE level <> 'low'),
     a AS (SELECT series_id, w, min(i) AS a, max(i) + 1 AS b, max(concern) AS peak, avg(concern) AS mean, avg(ch) AS m1, avg(morphology) AS m2, avg(uncertainty) AS m3, bool_or(level = 'high') AS hi FROM r GROUP BY series_id, w, g)
-    SELECT series_id, w, a AS "start", b AS "end", round(peak, 6) AS peak, round(mean, 6) AS mean, CASE WHEN m1 >= m2 AND m1 >= m3 THEN 'score change' WHEN m2 >= m3 THEN 'morphology' ELSE 'stochastic disagreement' END AS dominant_cue, CASE WHEN hi THEN 'high' ELSE 'medium' END AS level FROM a""")
+    SELECT series_id, w, a AS "start", b AS "end", round(peak, 4) AS peak, round(mean, 4) AS mean, CASE WHEN m1 >= m2 AND m1 >= m3 THEN 'score change' WHEN m2 >= m3 THEN 'morphology' ELSE 'stochastic disagreement' END AS dominant_cue, CASE WHEN hi THEN 'high' ELSE 'medium' END AS level FROM a""")
 def concern_intervals(spark, d):
     c = cues.concern(cue_samples(spark, d), KW, order="i")
-    return cues.concern_intervals(c, KW, "i").select(*KW, "start", "end", r6(F.col("peak"), "peak"), r6(F.col("mean"), "mean"), "dominant_cue", "level")
+    return cues.concern_intervals(c, KW, "i").select(*KW, "start", "end", F.round("peak", 4).alias("peak"), F.round("mean", 4).alias("mean"), "dominant_cue", "level")
 
 
 @query(FILT + """ SELECT series_id, w, i, round(least(1, abs(filtered - value) / 100.0), 6) AS score_cue, round(least(1, abs(filtered - value) / 60.0), 6) AS signal_cue FROM f""")
