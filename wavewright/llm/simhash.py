@@ -231,11 +231,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of docs, with its columns, whose document is the least of its component, each id once.
+    """The rows of docs, with its columns, whose document is the least of its component, each id once."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, radius), id_col)
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is the component_id of groups (doc_id, component_id), each id once.
 
     Rows with a null id stay. Only if an id is repeated are its rows shuffled to choose one of them.
     """
-    groups = cut(near_duplicates(docs, id_col, text_col, radius))
+    groups = cut(groups)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     kept = cut(kept.withColumnsRenamed({"doc_id": "__id", "n_rows": "__n"}))
     joined = docs.join(kept, docs[id_col].cast("long") == kept["__id"], "left")
