@@ -80,3 +80,26 @@ def test_languages(spark):
     assert langid.identify(docs.limit(0)).isEmpty() and langid.keep_identified(docs.limit(0)).isEmpty()
     unlearned = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in unlearned.collect()} == {"und"}
+
+
+def test_foreign_texts_are_rejected(spark, sf):
+    model = langid.learn(spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet"))
+    rng = np.random.default_rng(3)
+    polish = "wczoraj wieczorem poszliśmy nad rzekę żeby zobaczyć jak zachodzi słońce a potem wróciliśmy powoli do domu przez ciemny las w którym śpiewały jeszcze ptaki moja babcia zawsze powtarzała że najlepszy chleb piecze się w drewnianym piecu".split()
+    finnish = "eilen illalla kävelimme järven rannalle katsomaan auringonlaskua ja palasimme sitten hitaasti kotiin pimeän metsän läpi jossa linnut vielä lauloivat isoäitini sanoi aina että paras leipä paistetaan puulämmitteisessä uunissa".split()
+    gibberish = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 10)))) for _ in range(10_000)]
+    for n in (100, 300, 1000, 10_000):
+        texts = [" ".join(rng.choice(polish, n)), " ".join(rng.choice(finnish, n)), " ".join(gibberish[:n])]
+        assert model.predict(texts)[2].all(), n
+    short = ["Reouti anatha. 19.37.233.111", "Dans mentierment de ierpation eauen éê éch des.", 'Onst ator re reinged in anthouat. token = "5f367f08b1a810c7777ad785b0be42018"', "Ating. " * 300]
+    assert not model.predict(short)[2].any()
+
+
+def test_one_odd_text_does_not_widen_the_radius():
+    rng = np.random.default_rng(2)
+    words = ["house", "garden", "river", "town", "street", "bridge", "window", "morning"]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(300)]
+    fitted = lambda more: langid.fit(np.stack([langid.gram_counts(t) for t in texts + more]), np.array(["en"] * (len(texts) + len(more)), object))
+    odd = "zqx vkj wqz pfy jxk qvv " * 10
+    stranger = "ørsted gyldig højskole smørrebrød æble længe " * 10
+    assert fitted([]).predict([stranger])[2][0] and fitted([odd]).predict([stranger])[2][0]

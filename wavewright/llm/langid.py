@@ -3,7 +3,7 @@
 Whole texts become hashed character n-gram counts (1 to 3 characters, words bounded by a space), weighted by
 TF-IDF and scaled to length one. Each language has several centroids from spherical k-means, and a text takes
 the language of the centroid with the largest cosine. A text is rejected if it has no letter or if its distance
-is beyond the radius seen in training for texts of about its size.
+is beyond the radius seen in training for texts of its language and about its size.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ CENTROIDS = 4
 FIT_ROWS, FIT_ROWS_ALL = 1000, 8_000
 #: Up to so many languages, their counts are broadcast.
 MOST_LANGUAGES = 10_000
-#: A text is too far below this share of the least cosine seen for texts of its size.
-REACH = 0.4
+#: A text is too far below this share of the low quantile of the cosines seen for texts of its language and size.
+REACH, LOW = 0.5, 0.01
+#: Texts that a quantile is taken of, at least: those of the size, then the next smaller ones.
+LOW_ROWS = 50
+#: Size classes: half powers of two of the number of distinct grams.
+SIZES = 2 * WIDTH.bit_length()
 UNKNOWN = "und"
 _SPAN = 1 << 20
 
@@ -73,8 +77,8 @@ class Centroids:
     of: np.ndarray  # language number of each centroid
     centres: np.ndarray
     idf: np.ndarray
-    #: Least cosine seen in training for each size class (log2 of the number of grams).
-    least: np.ndarray
+    #: Low quantile of the cosines seen in training for each language and size class.
+    low: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts, dtype=np.float32) * self.idf.astype(np.float32)
@@ -91,14 +95,28 @@ class Centroids:
         cos = self.vectors(counts) @ self.centres.T
         best = np.argmax(cos, axis=1)
         near = np.clip(cos[np.arange(len(at)), best].astype(np.float64), 0.0, 1.0)
-        far = near < REACH * self.least[size_class(counts)]
+        far = near < REACH * self.low[self.of[best], size_class(counts)]
         for i, b, s, r in zip(at, best, near, far, strict=True):
             langs[i], score[i], rejected[i] = self.langs[self.of[b]], s, r
         return langs, score, rejected
 
 
 def size_class(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(counts.sum(axis=-1), 1)).astype(np.int64), 31)
+    """By distinct grams, so that a few words said again and again count as the short text that they are."""
+    return (2 * np.log2(np.maximum((counts > 0).sum(axis=-1), 1))).astype(np.int64)
+
+
+def _low_quantiles(cos: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A low quantile of the cosines of one language's texts for each size class. Below the smallest size with
+    LOW_ROWS texts of it or smaller, too few were seen for a bound, and it falls with the number of grams."""
+    out = np.zeros(SIZES)
+    order = np.argsort(-sizes, kind="stable")
+    cos, sizes = cos[order], sizes[order]
+    first = int(sizes[-min(LOW_ROWS, len(sizes))])
+    for c in range(first, SIZES):
+        out[c] = np.quantile(cos[sizes <= c][: max(LOW_ROWS, int((sizes == c).sum()))], LOW)
+    out[:first] = out[first] * 2.0 ** ((np.arange(first) - first) / 2)
+    return out
 
 
 def _kmeans(v: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -121,21 +139,16 @@ def fit(counts: np.ndarray, langs: np.ndarray, seed: int = 0) -> Centroids:
     """counts: one row of n-gram counts for each text, all of texts with letters."""
     names = tuple(sorted(set(langs.tolist())))
     if not names:
-        return Centroids((), np.zeros(0, int), np.zeros((0, WIDTH)), np.ones(WIDTH), np.zeros(32))
+        return Centroids((), np.zeros(0, int), np.zeros((0, WIDTH)), np.ones(WIDTH), np.zeros((0, SIZES)))
     rng = np.random.default_rng(seed)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1
-    blank = Centroids(names, np.zeros(0, int), np.zeros((0, WIDTH)), idf, np.zeros(32))
+    blank = Centroids(names, np.zeros(0, int), np.zeros((0, WIDTH)), idf, np.zeros((len(names), SIZES)))
     v = blank.vectors(counts)
     parts = [_kmeans(v[langs == name], CENTROIDS, rng) for name in names]
     of, centres = np.repeat(np.arange(len(names)), list(map(len, parts))), np.concatenate(parts)
-    best = (v @ centres.T).max(axis=1)
-    least, sizes = np.full(32, np.nan), size_class(counts)
-    for c in np.unique(sizes):
-        least[c] = best[sizes == c].min()
-    known = np.flatnonzero(~np.isnan(least))
-    least = np.interp(np.arange(32), known, least[known])  # a class that training lacks lies between its neighbours
-    least[: known[0]] = least[known[0]] * 2.0 ** (np.arange(known[0]) - known[0])
-    return Centroids(names, of, centres, idf, np.minimum.accumulate(least[::-1])[::-1])
+    sizes = size_class(counts)
+    low = [_low_quantiles((v[langs == name] @ part.T).max(axis=1), sizes[langs == name]) for name, part in zip(names, parts, strict=True)]
+    return Centroids(names, of, centres, idf, np.stack(low))
 
 
 def is_held_out(id_col: Column) -> Column:
