@@ -68,3 +68,43 @@ def test_frame(spark):
     found = sorted(map(tuple, hw.extract(df).collect()), key=repr)
     assert found == sorted([(1, "http://a.b/x", "A", 1), (1, "http://a.b/x", "A", 1), (2, None, "", 0), (None, "nonsense", "B", 1)], key=repr)
     assert hw.extract(df.limit(0)).isEmpty()
+
+
+def plain_score(a, b):
+    kids = lambda t: [[k for k, up in enumerate(t[1]) if up == n] for n in range(len(t[0]))]
+    ka, kb = kids(a), kids(b)
+
+    def score(i, j):
+        if a[0][i] != b[0][j]:
+            return 0
+        best = [[0] * (len(kb[j]) + 1) for _ in range(len(ka[i]) + 1)]
+        for x, p in enumerate(ka[i], 1):
+            for y, q in enumerate(kb[j], 1):
+                best[x][y] = max(best[x - 1][y], best[x][y - 1], best[x - 1][y - 1] + score(p, q))
+        return 1 + best[-1][-1]
+
+    return score(0, 0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("xyz"), st.integers(0, 99)), max_size=16), st.lists(st.tuples(st.sampled_from("xyz"), st.integers(0, 99)), max_size=16), st.sampled_from([1, 4, 1 << 20]))
+def test_tree_match_is_largest(one, other, cells):
+    a, b = ((("r", *(x for x, _ in nodes)), (-1, *(up % (k + 1) for k, (_, up) in enumerate(nodes)))) for nodes in (one, other))
+    old, hw.TABLE_CELLS = hw.TABLE_CELLS, cells
+    try:
+        found = hw.tree_match(a, b)
+    finally:
+        hw.TABLE_CELLS = old
+    assert len(found) == len(set(found.values())) == plain_score(a, b)
+    assert all(a[0][i] == b[0][j] and (j == 0 or found[b[1][j]] == a[1][i]) for j, i in found.items())
+
+
+def test_large_pages_are_aligned():
+    def big(word, n):
+        body = "".join(f"<p>{word} {k}</p><h3>{word} part {k}</h3>" for k in range(n))
+        return f'<body><div class="top"><p>My Site</p><b>home</b></div><div class="x">{body}</div><div class="z"><p>Copyright</p></div></body>'
+
+    pages = [big(w, n) for w, n in (("alpha", 900), ("beta", 910), ("gamma", 920), ("delta", 2500), ("eps", 3), ("zeta", 900))]
+    texts = hw.extract_run(pages)
+    assert all("Site" not in t and "Copyright" not in t for t in texts)
+    assert [t.count("\n") for t in texts] == [1799, 1819, 1839, 4999, 5, 1799]

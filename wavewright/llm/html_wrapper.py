@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 #: Pages, and characters, that are aligned with one reference.
 RUN_PAGES, RUN_CHARS = 64, 4_000_000
 MAX_DEPTH = 60
-#: Products of node counts up to which two trees are aligned; larger pages are judged by themselves.
-MATCH_LIMIT = 250_000
+#: Cells of a table of two lists of children; longer lists are halved first.
+TABLE_CELLS = 1 << 20
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -205,42 +206,128 @@ def _children(tree: tuple) -> list[list[int]]:
     return kids
 
 
+def _kinds(trees: list[tuple]) -> tuple[list[list[int]], list[list[int]], list[str], list[int]]:
+    """(kind of each node of each tree, kinds of each kind's children, its label, its size): equal subtrees are of
+    one kind."""
+    number: dict[tuple, int] = {}
+    below: list[list[int]] = []
+    labels: list[str] = []
+    sizes: list[int] = []
+    out = []
+    for tree in trees:
+        kids, kinds = _children(tree), [0] * len(tree[0])
+        for node in range(len(kinds) - 1, -1, -1):  # parents stand before their children
+            under = [kinds[k] for k in kids[node]]
+            key = (tree[0][node], *under)
+            if key not in number:
+                number[key] = len(below)
+                below.append(under)
+                labels.append(tree[0][node])
+                sizes.append(1 + sum(sizes[k] for k in under))
+            kinds[node] = number[key]
+        out.append(kinds)
+    return out, below, labels, sizes
+
+
 def tree_match(a: tuple, b: tuple) -> dict[int, int]:
     """Simple tree matching of two (labels, parents) trees: node of b -> node of a in a largest order-preserving
-    match of like-labelled nodes. Empty if the roots differ."""
-    kids_a, kids_b = _children(a), _children(b)
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
+    match of like-labelled nodes. Empty if the roots differ. Scores are kept for pairs of unlike subtrees only, and
+    a table of two lists of children only while it is read."""
+    (of_a, of_b), below, labels, sizes = _kinds([a, b])
+    scores: dict[tuple[int, int], int] = {}
 
     def score(i: int, j: int) -> int:
-        if a[0][i] != b[0][j]:
-            return 0
-        if (i, j) not in memo:
-            m, n = len(kids_a[i]), len(kids_b[j])
-            best = [[0] * (n + 1) for _ in range(m + 1)]
-            for x in range(1, m + 1):
-                for y in range(1, n + 1):
-                    w = score(kids_a[i][x - 1], kids_b[j][y - 1])
-                    best[x][y] = max(best[x - 1][y], best[x][y - 1], best[x - 1][y - 1] + w)
-            memo[i, j] = (best[m][n] + 1, best)
-        return memo[i, j][0]
+        return sizes[i] if i == j else scores[i, j] if labels[i] == labels[j] else 0
+
+    def last_row(left: list[int], right: list[int], table: list | None = None) -> np.ndarray:
+        """Best scores of all of left with each head of right; rows go to table."""
+        codes, at = np.unique(np.array(right, np.int64), return_inverse=True)
+        weights = {x: np.array([score(x, y) for y in codes.tolist()], np.int64)[at] for x in set(left)}
+        row = np.zeros(len(right) + 1, np.int64)
+        for x in left:
+            if table is not None:
+                table.append(row)
+            new = np.zeros_like(row)
+            new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[x]))
+            row = new
+        if table is not None:
+            table.append(row)
+        return row
+
+    def ends(left: list[int], right: list[int]) -> tuple[int, int]:
+        """Lengths of the like heads and like tails, which some largest match pairs off."""
+        n, head, tail = min(len(left), len(right)), 0, 0
+        while head < n and left[head] == right[head]:
+            head += 1
+        while tail < n - head and left[-1 - tail] == right[-1 - tail]:
+            tail += 1
+        return head, tail
+
+    def best(left: list[int], right: list[int]) -> int:
+        head, tail = ends(left, right)
+        equal = sum(sizes[x] for x in left[:head] + left[len(left) - tail :])
+        left, right = left[head : len(left) - tail], right[head : len(right) - tail]
+        if len(left) * len(right) > 64:
+            return equal + int(last_row(left, right)[-1])
+        row = [0] * (len(right) + 1)
+        for x in left:
+            new = [0]
+            for y, k in enumerate(right):
+                new.append(max(row[y + 1], new[y], row[y] + score(x, k)))
+            row = new
+        return equal + row[-1]
+
+    def pairs(left: list[int], right: list[int]) -> list[tuple[int, int]]:
+        """Positions that a largest match of two lists pairs off."""
+        out, parts = [], [(0, len(left), 0, len(right))]
+        while parts:
+            x0, x1, y0, y1 = parts.pop()
+            head, tail = ends(left[x0:x1], right[y0:y1])
+            out += [(x0 + k, y0 + k) for k in range(head)] + [(x1 - 1 - k, y1 - 1 - k) for k in range(tail)]
+            x0, x1, y0, y1 = x0 + head, x1 - tail, y0 + head, y1 - tail
+            if x0 == x1 or y0 == y1:
+                continue
+            some, others = left[x0:x1], right[y0:y1]
+            if len(some) > 1 and len(some) * len(others) > TABLE_CELLS:
+                half = len(some) // 2
+                cut = int(np.argmax(last_row(some[:half], others) + last_row(some[:half - 1 : -1], others[::-1])[::-1]))
+                parts += [(x0, x0 + half, y0, y0 + cut), (x0 + half, x1, y0 + cut, y1)]
+                continue
+            table: list[np.ndarray] = []
+            last_row(some, others, table)
+            x, y = len(some), len(others)
+            while x and y:
+                w = score(some[x - 1], others[y - 1])
+                if w and table[x][y] == table[x - 1][y - 1] + w:
+                    out.append((x0 + x - 1, y0 + y - 1))
+                    x, y = x - 1, y - 1
+                elif table[x][y] == table[x - 1][y]:
+                    x -= 1
+                else:
+                    y -= 1
+        return out
 
+    if labels[of_a[0]] != labels[of_b[0]]:
+        return {}
+    waiting = [(of_a[0], of_b[0])]
+    while waiting:
+        i, j = waiting[-1]
+        if i == j or (i, j) in scores:
+            waiting.pop()
+            continue
+        need = [(x, y) for x in set(below[i]) for y in set(below[j]) if x != y and labels[x] == labels[y] and (x, y) not in scores]
+        if need:
+            waiting += need
+        else:
+            scores[i, j] = 1 + best(below[i], below[j])
+            waiting.pop()
+    kids_a, kids_b = _children(a), _children(b)
     out: dict[int, int] = {}
-    if not score(0, 0):
-        return out
     todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
         out[j] = i
-        best, x, y = memo[i, j][1], len(kids_a[i]), len(kids_b[j])
-        while x and y:
-            w = score(kids_a[i][x - 1], kids_b[j][y - 1])
-            if w and best[x][y] == best[x - 1][y - 1] + w:
-                todo.append((kids_a[i][x - 1], kids_b[j][y - 1]))
-                x, y = x - 1, y - 1
-            elif best[x][y] == best[x - 1][y]:
-                x -= 1
-            else:
-                y -= 1
+        todo += [(kids_a[i][x], kids_b[j][y]) for x, y in pairs(below[of_a[i]], below[of_b[j]])]
     return out
 
 
@@ -283,8 +370,10 @@ def extract_run(sources: list[str | None]) -> list[str]:
     pages = [Page(s or "") for s in sources]
     skeletons = [p.skeleton() for p in pages]
     frequent = Counter(tree for tree, _ in skeletons)
-    reference = max(frequent, key=lambda t: (frequent[t], len(t[0]), t[0]), default=None)
-    matches = {t: tree_match(reference, t) if len(t[0]) * len(reference[0]) <= MATCH_LIMIT else {} for t in frequent}
+    most = max(frequent.values(), default=0)
+    often = sorted((t for t in frequent if frequent[t] == most), key=lambda t: (len(t[0]), t[0], t[1]))
+    reference = often[len(often) // 2] if often else None  # of median size, so that one huge page does not stand for all
+    matches = {t: tree_match(reference, t) for t in frequent}
     aligned = [(p, of, matches[tree]) for p, (tree, of) in zip(pages, skeletons, strict=True)]
     slot: int | None = None
     out = []
