@@ -108,3 +108,16 @@ def test_large_pages_are_aligned():
     texts = hw.extract_run(pages)
     assert all("Site" not in t and "Copyright" not in t for t in texts)
     assert [t.count("\n") for t in texts] == [1799, 1819, 1839, 4999, 5, 1799]
+
+
+@pytest.mark.parametrize("depth", [10, 55, 58, 200, 5000])
+def test_deep_elements_balance(depth):
+    nested = "<div>" * 10 + "<p>inner</p>" + "</div>" * 10
+    body = "<div>" * depth + f"<article>{nested}<p>after</p><aside>menu</aside></article><nav>menu</nav><div id='comments'>{nested}<p>said</p></div>" + "</div>" * depth
+    assert hw.extract_run([f"<body>{body}</body>"] * 3) == ["inner\nafter"] * 3
+    plain = "<div>" * depth + f"<p>text</p><nav>menu</nav><div id='comments'>{nested}<p>said</p></div>" + "</div>" * depth + "<p>end</p>"
+    assert hw.extract_run([plain]) == ["text\nend"]
+
+
+def test_many_open_tags():
+    assert hw.extract_run(["<div>" * 20_000 + "</section></p><li>" * 20_000 + "x"])[0] == "x"

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 #: Pages, and characters, that are aligned with one reference.
 RUN_PAGES, RUN_CHARS = 64, 4_000_000
-MAX_DEPTH = 60
 #: Cells of a table of two lists of children; longer lists are halved first.
 TABLE_CELLS = 1 << 20
 
@@ -90,8 +89,9 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, depth, buffer, at = [0], 0, [], 0
+        stack, buffer, at = [0], [], 0
         tags, pos, n = self.tag, 0, len(source)
+        opened: Counter = Counter()  # names on the stack, so that it is not searched in vain
 
         def flush() -> None:
             if buffer:
@@ -100,13 +100,19 @@ class Page:
                 if text:
                     self.blocks.append((stack[-1], text))
 
+        def pop_from(i: int) -> None:
+            opened.subtract(tags[node] for node in stack[i:])
+            del stack[i:]
+
         def close(names: tuple[str, ...], stop: tuple[str, ...]) -> None:
+            if not any(opened[name] for name in names):
+                return
             for i in range(len(stack) - 1, 0, -1):
                 t = tags[stack[i]]
                 if t in stop:
                     return
                 if t in names:
-                    del stack[i:]
+                    pop_from(i)
                     return
 
         while pos < n:
@@ -132,9 +138,9 @@ class Page:
                     flush()
                 elif name not in INLINE and name not in VOID:
                     flush()
-                    for i in range(len(stack) - 1, 0, -1):
+                    for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                         if tags[stack[i]] == name:
-                            del stack[i:]
+                            pop_from(i)
                             break
                 continue
             if name in RAW:
@@ -158,10 +164,7 @@ class Page:
             if name in IMPLIED:
                 close(*IMPLIED[name])
             up = stack[-1]
-            depth = len(stack)
             out = out and name not in ("html", "body", "article", "main")
-            if depth > MAX_DEPTH:  # deeper parts belong to the node above
-                continue
             node = len(tags)
             tags.append(name)
             self.parent.append(up)
@@ -171,6 +174,7 @@ class Page:
             self.kids.append([])
             self.kids[up].append(node)
             stack.append(node)
+            opened[name] += 1
         flush()
 
     def skeleton(self) -> tuple[tuple, list[int]]:
