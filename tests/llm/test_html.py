@@ -121,3 +121,30 @@ def test_deep_elements_balance(depth):
 
 def test_many_open_tags():
     assert hw.extract_run(["<div>" * 20_000 + "</section></p><li>" * 20_000 + "x"])[0] == "x"
+
+
+TEXT = "<p>" + "kept words of the story " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("wrapper", ["site has-sidebar", "sidebar", "widget", "elementor-widget elementor-widget-text-editor", "comments-enabled", "header", "share", "ad-free", "toc"])
+def test_names_of_wrappers_keep_the_article(wrapper):
+    source = f'<body><div class="{wrapper}"><div class="in"><article>{TEXT}</article></div><div class="advert">menu</div></div><div class="widget">menu</div></body>'
+    assert hw.extract_run([source])[0] == " ".join(TEXT[3:-4].split())
+
+
+@pytest.mark.parametrize("wrapper", ["elementor-widget elementor-widget-text-editor", "has-sidebar", "header-wide", "widget", "social"])
+def test_names_inside_the_article(wrapper):
+    source = f'<body><article><h1>Head</h1><div class="{wrapper}">{TEXT}</div><div class="widget">menu</div><div class="share">menu</div></article></body>'
+    assert hw.extract_run([source])[0] == "Head\n" + " ".join(TEXT[3:-4].split())
+
+
+@pytest.mark.parametrize("wrapper", ["elementor-widget", "sidebar", "layout-toc"])
+def test_names_around_the_induced_slot(wrapper):
+    pages = [f'<body><div class="top"><p>My Site</p></div><div class="{wrapper}"><p>{w * 60}</p><h2>{w}</h2></div><div class="sidebar">menu</div></body>' for w in ("alpha ", "beta ", "gamma ")]
+    assert [t.splitlines()[-1] for t in hw.extract_run(pages)] == ["alpha", "beta", "gamma"]
+
+
+def test_comments_marked_as_articles_stay_out():
+    comment = '<article class="comment"><p>menu</p></article>'
+    for source in (f'<article>{TEXT}<div id="comments">{comment * 50}</div></article>', f'<div class="story">{TEXT}</div><ol class="comments">{comment * 50}</ol><div class="related">{comment}</div>'):
+        assert hw.extract_run([f"<body>{source}</body>"])[0] == " ".join(TEXT[3:-4].split())

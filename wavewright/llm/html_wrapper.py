@@ -34,6 +34,10 @@ LEFT_OUT_NAMES = frozenset(
     "breadcrumb breadcrumbs footer foot header masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations widget widgets comment comments disqus reply replies respond pagination pager tags toc disclaimer".split()
 )
+#: Names that wrappers of content also have: they count as whole class tokens only, and not for most of a page's text.
+AMBIGUOUS = frozenset("banner sidebar side rail header widget widgets alert notice share sharing social tags toc reply respond promo overlay menu subscribe login signup footer related".split())
+#: Whole tokens that leave out even articles inside, as comments and teasers are often marked so.
+FIRM = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: What an opening tag ends, up to the containers named second.
 IMPLIED = {
@@ -47,9 +51,23 @@ _ATTR = re.compile(r"""(class|id|role|hidden|style|itemprop)\s*(?:=\s*(?:"([^"]*
 _WORD = re.compile(r"[a-z]+")
 
 
-def _flags(attrs: str) -> tuple[str, bool, bool]:
-    """(label, is left out, is main) of a tag's attributes."""
-    label, out, main = "", False, False
+#: How an element is left out by its class or id.
+NO, WEAK, NAMED, ALWAYS = range(4)
+
+
+def _named(value: str) -> int:
+    """By a class or id: WEAK by an ambiguous name, NAMED by another, ALWAYS by a firm one."""
+    tokens = set(value.split())
+    if not FIRM.isdisjoint(tokens):
+        return ALWAYS
+    if not (LEFT_OUT_NAMES - AMBIGUOUS).isdisjoint(_WORD.findall(value)):
+        return NAMED
+    return WEAK if not AMBIGUOUS.isdisjoint(tokens) else NO
+
+
+def _flags(attrs: str) -> tuple[str, bool, int, bool]:
+    """(label, is left out, how it is left out by name, is main) of a tag's attributes."""
+    label, out, named, main = "", False, NO, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden":
@@ -64,8 +82,8 @@ def _flags(attrs: str) -> tuple[str, bool, bool]:
         else:
             if name == "class":
                 label = " ".join(sorted(set(_WORD.findall(value))))
-            out |= not LEFT_OUT_NAMES.isdisjoint(_WORD.findall(value))
-    return label, out, main
+            named = max(named, _named(value))
+    return label, out, named, main
 
 
 def _after_element(source: str, name: str, pos: int) -> int:
@@ -86,7 +104,9 @@ class Page:
         self.parent, self.tag, self.label, self.out, self.main = [-1], ["#root"], ["#root"], [False], [False]
         self.kids: list[list[int]] = [[]]
         self.blocks: list[tuple[int, str]] = []
+        self.named = [NO]
         self._read(source)
+        self._leave_out_named()
 
     def _read(self, source: str) -> None:
         stack, buffer, at = [0], [], 0
@@ -151,9 +171,9 @@ class Page:
                 continue
             if name in INLINE and not m["attrs"]:
                 continue
-            label, out, main = _flags(m["attrs"]) if m["attrs"] else ("", False, False)
+            label, out, named, main = _flags(m["attrs"]) if m["attrs"] else ("", False, NO, False)
             if name in INLINE:
-                if out and name not in VOID:
+                if (out or named) and name not in VOID:
                     pos = _after_element(source, name, pos)
                 continue
             flush()
@@ -164,12 +184,14 @@ class Page:
             if name in IMPLIED:
                 close(*IMPLIED[name])
             up = stack[-1]
-            out = out and name not in ("html", "body", "article", "main")
+            if name in ("html", "body", "article", "main"):
+                out, named = False, NO
             node = len(tags)
             tags.append(name)
             self.parent.append(up)
             self.label.append(f"{name}.{label}" if label else name)
             self.out.append(self.out[up] or out or name in LEFT_OUT)
+            self.named.append(named)
             self.main.append(main or name in ("article", "main"))
             self.kids.append([])
             self.kids[up].append(node)
@@ -177,6 +199,39 @@ class Page:
             opened[name] += 1
         flush()
 
+    def _leave_out_named(self) -> None:
+        """Leave out elements by their names, but none that holds the page's only articles (or, without articles,
+        only main parts), and by an ambiguous name none that holds most of the text."""
+        if not any(self.named):
+            return
+        n = len(self.tag)
+        size = [0] * n
+        for node, text in self.blocks:
+            if not self.out[node]:
+                size[node] += len(text)
+        for node in range(n - 1, 0, -1):
+            size[self.parent[node]] += size[node]
+        named = [NO if how == WEAK and 2 * size[node] > size[0] else how for node, how in enumerate(self.named)]
+
+        def under(how: list[int]) -> list[int]:
+            most = how[:]
+            for node in range(1, n):
+                most[node] = max(most[node], most[self.parent[node]])
+            return most
+
+        most = under(named)
+        marked = [node for node in range(n) if self.main[node] and not self.out[node]]
+        for kind in ([m for m in marked if self.tag[m] == "article"], marked):
+            if kind:
+                if all(most[m] for m in kind):
+                    for m in kind:
+                        at = m if most[m] < ALWAYS else -1
+                        while at > 0:
+                            named[at], at = NO, self.parent[at]
+                    most = under(named)
+                break
+        self.out = [out or how > NO for out, how in zip(self.out, most, strict=True)]
+
     def skeleton(self) -> tuple[tuple, list[int]]:
         """(tree, node of the tree for each node of the page): like leaf siblings in a row are one node. A tree is
         (labels, parents) in page order."""
