@@ -144,6 +144,18 @@ def test_quotes_match_sql(spark, tmp_path):
     assert plain(found) == plain(oracle(queries.ORACLE_SQL["op10_quotation_linking"], str(tmp_path)))
 
 
+def test_some_paragraphs_wrapped_anew(spark):
+    rows = [
+        (1, 0, "user", "Hello\nall"),
+        (1, 1, "user", "The first paragraph has a long line of words.\n\nThe second one is left out.\n\nThe third follows after it, and ends."),
+        (1, 2, "assistant", "> The first paragraph has\n> a long line of words.\n>\n> The third follows\n> after it, and ends.\nagreed"),
+        (1, 3, "user", "> The third follows\n> after it, and ends.\n> \n> never said by anyone\nyes"),
+        (1, 4, "user", "> > The first paragraph has a long\n> > line of words.\n> >\n> > something else\nno"),
+    ]
+    found = threads_of(spark, rows)
+    assert {k[1]: (r["reply_to"], r["thread_root"]) for k, r in found.items()} == {0: (None, 0), 1: (None, 1), 2: (1, 1), 3: (1, 1), 4: (1, 1)}
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "user", "start")] + [(1, i, "user", (f"> message {i - 1}\n" if i > 1 else "> start\n") + f"message {i}") for i in range(1, 40)]
     found = threads_of(spark, rows)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 _MARKS = r"^[ \t]*(?:>[ \t]?)+"
+_BLANK = r"\n[ \t]*\n"
 _ATTRIBUTION = r"^[ \t]*(?:On\b.{0,300}\bwrote|.{1,200}\bwrote|.{1,200}\bschrieb|.{1,200}\ba écrit|.{1,200}\bescribió)[ \t]*:[ \t]*$"
 
 
@@ -49,7 +50,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, passage, quoted_turn): each linked passage of each message.
 
     messages: conv_id, turn, text. A passage links to the least earlier turn of its conversation that has it; if
-    none has the whole passage, its lines are linked by themselves.
+    none has the whole passage, its lines and then its paragraphs (between blank quoted lines, perhaps wrapped anew)
+    are linked by themselves.
     """
     quoting = messages.where(F.col("text").rlike(r"(?m)" + _MARKS) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     message = ["conv_id", "turn", "h"]
@@ -61,18 +63,20 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     body = F.regexp_replace("line", _MARKS, "").alias("body")
     passages = runs.select(*message, "passage", "level", "pos", body).groupBy(*message, "passage", "level").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("bodies"))
     passages = passages.select("conv_id", "turn", "passage", "level", F.transform("bodies", lambda x: x["body"]).alias("bodies"))
-    whole = passages.select("conv_id", "turn", "passage", "level", F.lit(-1).alias("line"), _normal(F.array_join("bodies", "\n")).alias("normal"))
-    single = passages.where("size(bodies) > 1").select("conv_id", "turn", "passage", "level", F.posexplode("bodies").alias("line", "body")).withColumn("normal", _normal(F.col("body"))).drop("body")
-    asked = whole.unionByName(single).where("normal <> ''").select("conv_id", "turn", "passage", "level", "line", _key(F.col("normal")).alias("key"))
+    passage, joined = ["conv_id", "turn", "passage", "level"], F.array_join("bodies", "\n")
+    whole = passages.select(*passage, F.lit(0).alias("unit"), F.lit(0).alias("at"), joined.alias("body"))
+    paragraphs = passages.select(*passage, F.split(joined, _BLANK).alias("bodies")).where("size(bodies) > 1").select(*passage, F.lit(2).alias("unit"), F.posexplode("bodies").alias("at", "body"))
+    single = passages.where("size(bodies) > 1").select(*passage, F.lit(1).alias("unit"), F.posexplode("bodies").alias("at", "body"))
+    asked = whole.unionByName(paragraphs).unionByName(single).withColumn("normal", _normal(F.col("body"))).where("normal <> ''").select(*passage, "unit", "at", _key(F.col("normal")).alias("key"))
 
     with_quotes = quoting.select("conv_id").distinct()
     own = messages.where("turn is not null").join(with_quotes, "conv_id", "left_semi").select("conv_id", "turn", _own_lines(_lines(F.coalesce("text", F.lit("")))).alias("own"))
     body = F.array_join("own", "\n")
-    units = F.array_distinct(F.transform(F.concat(F.array(body), F.split(body, r"\n[ \t]*\n"), F.col("own")), _normal))
+    units = F.array_distinct(F.transform(F.concat(F.array(body), F.split(body, _BLANK), F.col("own")), _normal))
     units = own.select("conv_id", "turn", F.explode(units).alias("normal")).where("normal <> ''")
     origin = units.groupBy("conv_id", _key(F.col("normal")).alias("key")).agg(F.min("turn").alias("quoted_turn"))
     linked = asked.join(origin, ["conv_id", "key"]).where("quoted_turn < turn")
-    return linked.groupBy("conv_id", "turn", "level", "passage").agg(F.min_by("quoted_turn", "line").alias("quoted_turn"))
+    return linked.groupBy("conv_id", "turn", "level", "passage").agg(F.min_by("quoted_turn", F.struct("unit", "at")).alias("quoted_turn"))
 
 
 def threads(links: DataFrame, max_rounds: int = 64) -> DataFrame:
