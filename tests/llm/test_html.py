@@ -148,3 +148,64 @@ def test_comments_marked_as_articles_stay_out():
     comment = '<article class="comment"><p>menu</p></article>'
     for source in (f'<article>{TEXT}<div id="comments">{comment * 50}</div></article>', f'<div class="story">{TEXT}</div><ol class="comments">{comment * 50}</ol><div class="related">{comment}</div>'):
         assert hw.extract_run([f"<body>{source}</body>"])[0] == " ".join(TEXT[3:-4].split())
+
+
+def neutral(source):
+    """The page with the marks, names and roles of its parts taken away."""
+    source = source.replace("<article>", "<div>").replace("</article>", "</div>").replace('<div class="ad">', "<div>")
+    return re.sub(r"(</?)(?:nav|footer)>", r"\1div>", source)
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 200])
+def test_neutral_markup_is_induced_alike_on_any_partitions(spark, sf, partitions):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").toPandas()
+    bare = pages.assign(html=pages.html.map(neutral)).sample(frac=1, random_state=partitions)
+    found = hw.extract(spark.createDataFrame(bare).repartition(partitions)).toPandas()
+    hosts = pages.assign(host=pages.url.str.extract(r"//([^/]+)")[0], bare=pages.html.map(neutral)).groupby("host")
+    expected = {i: t for _, g in hosts for i, t in zip(g.page_id, hw.extract_run(list(g.bare)), strict=True)}
+    assert dict(zip(found.page_id, found.text, strict=True)) == expected
+    right = dict(zip(pages.page_id, pages.html.map(article), strict=True))
+    of_many = {i for _, g in hosts if len(g) >= 3 for i in g.page_id}
+    assert of_many and all(expected[i] == right[i] for i in of_many)
+
+
+def plain_wrapper(pages):
+    """The text that varies over pages of one frame, told by hand: each page is (top, story, side, bottom)."""
+    return ["\n".join(story) for _, story, _, _ in pages]
+
+
+@pytest.mark.parametrize("n", [3, 7])
+def test_constant_text_inside_the_content_is_template(n):
+    frame = [((), [f"head {k}", *(f"told {k} {j} " + "word " * 20 for j in range(k % 3 + 1)), "Share this story"], (), ()) for k in range(n)]
+    sources = [f"<body><div>My Site</div><div><h2>{s[0]}</h2>{''.join(f'<p>{x}</p>' for x in s[1:-1])}<h4>{s[-1]}</h4></div><div>News of today {k}</div></body>" for k, (_, s, _, _) in enumerate(frame)]
+    cut = [[" ".join(x.split()) for x in page.split("\n")] for page in plain_wrapper(frame)]
+    assert hw.extract_run(sources) == ["\n".join(x[:-1]) for x in cut]
+
+
+def test_copies_do_not_turn_their_article_into_template():
+    copy = "<body><div>Site {}</div><div><h2>one</h2><p>" + "same words " * 40 + "</p></div></body>"
+    texts = hw.extract_run([copy.format(k) for k in range(20)] + [page(f"<p>{w * 30}</p>") for w in ("alpha ", "beta ")])
+    assert texts[:20] == ["one\n" + ("same words " * 40).strip()] * 20
+
+
+@pytest.mark.parametrize("part", ['<p class="side-effects">kept</p>', '<p id="share-price">kept</p>', '<div class="notice-board">kept</div>'])
+def test_parts_of_names_leave_nothing_out(part):
+    assert hw.extract_run([f"<body><article><p>{'words ' * 9}</p>{part}</article></body>"])[0].endswith("kept")
+
+
+@pytest.mark.parametrize("unclosed", ['<svg><path d="x">', "<noscript>", "<object>", "<select>", "<iframe>"])
+def test_nothing_is_lost_after_an_unclosed_element(unclosed):
+    assert hw.extract_run([f"<body>{unclosed}<article><p>a</p>{unclosed}<p>b</p></article></body>"]) == ["a\nb"]
+    assert hw.extract_run([f"<body><article><p>a</p><svg><svg>menu</svg>menu</svg><p>b</p></article>{unclosed}"]) == ["a\nb"]
+
+
+def test_links_and_headings_break_ties_without_marks():
+    source = "<body><div><a href=x>long list of many links to other pages</a></div><div><h1>Title</h1><p>short</p></div><div><p>about as long</p></div></body>"
+    assert hw.extract_run([source]) == ["Title\nshort"]
+
+
+@pytest.mark.parametrize("sizes", [[(3, 2, 1)], [(3, 1, 1), (9, 1, 1)], [(5, 1, 4), (7, 1, 1), (2, 1, 1)], [(4, 1, 9), (6, 2, 1)]])
+def test_median_of_most_frequent(sizes):
+    most = max(n for _, n, _ in sizes)
+    spelled = sorted(size for size, n, trees in sizes if n == most for _ in range(trees))
+    assert hw.median_of_most_frequent(sizes) == spelled[len(spelled) // 2]

@@ -1,10 +1,15 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are dealt, in bounded runs, to tasks. Each page becomes a DOM tree; runs of like leaf
-siblings are collapsed, and the trees of a run are aligned with a reference by simple tree matching. Aligned
-nodes whose text is the same on most pages are template; the varying slot with most text is the content. Where
-the template marks its content with ``article`` or ``main``, that slot is taken. Inside the slot, parts with a
+Every page becomes a DOM tree in which runs of like leaf siblings are one node. For each host one reference tree is
+chosen (the most frequent one, of median size among equals), the trees of all its pages are aligned with it by
+simple tree matching, and texts are pooled by the reference's nodes. Nodes whose text is the same on most pages are
+template; the content is the subtree that holds most of the text that varies and is no link. ``article`` and ``main``
+only break ties and keep the descent from going below them. Inside the content, template texts and parts with a
 boilerplate role (menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out.
+
+Pages of a host whose longest text is the same are copies and count once, so that copies do not turn their article
+into template. What is learned of a host is a sum over all its distinct pages, so it does not depend on how rows are
+partitioned, and a host with very many pages is never gathered in one task.
 """
 
 from __future__ import annotations
@@ -12,32 +17,49 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages, and characters, that are aligned with one reference.
-RUN_PAGES, RUN_CHARS = 64, 4_000_000
+from .common import cut
+
 #: Cells of a table of two lists of children; longer lists are halved first.
 TABLE_CELLS = 1 << 20
+#: Texts held by a task before it writes their sums.
+HELD_TEXTS = 200_000
+#: Up to so many characters, the wrappers of all hosts are broadcast; else pages are shuffled by host.
+MOST_BROADCAST = 32_000_000
+#: Share of the varying text that a child must hold to be entered; against a marked sibling it must hold more.
+ENTERS, ENTERS_AGAINST_MARK = 0.7, 0.9
+#: With fewer distinct pages nothing can be told to be template.
+LEAST_PAGES = 3
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select noembed noframes xmp".split())
+#: Elements whose content is text to the very end of the page if they are not closed.
+TEXT_ONLY = frozenset("script style textarea title xmp".split())
+#: Follows the label of an element that is marked as content by role or item property.
+MARK = "!"
 LEFT_OUT = frozenset("head nav header footer aside form button dialog menu fieldset audio video canvas map datalist".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tooltip status".split())
+#: Whole class or id tokens that leave an element out, unless it holds most of the content's text.
 LEFT_OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side rail menu nav navbar navigation "
     "breadcrumb breadcrumbs footer foot header masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations widget widgets comment comments disqus reply replies respond pagination pager tags toc disclaimer".split()
+    "subscription signup login share sharing social widget widgets respond pagination pager tags toc disclaimer".split()
 )
-#: Names that wrappers of content also have: they count as whole class tokens only, and not for most of a page's text.
-AMBIGUOUS = frozenset("banner sidebar side rail header widget widgets alert notice share sharing social tags toc reply respond promo overlay menu subscribe login signup footer related".split())
-#: Whole tokens that leave out even articles inside, as comments and teasers are often marked so.
+#: First parts of hyphenated tokens that leave out as well.
+LEFT_OUT_STEMS = frozenset("advert adverts advertisement advertising adsense sponsored cookie cookies gdpr newsletter breadcrumb breadcrumbs disqus pagination".split())
+#: Whole tokens of readers' comments and teasers: left out of the induction too, as their text varies from page to page.
 FIRM = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
+#: Leaves of running text; beside the content they belong to it if they vary.
+PROSE = frozenset("p h1 h2 h3 h4 blockquote pre ul ol dl".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: What an opening tag ends, up to the containers named second.
 IMPLIED = {
@@ -49,20 +71,21 @@ IMPLIED = {
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|style|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_]")
 
 
 #: How an element is left out by its class or id.
-NO, WEAK, NAMED, ALWAYS = range(4)
+NO, NAMED, ALWAYS = range(3)
 
 
 def _named(value: str) -> int:
-    """By a class or id: WEAK by an ambiguous name, NAMED by another, ALWAYS by a firm one."""
+    """By a class or id: ALWAYS by a firm name, NAMED by another."""
     tokens = set(value.split())
     if not FIRM.isdisjoint(tokens):
         return ALWAYS
-    if not (LEFT_OUT_NAMES - AMBIGUOUS).isdisjoint(_WORD.findall(value)):
+    if not LEFT_OUT_NAMES.isdisjoint(tokens):
         return NAMED
-    return WEAK if not AMBIGUOUS.isdisjoint(tokens) else NO
+    return NAMED if any(_PART.split(t, maxsplit=1)[0] in LEFT_OUT_STEMS for t in tokens) else NO
 
 
 def _flags(attrs: str) -> tuple[str, bool, int, bool]:
@@ -86,39 +109,72 @@ def _flags(attrs: str) -> tuple[str, bool, int, bool]:
     return label, out, named, main
 
 
-def _after_element(source: str, name: str, pos: int) -> int:
-    """Where the element ends whose opening tag ends at pos; pos itself if it is never closed."""
-    open_tags = 1
-    for m in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(source, pos):
-        open_tags += -1 if m[1] else 1
-        if not open_tags:
-            end = source.find(">", m.start())
-            return end + 1 if end >= 0 else len(source)
-    return pos
+@lru_cache(maxsize=256)
+def _ends(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I)
+
+
+class _Skipper:
+    """Finds the ends of elements that are passed over whole."""
+
+    def __init__(self, source: str):
+        self.source, self.unbalanced, self.last = source, set(), {}
+
+    def after(self, name: str, pos: int) -> int | None:
+        """Where the element ends whose opening tag ends at pos; None if it is never closed."""
+        if name in TEXT_ONLY or name in self.unbalanced:
+            return self._next_close(name, pos)
+        open_tags = 1
+        for m in _ends(name).finditer(self.source, pos):
+            open_tags += -1 if m[1] else 1
+            if not open_tags:
+                return self._tag_end(m.start())
+        self.unbalanced.add(name)  # from here on the next closing tag ends it, so that no tag is searched in vain again
+        return self._next_close(name, pos)
+
+    def _next_close(self, name: str, pos: int) -> int | None:
+        if self.last.get(name, -1) > pos:
+            return None
+        for m in _ends(name).finditer(self.source, pos):
+            if m[1]:
+                return self._tag_end(m.start())
+        self.last[name] = len(self.source) + 1
+        return None
+
+    def _tag_end(self, at: int) -> int:
+        end = self.source.find(">", at)
+        return end + 1 if end >= 0 else len(self.source)
 
 
 class Page:
-    """The DOM of a page: structural nodes, and text blocks (node, text) in page order."""
+    """The DOM of a page: structural nodes, and text blocks (node, text, characters not in links) in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.label, self.out, self.main = [-1], ["#root"], ["#root"], [False], [False]
+        self.parent, self.tag, self.label, self.out, self.named = [-1], ["#root"], ["#root"], [False], [NO]
         self.kids: list[list[int]] = [[]]
-        self.blocks: list[tuple[int, str]] = []
-        self.named = [NO]
+        self.blocks: list[tuple[int, str, int]] = []
         self._read(source)
-        self._leave_out_named()
 
     def _read(self, source: str) -> None:
         stack, buffer, at = [0], [], 0
         tags, pos, n = self.tag, 0, len(source)
         opened: Counter = Counter()  # names on the stack, so that it is not searched in vain
+        skipper, in_link, linked = _Skipper(source), False, 0
 
         def flush() -> None:
+            nonlocal linked
             if buffer:
                 text = " ".join(html.unescape("".join(buffer)).split())
                 buffer.clear()
                 if text:
-                    self.blocks.append((stack[-1], text))
+                    self.blocks.append((stack[-1], text, max(0, len(text) - linked)))
+            linked = 0
+
+        def say(text: str) -> None:
+            nonlocal linked
+            buffer.append(text)
+            if in_link:
+                linked += len(text)
 
         def pop_from(i: int) -> None:
             opened.subtract(tags[node] for node in stack[i:])
@@ -138,26 +194,29 @@ class Page:
         while pos < n:
             at = source.find("<", pos)
             if at < 0:
-                buffer.append(source[pos:])
+                say(source[pos:])
                 break
             if at > pos:
-                buffer.append(source[pos:at])
+                say(source[pos:at])
             m = _TAG.match(source, at)
             if m is None:
-                buffer.append("&lt;")
+                say("&lt;")
                 pos = at + 1
                 continue
             pos = m.end()
             if m["name"] is None:
                 if m["cdata"]:
-                    buffer.append(m["cdata"])
+                    say(m["cdata"])
                 continue
             name = m["name"].lower()
             if m["end"]:
                 if name == "br":
                     flush()
+                elif name == "a":
+                    in_link = False
                 elif name not in INLINE and name not in VOID:
                     flush()
+                    in_link = False
                     for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                         if tags[stack[i]] == name:
                             pop_from(i)
@@ -165,16 +224,18 @@ class Page:
                 continue
             if name in RAW:
                 if not m["attrs"].endswith("/"):
-                    found = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, pos)
-                    end = source.find(">", found.start()) if found else -1
-                    pos = end + 1 if end >= 0 else n
+                    end = skipper.after(name, pos)
+                    pos = end if end is not None else n if name in TEXT_ONLY else pos
                 continue
+            if name == "a":
+                in_link = True
             if name in INLINE and not m["attrs"]:
                 continue
             label, out, named, main = _flags(m["attrs"]) if m["attrs"] else ("", False, NO, False)
             if name in INLINE:
                 if (out or named) and name not in VOID:
-                    pos = _after_element(source, name, pos)
+                    pos = skipper.after(name, pos) or pos
+                    in_link = in_link and name != "a"
                 continue
             flush()
             if name in VOID:
@@ -184,54 +245,22 @@ class Page:
             if name in IMPLIED:
                 close(*IMPLIED[name])
             up = stack[-1]
-            if name in ("html", "body", "article", "main"):
+            if name in ("html", "body"):
                 out, named = False, NO
             node = len(tags)
             tags.append(name)
             self.parent.append(up)
-            self.label.append(f"{name}.{label}" if label else name)
-            self.out.append(self.out[up] or out or name in LEFT_OUT)
+            self.label.append(f"{name}.{label}" * bool(label) or name)
+            if main and name not in ("article", "main"):
+                self.label[-1] += MARK
+            self.out.append(self.out[up] or out or named == ALWAYS or name in LEFT_OUT)
             self.named.append(named)
-            self.main.append(main or name in ("article", "main"))
             self.kids.append([])
             self.kids[up].append(node)
             stack.append(node)
             opened[name] += 1
         flush()
 
-    def _leave_out_named(self) -> None:
-        """Leave out elements by their names, but none that holds the page's only articles (or, without articles,
-        only main parts), and by an ambiguous name none that holds most of the text."""
-        if not any(self.named):
-            return
-        n = len(self.tag)
-        size = [0] * n
-        for node, text in self.blocks:
-            if not self.out[node]:
-                size[node] += len(text)
-        for node in range(n - 1, 0, -1):
-            size[self.parent[node]] += size[node]
-        named = [NO if how == WEAK and 2 * size[node] > size[0] else how for node, how in enumerate(self.named)]
-
-        def under(how: list[int]) -> list[int]:
-            most = how[:]
-            for node in range(1, n):
-                most[node] = max(most[node], most[self.parent[node]])
-            return most
-
-        most = under(named)
-        marked = [node for node in range(n) if self.main[node] and not self.out[node]]
-        for kind in ([m for m in marked if self.tag[m] == "article"], marked):
-            if kind:
-                if all(most[m] for m in kind):
-                    for m in kind:
-                        at = m if most[m] < ALWAYS else -1
-                        while at > 0:
-                            named[at], at = NO, self.parent[at]
-                    most = under(named)
-                break
-        self.out = [out or how > NO for out, how in zip(self.out, most, strict=True)]
-
     def skeleton(self) -> tuple[tuple, list[int]]:
         """(tree, node of the tree for each node of the page): like leaf siblings in a row are one node. A tree is
         (labels, parents) in page order."""
@@ -249,12 +278,40 @@ class Page:
             last[up] = (self.label[node], of[node]) if leaf else None
         return (tuple(labels), tuple(parents)), of
 
-    def text_in(self, inside: set[int] | None) -> str:
-        """The kept blocks under the nodes ``inside`` (all, if None), joined by newlines."""
-        under = [inside is None] * len(self.tag)
-        for node in range(len(self.tag)):
-            under[node] = under[node] or node in (inside or ()) or (node > 0 and under[self.parent[node]])
-        return "\n".join(text for node, text in self.blocks if under[node] and not self.out[node])
+    def pooled(self, of: list[int]) -> list[tuple[int, int, int]]:
+        """(skeleton node, digest of its texts, their characters not in links) of the nodes with kept text."""
+        parts: dict[int, list[str]] = {}
+        plain: Counter = Counter()
+        for node, text, size in self.blocks:
+            if not self.out[node]:
+                parts.setdefault(of[node], []).append(text)
+                plain[of[node]] += size
+        return [(k, _digest("\n".join(x)), plain[k]) for k, x in parts.items()]
+
+    def text_in(self, inside: set[int], template: set[int] = frozenset()) -> str:
+        """The kept blocks under the page's nodes ``inside`` joined by newlines, without those of the nodes
+        ``template`` and without named parts that hold no more than half of the text."""
+        n = len(self.tag)
+        under, size = [False] * n, [0] * n
+        for node in range(n):
+            under[node] = node in inside or (node > 0 and under[self.parent[node]])
+        kept = [(node, text) for node, text, _ in self.blocks if under[node] and not self.out[node] and node not in template]
+        if any(how and under[node] and node not in inside for node, how in enumerate(self.named)):
+            for node, text in kept:
+                size[node] += len(text)
+            whole = sum(size)
+            for node in range(n - 1, 0, -1):
+                size[self.parent[node]] += size[node]
+            out = [False] * n
+            for node in range(1, n):
+                up = self.parent[node]
+                out[node] = under[up] and (out[up] or (self.named[node] and node not in inside and 2 * size[node] <= whole))
+            kept = [(node, text) for node, text in kept if not out[node]]
+        return "\n".join(text for _, text in kept)
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _children(tree: tuple) -> list[list[int]]:
@@ -390,93 +447,294 @@ def tree_match(a: tuple, b: tuple) -> dict[int, int]:
     return out
 
 
-def _marked(page: Page) -> set[int] | None:
-    """The outermost nodes that mark content and have some; None if there are none."""
-    marked = {n for n in range(len(page.tag)) if page.main[n] and not page.out[n]}
-    inner = {n for n in marked if page.tag[n] == "article"} or marked
-    return inner if inner and page.text_in(inner) else None
-
-
-def content_slot(tree: tuple, pages: list[tuple[Page, list[int], dict[int, int]]]) -> int:
-    """The node of the reference tree whose subtree is the content: from the root down, as long as one child
-    holds most of the varying text (of all text, if hardly any varies) that has no boilerplate role."""
-    texts: list[Counter] = [Counter() for _ in tree[0]]
-    for page, of, to in pages:
-        joined: dict[int, list[str]] = {}
-        for node, text in page.blocks:
-            spot = to.get(of[node])
-            if spot is not None and not page.out[node]:
-                joined.setdefault(spot, []).append(text)
-        for spot, parts in joined.items():
-            texts[spot]["\n".join(parts)] += 1
-    whole = [sum(len(t) * c for t, c in x.items()) for x in texts]
-    varying = [0 if x and len(pages) > 2 and max(x.values()) > 0.5 * len(pages) else w for x, w in zip(texts, whole, strict=True)]
-    mass = varying if sum(varying) > 0.2 * sum(whole) else whole
-    mass = list(map(float, mass))
-    own = mass[:]
-    for node in range(len(mass) - 1, 0, -1):
-        mass[tree[1][node]] += mass[node]
-    kids, at = _children(tree), 0
-    while True:
+def pack_tree(tree: tuple) -> str:
+    """A tree as text: a line (parent, label) for each node."""
+    return "\n".join(f"{up} {label}" for label, up in zip(*tree, strict=True))
+
+
+@lru_cache(maxsize=1024)
+def unpack_tree(packed: str) -> tuple:
+    rows = [line.split(" ", 1) for line in packed.split("\n")]
+    return tuple(r[1] for r in rows), tuple(int(r[0]) for r in rows)
+
+
+@lru_cache(maxsize=4096)
+def _aligned(reference: str, tree: str) -> dict[int, int]:
+    """Node of tree -> node of reference; equal trees are aligned by identity."""
+    if reference == tree:
+        return {k: k for k in range(reference.count("\n") + 1)}
+    return tree_match(unpack_tree(reference), unpack_tree(tree))
+
+
+def summary(source: str | None) -> tuple[int, int, str, list[tuple[int, int, int]]] | None:
+    """(key, order, packed tree, pooled texts) of a page; None if it has no kept text. Pages with one key are copies,
+    of which the least in order stands for all."""
+    page = Page(source or "")
+    tree, of = page.skeleton()
+    texts = page.pooled(of)
+    if not texts:
+        return None
+    packed = pack_tree(tree)
+    longest = min(texts, key=lambda t: (-t[2], t[1]))
+    return longest[1], _digest(packed + repr(texts)), packed, texts
+
+
+def median_of_most_frequent(sizes: Iterable[tuple[int, int, int]]) -> int:
+    """The median size of the most frequent trees; sizes: (size, highest frequency there, trees that have it)."""
+    sizes = sorted(sizes)
+    most = max(n for _, n, _ in sizes)
+    often = [(size, trees) for size, n, trees in sizes if n == most]
+    place = sum(trees for _, trees in often) // 2
+    for size, trees in often:
+        if place < trees:
+            return size
+        place -= trees
+    raise AssertionError("the median lies within the sizes")
+
+
+def _is_marked(label: str) -> bool:
+    return label.endswith(MARK) or _tag_of(label) in ("article", "main")
+
+
+def _tag_of(label: str) -> str:
+    return label.partition(".")[0].rstrip(MARK)
+
+
+def induce(reference: str, nodes: Iterable[tuple[int, int, int, int]], pages: int) -> tuple[list[int], dict[int, int]]:
+    """The wrapper of a host: (nodes of the reference tree that hold the content, digest of the template text of each
+    template node).
+
+    nodes: (node, characters not in links, digest of its most frequent text, pages with that text), summed over
+    ``pages`` distinct pages. From the root down the child is entered that holds ENTERS of the varying text (of all
+    text, if hardly any varies); a child beside one with a mark needs more. Among children of which none holds as much,
+    the one with all marks, or else all first-level headings, is entered. The descent ends at an article, at another
+    mark that does not hold just one article, and above leaves that do not hold everything.
+    """
+    tree = unpack_tree(reference)
+    labels, parents = tree
+    n = len(labels)
+    nodes = list(nodes)
+    template = {node: digest for node, _, digest, same in nodes if pages >= LEAST_PAGES and 2 * same > pages}
+    whole, varying = [0.0] * n, [0.0] * n
+    for node, chars, _, _ in nodes:
+        whole[node] = float(chars)
+        if node not in template:
+            varying[node] = float(chars)
+    own = varying if sum(varying) > 0.2 * sum(whole) else whole
+    if own is whole:
+        template = {}
+    mass = own[:]
+    marks, articles, heads = ([0] * n for _ in range(3))
+    kept = [False] * n
+    for node, *_ in nodes:
+        kept[node] = True
+    for node in range(n - 1, -1, -1):
+        if kept[node]:  # only what holds kept text counts
+            marks[node] += _is_marked(labels[node])
+            articles[node] += _tag_of(labels[node]) == "article"
+            heads[node] += _tag_of(labels[node]) == "h1"
+        if node:
+            up = parents[node]
+            mass[up] += mass[node]
+            kept[up] |= kept[node]
+            marks[up] += marks[node]
+            articles[up] += articles[node]
+            heads[up] += heads[node]
+    kids, at, path = _children(tree), 0, []
+    while mass[at]:
+        if _tag_of(labels[at]) == "article" or (_is_marked(labels[at]) and articles[at] != 1):
+            path = []  # the mark holds all of the content
+            break
         best = max(kids[at], key=lambda k: mass[k], default=None)
-        if best is None or not mass[at] or mass[best] < 0.7 * mass[at] or (not kids[best] and own[best] < mass[at]):
-            return at
+        if best is None:
+            break
+        with_marks = [k for k in kids[at] if marks[k] and mass[k]]
+        need = ENTERS_AGAINST_MARK if with_marks and best not in with_marks else ENTERS
+        if mass[best] < need * mass[at]:
+            with_heads = [k for k in kids[at] if heads[k] and mass[k]]
+            if len(with_marks) == 1:
+                best = with_marks[0]
+            elif not with_marks and len(with_heads) == 1 and kids[with_heads[0]]:
+                best = with_heads[0]
+            else:
+                break
+        if not kids[best] and own[best] < mass[at] and not _is_marked(labels[best]):
+            break
+        path.append(at)
         at = best
+    told = PROSE if pages >= LEAST_PAGES else ("h1", "h2")
+    beside = [k for up in path for k in kids[up] if not kids[k] and own[k] and _tag_of(labels[k]) in told]
+    return [at, *beside], template
+
+
+def content(source: str | None, wrapper: tuple[str, list[int], dict[int, int]] | None) -> str:
+    """The main text of a page by the wrapper (reference, content nodes, template) of its host. A page that has none of
+    the content nodes, or whose host's content is all of its body, is its own reference for the texts that are no
+    template."""
+    page = Page(source or "")
+    tree, of = page.skeleton()
+    texts = page.pooled(of)
+    if not texts:
+        return ""
+    packed = pack_tree(tree)
+    reference, slots, template = wrapper or (packed, [0], {})
+    to = _aligned(reference, packed)
+    constant = {k for k, digest, _ in texts if template.get(to.get(k)) == digest}
+    wanted = set(slots)
+    inside = {node for node, k in enumerate(of) if to.get(k) in wanted}
+    if not inside or _tag_of(unpack_tree(reference)[0][slots[0]]) in ("#root", "html", "body"):
+        wanted = set(induce(packed, [(k, chars, digest, 1) for k, digest, chars in texts if k not in constant], 1)[0])
+        inside = {node for node, k in enumerate(of) if k in wanted}
+    return page.text_in(inside, {node for node, k in enumerate(of) if k in constant})
 
 
 def extract_run(sources: list[str | None]) -> list[str]:
-    """Main texts of pages of one host, aligned with one another."""
-    pages = [Page(s or "") for s in sources]
-    skeletons = [p.skeleton() for p in pages]
-    frequent = Counter(tree for tree, _ in skeletons)
-    most = max(frequent.values(), default=0)
-    often = sorted((t for t in frequent if frequent[t] == most), key=lambda t: (len(t[0]), t[0], t[1]))
-    reference = often[len(often) // 2] if often else None  # of median size, so that one huge page does not stand for all
-    matches = {t: tree_match(reference, t) for t in frequent}
-    aligned = [(p, of, matches[tree]) for p, (tree, of) in zip(pages, skeletons, strict=True)]
-    slot: int | None = None
-    out = []
-    for page, of, to in aligned:
-        inside = _marked(page)
-        if inside is None and to:
-            if slot is None:
-                slot = content_slot(reference, aligned)
-            inside = {n for n in range(len(of)) if to.get(of[n]) == slot}
-        out.append(page.text_in(inside or None))
-    return out
+    """Main texts of all pages of one host; what extract gives for them."""
+    pages: dict[int, tuple] = {}
+    for found in map(summary, sources):
+        if found is not None and (found[0] not in pages or found[1:] < pages[found[0]]):
+            pages[found[0]] = found[1:]
+    if not pages:
+        return [""] * len(sources)
+    trees = Counter(packed for _, packed, _ in pages.values())
+    most: dict[int, tuple[int, int]] = {}
+    for packed, n in trees.items():
+        size = packed.count("\n") + 1
+        before = most.get(size, (0, 0))
+        most[size] = (n, 1) if n > before[0] else (n, before[1] + 1) if n == before[0] else before
+    size = median_of_most_frequent((size, n, same) for size, (n, same) in most.items())
+    reference = min(p for p, n in trees.items() if p.count("\n") + 1 == size and n == most[size][0])
+    pooled: Counter = Counter()
+    for _, packed, texts in pages.values():
+        to = _aligned(reference, packed)
+        pooled.update((to[k], digest, chars) for k, digest, chars in texts if k in to)
+    digests: dict[int, Counter] = {}
+    plain: Counter = Counter()
+    for (node, digest, chars), n in pooled.items():
+        digests.setdefault(node, Counter())[digest] += n
+        plain[node] += chars * n
+    nodes = []
+    for node, seen in digests.items():
+        same, digest = max((n, d) for d, n in seen.items())
+        nodes.append((node, plain[node], digest, same))
+    wrapper = (reference, *induce(reference, nodes, len(pages)))
+    return [content(s, wrapper) for s in sources]
+
+
+_TEXTS = pa.list_(pa.struct([("node", pa.int32()), ("digest", pa.int64()), ("chars", pa.int64())]))
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, html) -> (host, key, ord, tree, texts), copies in a task once."""
+    held: dict[tuple, tuple] = {}
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        keys, parts = list(zip(*held, strict=True)), list(zip(*held.values(), strict=True))
+        texts = [[{"node": k, "digest": d, "chars": c} for k, d, c in x] for x in parts[2]]
+        columns = [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.string()), pa.array(texts, _TEXTS)]
+        return pa.record_batch(columns, names=["host", "key", "ord", "tree", "texts"])
+
+    for batch in batches:
+        for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = summary(source.as_py())
+            if found is None:
+                continue
+            key = (host, found[0])
+            if key not in held or found[1:] < held[key]:
+                size += len(found[3]) if key not in held else 0
+                held[key] = found[1:]
+            if size >= HELD_TEXTS:
+                yield rows()
+                held, size = {}, 0
+    if held:
+        yield rows()
+
+
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, reference, tree, texts) -> (host, node, digest, chars, n) by nodes of the reference."""
+    held: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        columns = [*zip(*held, strict=True), list(held.values())]
+        return pa.record_batch([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["host", "node", "digest", "chars", "n"])
+
+    for batch in batches:
+        for host, reference, tree, texts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            to = _aligned(reference, tree)
+            held.update((host, to[t["node"]], t["digest"], t["chars"]) for t in texts if t["node"] in to)
+            if len(held) >= HELD_TEXTS:
+                yield rows()
+                held.clear()
+    if held:
+        yield rows()
+
+
+def _each(fn: Callable, names: list[str], kinds: list[pa.DataType]) -> Callable:
+    """An Arrow map that applies fn to the values of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [fn(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)]
+            yield pa.record_batch([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=names)
+
+    return run
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, reference, slots, template), a row for each host of pages (host, html) that has a page with text.
+
+    A host's rows meet by partial sums only: its distinct pages are aligned with its reference wherever they lie, and
+    lists are collected by distinct sizes of trees and by nodes of the reference.
+    """
+    made = pages.select("host", "html").mapInArrow(_summaries, "host string, key long, ord long, tree string, texts array<struct<node:int,digest:long,chars:long>>")
+    distinct = cut(made.groupBy("host", "key").agg(F.min(F.struct("ord", "tree", "texts")).alias("page")).select("host", "page.tree", "page.texts"))
+    size = F.size(F.split("tree", "\n")).alias("size")
+    trees = distinct.groupBy("host", size, "tree").agg(F.count("*").alias("n"))
+    best = trees.groupBy("host", "size").agg(F.min(F.struct(-F.col("n"), "tree")).alias("best"), F.max("n").alias("n"))
+    ties = trees.groupBy("host", "size", "n").agg(F.count("*").alias("trees"))  # how many trees of a size are as frequent
+    sizes = cut(best.join(ties, ["host", "size", "n"]).select("host", "size", "n", "trees", F.col("best.tree").alias("reference")))
+    chosen = sizes.groupBy("host").agg(F.collect_list(F.struct("size", "n", "trees")).alias("sizes"))
+    median = _each(lambda host, rows: (host, median_of_most_frequent((r["size"], r["n"], r["trees"]) for r in rows)), ["host", "size"], [pa.string(), pa.int32()])
+    references = cut(sizes.join(chosen.mapInArrow(median, "host string, size int"), ["host", "size"]).select("host", "reference"))
+    counts = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    pooled = distinct.join(references, "host").select("host", "reference", "tree", "texts").mapInArrow(_pooled, "host string, node long, digest long, chars long, n long")
+    by_text = pooled.groupBy("host", "node", "digest").agg(F.sum("n").alias("n"), F.sum(F.col("chars") * F.col("n")).alias("chars"))
+    by_node = by_text.groupBy("host", "node").agg(F.sum("chars").alias("chars"), F.max(F.struct("n", "digest")).alias("top"))
+    nodes = by_node.groupBy("host").agg(F.collect_list(F.struct("node", "chars", F.col("top.digest").alias("digest"), F.col("top.n").alias("same"))).alias("nodes"))
+
+    def wrapper(host: str, reference: str, pages: int, rows: list[dict]) -> tuple:
+        slots, template = induce(reference, sorted((r["node"], r["chars"], r["digest"], r["same"]) for r in rows or ()), pages)
+        return host, reference, slots, list(template.items())
+
+    found = references.join(counts, "host").join(nodes, "host", "left").select("host", "reference", "pages", "nodes")
+    return found.mapInArrow(
+        _each(wrapper, ["host", "reference", "slots", "template"], [pa.string(), pa.string(), pa.list_(pa.int64()), pa.map_(pa.int64(), pa.int64())]),
+        "host string, reference string, slots array<long>, template map<long,long>",
+    )
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), one row for each row of pages.
 
-    Null and empty pages, and pages without content, have an empty text. Pages without a host in their url are
-    aligned with one another. Repeated rows stay repeated; null ids stay. An empty table gives no rows. One
-    shuffle, by ranges of (host, hash of the page), so a host with very many pages is spread over many tasks.
+    Null and empty pages, and pages without content, have an empty text. Pages without a host in their url count as
+    pages of one host. Repeated rows stay repeated; null ids stay. Ties between reference trees go to the least, those
+    between children to the first. An empty table gives no rows. Pages are read twice and, unless the wrappers of all
+    hosts are too large to broadcast, not shuffled.
     """
-    host = F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rows = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("h", F.xxhash64("page_id", "url"))
-    dealt = rows.repartitionByRange("host", "h").sortWithinPartitions("host", "h").drop("h")
+    host = F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.coalesce(host, F.lit("")).alias("host"))
+    learned = cut(wrappers(rows))
+    held = learned.agg(F.sum(F.length("reference") + 8 * F.size("slots") + 16 * F.size("template"))).first()[0] or 0
+    learned = learned.withColumnRenamed("host", "__host")
+    dealt = rows.join(F.broadcast(learned) if held <= MOST_BROADCAST else learned, F.col("host") == F.col("__host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        size, host = 0, None
-
-        def done() -> pa.RecordBatch:
-            texts = extract_run([w[2] for w in waiting])
-            return pa.record_batch(
-                [pa.array([w[0] for w in waiting], pa.int64()), pa.array([w[1] for w in waiting], pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
-
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if waiting and (row[3] != host or len(waiting) >= RUN_PAGES or size >= RUN_CHARS):
-                    yield done()
-                    waiting, size = [], 0
-                waiting.append(row)
-                size, host = size + len(row[2] or ""), row[3]
-        if waiting:
-            yield done()
-
-    return dealt.select("page_id", "url", "html", "host").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            texts = []
+            for source, reference, slots, template in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
+                wrapper = (reference.as_py(), slots.as_py(), dict(template.as_py())) if reference.is_valid else None
+                texts.append(content(source.as_py(), wrapper))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return dealt.select("page_id", "url", "html", "reference", "slots", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
