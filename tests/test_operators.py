@@ -245,6 +245,55 @@ def test_controller():
     assert r["decision"] == "abstain" and r["status"] == "unverified"
 
 
+def test_controller_contract():
+    pair = [scorers.Witness("b", scorers.magnitude, 1.0), scorers.Witness("a", scorers.magnitude, 1.0)]
+    assert [w.witness_id for w in ct.Controller(pair, ct.ControllerSettings(required=("b", "a"))).witnesses] == ["a", "b"]
+    with pytest.raises(AuditError, match="Strict-union"):
+        ct.Controller(pair, ct.ControllerSettings(required=("a",)))
+    # the witness blames sample 0 for what happens at sample 20, so that no support around its faults is enough
+    blind = scorers.Witness("w", lambda x: np.where(np.arange(len(x)) == 0, 2.0 * (x[20] != 0), 0.0), 1.0)
+    settings = ct.ControllerSettings(padding=0, tile=1)
+    assert ct.Controller([blind], settings).project(spike(None), spike(20))["fallback_reason"] == "local_projection_infeasible"
+    few = ct.ControllerSettings(padding=0, tile=1, max_evaluations=1)
+    assert ct.Controller([blind], few).project(spike(None), spike(20))["fallback_reason"] == "score_budget_exhausted"
+    search = ct.Search(magnitude_controller(peak_ratio=0.8), spike(6), spike(6, 0.4))
+    assert search.run()["decision"] == "blend"
+    kinds = [r["kind"] for r in search.trail.records]
+    assert kinds == ["inputs", "candidate_verification", "tile_release", "final_verification", "decision"] and ct.AuditChain.intact(search.trail.records)
+    assert search.trail.records[0]["payload"]["witnesses"][0]["witness_id"] == "w" and search.trail.records[3]["payload"]["verification"]["status"] == "passed"
+    r = magnitude_controller(max_energy=0.0).project(spike(6), spike(6, 0.4))
+    assert r["fallback_reason"] == "zero_intervention_policy" and r["intervals"][0]["reasons"] == ["abstain:exact_observation_fallback"]
+    with pytest.raises(AuditError):
+        magnitude_controller().project(spike(6), spike(6), np.full(32, 1.5))
+
+
+def test_release_is_least_on_the_grid():
+    """Against every assignment of grid weights to two tiles: no kept tile can be lowered by itself."""
+    rng = np.random.default_rng(3)
+    c = magnitude_controller(tile=8, peak_ratio=0.7)
+    for _ in range(20):
+        o, low = rng.normal(size=16) * 1.2, rng.normal(size=16) * 0.5
+        r = c.project(o, low)
+        if r["decision"] in ("accept", "abstain"):
+            continue
+        claims = c.claims(o.astype(np.float32))
+        weights = r["beta"][[0, 8]].astype(float)
+        for k in range(2):
+            for g in (x for x in c.settings.grid if x < weights[k]):
+                tried = weights.copy()
+                tried[k] = g
+                beta = np.repeat(tried, 8).astype(np.float32)
+                assert not c.check(np.asarray(low.astype(np.float32) + beta * (o.astype(np.float32) - low.astype(np.float32)), np.float32), claims).passed
+
+
+def test_halo_profile():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        mask = rng.random(40) < 0.1
+        away = [min((abs(i - j) for j in np.flatnonzero(mask)), default=99) for i in range(40)]
+        assert ct.halo_profile(mask).tolist() == [1.0 if d == 0 else np.float32(iv.HALO[d - 1]) if d <= 8 else 0.0 for d in away]
+
+
 def test_timing_shift_is_repaired():
     c = magnitude_controller(dilation=2, peak_ratio=0.8)
     check = c.verify(spike(5), spike(6))
