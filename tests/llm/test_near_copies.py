@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from wavewright.llm import near_copies, simhash
 
@@ -69,7 +70,7 @@ def test_pipeline_stage_on_documents(spark, sf):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     expected, _ = components_of({r["doc_id"]: r["text"] for r in docs.collect()})
-    kept = dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs, sf)
+    kept = corpus_pipeline.STAGES[2][1](spark, docs, sf)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in expected.items() if i == c)
 
 
@@ -77,3 +78,25 @@ def test_long_text():
     text = " ".join(f"w{i % 7001}" for i in range(40_000))
     found = near_copies.shingles(text)
     assert len(found) == len(plain(text)) and len(near_copies.bands(found)) == near_copies.BANDS
+
+
+@pytest.mark.parametrize("limit", [near_copies.SHARD_LIMIT, 2])
+def test_trees_of_any_size_find_the_same(spark, limit):
+    base = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join(f"x{i}" if k in (7 * i % 120, 11 * i % 120, 13 * i % 120) else w for k, w in enumerate(base)) for i in range(30)}
+    expected, _ = components_of(texts)
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shard_limit=limit)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == expected
+
+
+def test_short_texts(spark):
+    """Sets of four to twelve shingles, where one shingle is a large share."""
+    rng = np.random.default_rng(4)
+    texts = {}
+    for _ in range(60):
+        base = [f"w{int(rng.integers(3000))}" for _ in range(int(rng.integers(8, 17)))]
+        for more in (0, 1, 2):
+            texts[len(texts)] = " ".join(base + [f"w{int(rng.integers(3000))}" for _ in range(more)])
+    expected, pairs = components_of(texts)
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert len(pairs) > 20 and {r["doc_id"]: r["component_id"] for r in found.collect()} == expected

@@ -180,7 +180,7 @@ def test_chat_without_quotes_is_left_alone(spark, sf):
 
 def test_pipeline(spark, sf):
     import corpus_pipeline
-    from wavewright.llm import langid, quality, simhash, token_cache
+    from wavewright.llm import langid, quality, token_cache
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
@@ -196,11 +196,10 @@ def test_pipeline(spark, sf):
     good = good[good.doc_id.map(lambda d: scores[d] >= quality.GOOD)]
     model = langid.learn(spark.createDataFrame(good))
     good = good[~model.predict(good.text.tolist())[2]]
-    fps = {r.doc_id: simhash.fingerprint(r.text) for r in good.itertuples()}
-    from test_simhash import components_of
+    from test_near_copies import components_of  # all pairs of texts by five-word Jaccard similarity
 
-    label = components_of(list(fps), list(fps.values()))
-    kept = sorted(d for d in fps if label[d] == d)
+    label, _ = components_of(dict(zip(good.doc_id, good.text, strict=True)))
+    kept = sorted(d for d in label if label[d] == d)
     assert sorted(r["doc_id"] for r in left.collect()) == kept
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = dict(zip(good.doc_id, good.text, strict=True))

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wavewright.llm import components, simhash
+from wavewright.llm import components, near_copies, simhash
 
 
 def plain(text):
@@ -97,3 +97,63 @@ def test_hot_group(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same words again and again").otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("text"))
     found = simhash.near_duplicates(docs).groupBy("component_id").count().orderBy(F.desc("count")).first()
     assert (found["component_id"], found["count"]) == (0, 1000)
+
+
+def test_probes_follow_only_edges_within_the_radius():
+    """The forest's visits against a plain BK-tree whose children are keyed by their distance to the parent."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, 12)]))
+    tree = {}  # member -> {edge: child}
+
+    def add(at, k):
+        d = (int(fps[at]) ^ int(fps[k])).bit_count()
+        if d in tree[at]:
+            return add(tree[at][d], k)
+        tree[at][d], tree[k] = k, {}
+
+    tree[0] = {}
+    for k in range(1, len(fps)):
+        add(0, k)
+    for radius in (0, 3, 9):
+        visits, hits = 0, set()
+        for p in range(len(fps)):
+            todo = [0]
+            while todo:
+                at = todo.pop()
+                visits += 1
+                d = (int(fps[p]) ^ int(fps[at])).bit_count()
+                hits |= {(p, at)} if d <= radius else set()
+                todo += [child for edge, child in tree[at].items() if abs(edge - d) <= radius]
+        forest = simhash.BKForest(np.zeros(len(fps), np.int64), fps)
+        found = forest.probe(np.zeros(len(fps), np.int64), fps, radius)
+        assert set(zip(found[0].tolist(), found[1].tolist(), strict=True)) == hits and forest.visits == visits < len(fps) ** 2
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b = "the first text that is told here", "quite another story of other things"
+    rows = [(2, a, "x"), (5, a, "y"), (5, b, "z"), (7, b, "w"), (2, a, "v"), (8, "alone", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    assert {(r[0], r[2]) for r in simhash.near_duplicates(docs).collect()} == {(2, 2), (5, 2), (7, 2), (8, 8)}
+    for keep in (simhash.keep_one, near_copies.keep_one):
+        kept = [tuple(r) for r in keep(docs).collect()]
+        assert sorted(r[0] for r in kept) == [2, 8] and set(kept) < set(rows)
+        assert sorted(map(tuple, keep(docs.repartition(3)).collect())) == sorted(kept)
+
+
+def test_a_hub_is_split(spark):
+    """The join of a node with very many edges must be a skewed join that Spark splits."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = spark.range(300_000).select(F.when(F.col("id") < 250_000, 1).otherwise(F.col("id")).alias("u"), (F.col("id") + 1_000_000).alias("v"))
+        found = components._large_star(components.cut(edges), 300_000)
+        assert found.count() > 0
+        plan = found._jdf.queryExecution().executedPlan()
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString() or "isSkew" in plan.toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is made only where the setting is absent (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster
+    gets none, as its machines do not share one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = sc.getCheckpointDir()
         if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
             named = tempfile.mkdtemp(prefix="wavewright-checkpoint-")
             sc.setCheckpointDir(named)
     elif sc.getCheckpointDir() is None:

@@ -4,8 +4,8 @@ Fingerprints are made in place, without a shuffle, and collapsed to distinct val
 the 64 bits into r + 1 blocks; two fingerprints within the radius agree on one block at least, so the
 distinct fingerprints are dealt into shards by (block, value). Each shard holds a BK-tree whose children
 are keyed by their Hamming distance to the parent, and a probe follows only edges within the radius of
-its own distance. A tree travels to the tasks that probe it; broadcasting all trees to all tasks
-would make every fingerprint probe every tree, which is quadratic.
+its own distance. A tree travels by shuffle to the tasks that probe it, not by broadcast: the trees hold the
+fingerprints of all documents, which a broadcast would gather on the driver.
 
 A shard above ``SHARD_LIMIT`` is dealt again by blocks of its remaining bits, and what is still too large
 is cut into several trees that all members probe, so no shard is gathered whole and no link is lost.
@@ -68,6 +68,7 @@ class BKForest:
     def __init__(self, shard: np.ndarray, fps: np.ndarray):
         """shard: dense shard number of each fingerprint."""
         self.fps = fps
+        self.visits = 0  # members that probes were compared with
         n = len(fps)
         self.root = np.full(int(shard.max()) + 1 if n else 0, -1, np.int64)
         links, todo = [], np.argsort(shard, kind="stable")
@@ -95,6 +96,7 @@ class BKForest:
         at = self.root[shard[who]]
         hits = []
         while len(who):
+            self.visits += len(who)
             d = np.bitwise_count(fps[who] ^ self.fps[at]).astype(np.int64)
             near = d <= radius
             hits.append((who[near], at[near]))
@@ -215,38 +217,50 @@ def near_links(classes: DataFrame, radius: int = 3, shard_limit: int = SHARD_LIM
     return out.repartition(n, "shard").mapInArrow(lambda b: _spanning_links(b, radius), "u long, v long")
 
 
+def links_of_repeats(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame | None:
+    """Links (u, v) that join the classes (key, node) of a doc_id whose rows (doc_id, key) have several; None if there
+    is no such id."""
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b")
+    several = cut(several.select("doc_id"))
+    if several.isEmpty():
+        return None
+    return rows.join(several, "doc_id").select("doc_id", key).distinct().join(classes, key).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs.
 
     Texts link if their fingerprints differ in at most ``radius`` bits; component_id is the least doc_id
     reachable over links. Null, empty and wordless texts have fingerprint 0 and link as any other. A null
     doc_id keeps its fingerprint, gives no id to others and has the component of its fingerprint (null if no
-    document with an id shares it). Repeated rows stay repeated. An empty table gives no rows.
+    document with an id shares it). Repeated rows stay repeated; rows of one doc_id with different texts are one
+    document and link those texts. An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
     classes = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    parts = connected_components(near_links(classes, radius, shard_limit))
+    links, repeats = near_links(classes, radius, shard_limit), links_of_repeats(fps, classes, "fp")
+    parts = connected_components(links if repeats is None else links.union(repeats))
     of_fp = classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(of_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of docs, with its columns, whose document is the least of its component, each id once."""
+    """The rows of docs, with its columns, whose document is the least of its component, each id once; see keep_least."""
     return keep_least(docs, near_duplicates(docs, id_col, text_col, radius), id_col)
 
 
 def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is the component_id of groups (doc_id, component_id), each id once.
 
-    Rows with a null id stay. Only if an id is repeated are its rows shuffled to choose one of them.
+    groups has a row for each row of docs, and one component for each id. Of rows repeated under one id the least by a
+    hash of all columns stays. Rows with a null id stay. Only rows whose id is repeated are shuffled.
     """
-    groups = cut(groups)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     kept = cut(kept.withColumnsRenamed({"doc_id": "__id", "n_rows": "__n"}))
     joined = docs.join(kept, docs[id_col].cast("long") == kept["__id"], "left")
-    stays = joined.where("__n is not null").drop("__id", "__n")
+    stays = joined.where("__n = 1").select(*docs.columns)
     if not kept.where("__n > 1").isEmpty():
-        stays = joined.where("__n = 1").drop("__id", "__n").union(joined.where("__n > 1").drop("__id", "__n").dropDuplicates([id_col]))
-    if groups.where("doc_id is null").isEmpty():
-        return stays
+        row = F.struct(*docs.columns)
+        one = joined.where("__n > 1").groupBy("__id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
+        stays = stays.union(one.select("__row.*"))
     return stays.union(docs.where(F.col(id_col).isNull()))
