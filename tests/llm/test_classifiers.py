@@ -103,3 +103,115 @@ def test_one_odd_text_does_not_widen_the_radius():
     odd = "zqx vkj wqz pfy jxk qvv " * 10
     stranger = "ørsted gyldig højskole smørrebrød æble længe " * 10
     assert fitted([]).predict([stranger])[2][0] and fitted([odd]).predict([stranger])[2][0]
+
+
+def plain_statistics(text):
+    """The statistics of a text, a character and a word at a time."""
+    words = (text or "").split()
+    if not words:
+        return [0.0] * len(quality.STATISTICS)
+    n, chars = len(words), len(text)
+    lines = [x for x in text.split("\n") if x.strip()]
+    plain, marks, ends = ".,;:!?", ".,;:!?'\"()-", ".,;:!?'\")"
+    pairs = {(a, b) for a, b in zip(words, words[1:], strict=False)}
+    stops = sum(1 for i, c in enumerate(text) if c in ".!?" and (i + 1 == chars or text[i + 1].isspace()))
+    letters = [c for c in text if c.isalpha()]
+    share = lambda test, of: sum(1 for x in of if test(x)) / len(of)
+    named = {
+        "n_words": np.log1p(n), "n_lines": np.log1p(len(lines)), "mean_word": sum(len(w) for w in words) / n, "distinct_words": len(set(words)) / n,
+        "top_word": max(words.count(w) for w in set(words)) / n, "distinct_lines": len(set(lines)) / len(lines), "top_line": max(lines.count(x) for x in set(lines)) / len(lines) if len(lines) > 1 else 0.0,
+        "upper": share(lambda w: w[0].isupper(), words), "digit": share(str.isdigit, text), "space": share(str.isspace, text),
+        "symbol": share(lambda c: not (c.isspace() or c.isdigit() or c.isalpha() or c in marks), text), "non_ascii": sum(1 for c in letters if c > "\x7f") / max(1, len(letters)),
+        "punct_ended": share(lambda w: w[-1] in plain, words), "upper_words": share(str.isupper, words),
+        "symbol_words": share(lambda w: not (w[-1].isalnum() or w[-1] in ends and (len(w) < 2 or w[-2].isalnum())), words), "bare_symbols": share(lambda w: not any(c.isalnum() for c in w), words),
+        "long_words": share(lambda w: len(w) > 20, words), "stop_short": share(lambda w: len(w) <= 3, words), "bigram_repeat": 1 - len(pairs) / max(1, n - 1),
+        "sentence_words": np.log1p(n / max(1, stops)), "longest_line": max(len(x) for x in lines) / chars, "mean_line": np.log1p(chars / len(lines)),
+    }
+    return [float(named[s]) for s in quality.STATISTICS]
+
+
+def test_quality_query_against_plain_scores(spark, sf):
+    """Every row's statistics, rules and score, one document at a time."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    stats = {r.doc_id: plain_statistics(r.text) for r in docs.itertuples()}
+    for r in docs.itertuples():
+        assert quality.statistics(r.text) == pytest.approx(stats[r.doc_id], abs=1e-9)
+    taught = {r.doc_id: int(r.quality) for r in labels.itertuples() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = sorted([taught[d], *map(float, quality.statistics(t))] for d, t in zip(docs.doc_id, docs.text, strict=True) if d in taught)
+    model = quality.fit(np.array([r[1:] for r in rows]), np.array([r[0] for r in rows]))
+    found = {r["doc_id"]: r for r in queries.op5_rule_ensemble(spark, sf).collect()}
+    for r in docs.itertuples():
+        z, x = model.intercept, quality.statistics(r.text)
+        for rule in model.rules:
+            if all(x[f] > t if above else x[f] <= t for f, above, t in rule.tests):
+                z += rule.weight
+        score = 1 / (1 + np.exp(-z))
+        got = found[r.doc_id]
+        assert got["score"] == pytest.approx(score, abs=1e-9) and got["predicted"] == int(got["score"] >= 0.3)
+
+
+def test_lasso_is_optimal():
+    """Against the conditions that hold at the optimum only."""
+    rng = np.random.default_rng(8)
+    m = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * m[:, 0] - 1.5 * m[:, 3])))).astype(float)
+    penalty = 5e-3
+    intercept, w = quality._lasso(m, y, penalty, rounds=6000)
+    a = (m - m.mean(axis=0)) / np.maximum(m.std(axis=0), 1e-3)
+    slope = a.T @ (1 / (1 + np.exp(-(m @ w + intercept))) - y) / len(y)
+    assert abs(np.mean(1 / (1 + np.exp(-(m @ w + intercept))) - y)) < 1e-6
+    assert (np.abs(slope[np.abs(w) > 1e-9] + penalty * np.sign(w[np.abs(w) > 1e-9])) < 1e-5).all() and (np.abs(slope[np.abs(w) <= 1e-9]) <= penalty + 1e-6).all()
+    assert w[0] > 0 > w[3] and (np.abs(w) <= 1e-9).any()
+
+
+def test_repeated_ids_teach_once(spark, monkeypatch):
+    """A doc_id that is repeated very often brings no more rows to the driver than any other."""
+    seen = []
+    fit, lang_fit = quality.fit, langid.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, *a: seen.append(len(y)) or fit(x, y, *a))
+    monkeypatch.setattr(langid, "fit", lambda counts, langs, *a: seen.append(len(langs)) or lang_fit(counts, langs, *a))
+    docs = spark.range(20_000).selectExpr("if(id < 19000, 3, id) as doc_id", "concat('some words of text ', id % 7) as text", "'en' as lang")
+    labels = spark.createDataFrame([(3, 1), (19_500, 0), (19_501, 1)], "doc_id long, quality int")
+    quality.score_documents(docs, labels).count()
+    quality.keep_good(docs, labels).count()
+    taught = sum(zlib.crc32(str(d).encode()) % 5 > 0 for d in (3, 19_500, 19_501))
+    langid.learn(docs)
+    assert seen[:2] == [taught, taught] and 0 < seen[2] <= 1000
+
+
+def plain_grams(text):
+    """Hashed counts of 1- to 3-grams in a dictionary, a character at a time."""
+    c = [32, *(ord(x) if x.isalpha() else 32 for x in (text or "").lower()), 32]
+    if set(c) == {32}:
+        return None
+    counts, full = {}, 2**32
+
+    def add(h):
+        h = (((h ^ (h >> 15)) * 2654435761) % full) >> 21
+        counts[h] = counts.get(h, 0) + 1
+
+    for i, x in enumerate(c):
+        if i and x != 32:
+            add(x * 2654435761 % full)
+        if i >= 1 and (c[i - 1], x) != (32, 32):
+            add((c[i - 1] * 2246822519 % full) ^ (x * 3266489917 % full))
+        if i >= 2 and c[i - 1] != 32:
+            add((c[i - 2] * 668265263 % full) ^ (c[i - 1] * 374761393 % full) ^ (x * 2869860233 % full))
+    return counts
+
+
+def test_language_query_against_dictionaries(spark, sf):
+    """TF-IDF vectors and cosines with every centroid, one document at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learn(docs)
+    found = {r["doc_id"]: r for r in queries.op7_centroids(spark, sf).collect()}
+    for r in docs.toPandas().itertuples():
+        counts, got = plain_grams(r.text), found[r.doc_id]
+        if counts is None:
+            assert got["lang_pred"] == "und" and got["score"] == 0
+            continue
+        weights = {h: np.log1p(n) * model.idf[h] for h, n in counts.items()}
+        norm = np.sqrt(sum(x * x for x in weights.values()))
+        cos = [sum(x * centre[h] for h, x in weights.items()) / norm for centre in model.centres]
+        assert got["score"] == pytest.approx(max(0.0, min(1.0, max(cos))), abs=2e-5)
+        assert cos[[i for i, k in enumerate(model.of) if model.langs[k] == got["lang_pred"]][int(np.argmax([cos[i] for i, k in enumerate(model.of) if model.langs[k] == got["lang_pred"]]))]] == pytest.approx(max(cos), abs=2e-5)

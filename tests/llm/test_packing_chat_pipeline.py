@@ -230,3 +230,36 @@ def test_partitions_do_not_matter(spark, sf, n):
         assert sorted(map(str, queries.op1_simhash_bktree(spark, sf).collect())) == expected
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 16), min_size=1, max_size=7))
+def test_pack_against_all_packings(lengths):
+    """The least cost over all ways to deal pieces to bins is never far below, and never above."""
+    sizes, overhead = (4, 8, 16), 1
+    lengths = sorted(lengths, reverse=True)
+
+    def least(k, bins):
+        if k == len(lengths):
+            return sum(min(c for c in sizes if c >= b) + overhead for b in bins)
+        ways = [bins[:i] + [b + lengths[k]] + bins[i + 1 :] for i, b in enumerate(bins) if b + lengths[k] <= 16] + [[*bins, lengths[k]]]
+        return min(least(k + 1, w) for w in ways)
+
+    found = packing.pack(lengths, sizes, overhead)
+    cost = sum(found[2]) + overhead * len(found[2])
+    assert least(0, []) <= cost <= 1.35 * least(0, [])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 32), min_size=1, max_size=40), st.data())
+def test_openings_of_least_cost(lengths, data):
+    lengths, sizes, overhead = sorted(lengths, reverse=True), (8, 16, 32), 3
+    at = data.draw(st.integers(0, len(lengths) - 1))
+    costs = []
+    for c in sizes:
+        if c >= lengths[at]:
+            room = c - lengths[at]
+            for n in lengths[at + 1 :]:
+                room -= n if n <= room else 0
+            costs.append(((min(x for x in sizes if x >= c - room) + overhead) / (c - room), -c))
+    assert packing.least_cost_opening(lengths, sizes, overhead)(at) == -min(costs)[1]

@@ -125,3 +125,14 @@ def test_count_query(spark, sf, pieces):
     for r in spark.read.parquet(f"{sf}/documents.parquet").toPandas().itertuples():
         row = found.loc[r.doc_id]
         assert (row.n_tokens, row.n_bytes, row.over_limit) == (len(pieces.encode(r.text)), len(r.text.encode()), len(pieces.encode(r.text)) > 4096)
+
+
+def test_second_call_counts_nothing_anew(spark, sf, tmp_path, monkeypatch):
+    cache, docs = str(tmp_path / "cache"), spark.read.parquet(f"{sf}/documents.parquet")
+    first = token_cache.count_tokens(docs, MODEL, cache, with_cached=True)
+    assert {r["cached"] for r in first.collect()} == {False}
+    files = sorted(p.name for p in (tmp_path / "cache").iterdir())
+    second = token_cache.count_tokens(docs, MODEL, cache, with_cached=True)
+    assert {r["cached"] for r in second.collect()} == {True} and sorted(p.name for p in (tmp_path / "cache").iterdir()) == files
+    assert sorted(map(str, second.drop("cached").collect())) == sorted(map(str, first.drop("cached").collect()))
+    assert all(r["cached"] for r in queries.op6_token_counts(spark, sf).collect())

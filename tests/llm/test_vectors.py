@@ -108,3 +108,33 @@ def test_helpers():
     state = [np.full((1, 2), -np.inf), np.full((1, 2), -1, np.int64)]
     out = vectors.merge_top(state, np.array([[1.0, 5.0, 5.0]]), np.array([9, 8, 7]), 2)
     assert out[1].tolist() == [[7, 8]]
+
+
+def test_repeated_ids_count_by_their_best_vector(spark):
+    """Against all pairs of rows: an id, and a query, has the best score of any of its vectors."""
+    rng = np.random.default_rng(5)
+    rows_ = [(int(i), [float(x) for x in rng.normal(size=6)], "s") for i in rng.integers(0, 60, 400)]
+    rows_ += [(7, rows_[0][1], "s")] * 50 + [(0, rows_[0][1], "s"), (9, [2 * x for x in rows_[0][1]], "s")]
+    found = {}
+    for r in ann.nearest(spark.createDataFrame(rows_, SCHEMA).repartition(5), "vec_id % 20 = 0", 5, target=1.0).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    best = {}
+    m = np.array([v for _, v, _ in rows_])
+    cos = (m @ m.T) / np.sqrt(np.outer((m * m).sum(axis=1), (m * m).sum(axis=1)))
+    for a, (q, _, _) in enumerate(rows_):
+        for b, (c, _, _) in enumerate(rows_):
+            if q % 20 == 0 and q != c:
+                best[q, c] = max(best.get((q, c), -2.0), cos[a, b])
+    for q in {i for i, _, _ in rows_ if i % 20 == 0}:
+        expected = sorted(((-round(s, 12), c) for (x, c), s in best.items() if x == q))[:5]
+        got = sorted(found[q])
+        assert [c for _, c, _ in got] == [c for _, c in expected] and [s for _, _, s in got] == pytest.approx([-s for s, _ in expected])
+
+
+def test_pieces_nobody_visits_are_not_copied(spark):
+    """Rows go out once for each group of queries that visits their own partition."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(8, 8)) * 10, 300, axis=0) + 0.1 * rng.normal(size=(2400, 8))
+    found = ann.nearest(table(spark, x), "vec_id < 3", 5, parts=8)
+    truth = plain_nearest(x, list(range(2400)), 1, 5)
+    assert {(r["query_id"], r["vec_id"]) for r in found.collect()} == {(q, j) for q in range(3) for _, j in truth[q]}

@@ -164,15 +164,19 @@ def _rerank(k: int):
             qs, cs = np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy())
             q_ids, ids = q["vec_id"].to_numpy(np.int64), c["vec_id"].to_numpy(np.int64)
             by_id = np.argsort(ids, kind="stable")
-            by_id = by_id[np.r_[True, np.diff(ids[by_id]) != 0]]  # an id that is repeated counts once
             ids, cs = ids[by_id], cs[by_id]
-            cu = _unit(cs)
+            cu, first = _unit(cs), np.flatnonzero(np.r_[True, np.diff(ids) != 0])
             for at in range(0, len(qs), 256):
                 s = _unit(qs[at : at + 256]) @ cu.T
                 s[q_ids[at : at + 256, None] == ids[None]] = -np.inf
-                kth = np.partition(s, s.shape[1] - k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
+                of_id = s if len(first) == len(ids) else np.maximum.reduceat(s, first, axis=1)  # a repeated id counts once, by its best vector
+                kth = np.partition(of_id, of_id.shape[1] - k, axis=1)[:, -k] if of_id.shape[1] > k else np.full(len(s), -2.0)
                 who, which = np.nonzero(s >= np.maximum(kth, -2.0)[:, None] - _TIE)
                 exact = np.concatenate([cosines(qs[at + who[i : i + 100_000]], cs[which[i : i + 100_000]]) for i in range(0, len(who), 100_000)] or [np.zeros(0)])
+                order = np.lexsort((-exact, ids[which], who))
+                who, which, exact = who[order], which[order], exact[order]
+                one = np.r_[True, (np.diff(who) != 0) | (np.diff(ids[which]) != 0)] if len(who) else np.zeros(0, bool)
+                who, which, exact = who[one], which[one], exact[one]
                 order = np.lexsort((ids[which], -exact, who))
                 who, which, exact = who[order], which[order], exact[order]
                 best = np.arange(len(who)) - np.searchsorted(who, who) < k
@@ -203,8 +207,11 @@ def nearest(table: DataFrame, is_query: str, k: int = 5, parts: int | None = Non
 
     Candidates are all rows but the query's own. Null, empty, zero and non-finite vectors and null ids take no
     part; vectors meet only vectors of their own length. A query whose visited partitions hold fewer than k
-    candidates while the table has more visits all partitions instead. Repeated ids count once. An empty table
-    gives no rows.
+    candidates while the table has more visits all partitions instead. A repeated id counts once, with the best score
+    of any of its vectors; so does a repeated query. An empty table gives no rows.
+
+    A partition goes to as many tasks as its pieces and the queries that visit it fill; with a fixed number of
+    partitions and a fixed share of queries that work is rows times visiting queries, which visits keep down.
     """
     spark = table.sparkSession
     rows = valid_vectors(table, id_col, vec_col, nonzero=True).withColumn("dim", F.size("v"))
@@ -221,28 +228,31 @@ def nearest(table: DataFrame, is_query: str, k: int = 5, parts: int | None = Non
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     schema = "part long, dim int, vec_id long, v array<double>"
     index = cut(rows.select("vec_id", "v").mapInArrow(_route(routers, False), schema))
-    asked = rows.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
+    asked = rows.where(is_query).select("vec_id", "v").distinct()
     visits = asked.mapInArrow(_route(routers, True), schema)
-    piece_of = F.expr("pmod(xxhash64(vec_id, 5), pieces)").alias("piece")
+    piece_of = F.expr("pmod(monotonically_increasing_id(), pieces)").alias("piece")  # by place in the written index, so that repeated rows are spread
     pieces = index.groupBy("part", "dim").agg(F.expr(f"cast(ceil(count(*) / {PIECE_ROWS}) as bigint)").alias("pieces"))
 
     def found_in(visits: DataFrame) -> DataFrame:
-        """Pieces meet the queries that visit them, in query pieces of bounded size."""
-        n_groups = max(1, -(-asked_rows // QUERY_PIECE))
-        group = F.expr(f"pmod(xxhash64(vec_id, 9), {n_groups}L)").alias("q_group")
-        groups = F.explode(F.expr(f"sequence(0L, {n_groups - 1}L)")).alias("q_group")
-        c = index.join(pieces, ["part", "dim"]).select("part", "dim", piece_of, groups, "vec_id", "v")
-        q = visits.join(pieces, ["part", "dim"]).select("part", "dim", F.explode(F.expr("sequence(0L, pieces - 1)")).alias("piece"), group, "vec_id", "v")
+        """Pieces meet the queries that visit them, in query groups of bounded size; a piece is copied once for each
+        group that its own partition has, and not at all if nobody visits it."""
+        asks = visits.groupBy("part", "dim").agg(F.expr(f"cast(ceil(count(*) / {QUERY_PIECE}) as bigint)").alias("q_groups"))
+        plan = F.broadcast(cut(pieces.join(asks, ["part", "dim"])))  # a row for each partition: the router's size bounds it
+        group = F.expr("pmod(xxhash64(vec_id, v, 9), q_groups)").alias("q_group")
+        c = index.join(plan, ["part", "dim"]).select("part", "dim", piece_of, F.explode(F.expr("sequence(0L, q_groups - 1)")).alias("q_group"), "vec_id", "v")
+        q = visits.join(plan, ["part", "dim"]).select("part", "dim", F.explode(F.expr("sequence(0L, pieces - 1)")).alias("piece"), group, "vec_id", "v")
         key = ["part", "dim", "piece", "q_group"]
         return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(_rerank(k), "query_id long, vec_id long, score double")
 
-    asked_rows = rows.where(is_query).count()
-    found = cut(found_in(visits))
+    def once(found: DataFrame) -> DataFrame:
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    found = cut(once(found_in(visits)))
     counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
-    few = asked.join(counts, asked["vec_id"] == counts["query_id"], "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "v")
+    few = asked.join(counts, F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "v")
     if not (few := cut(few)).isEmpty():
         everywhere = {d: Router(r.weights, r.bias, r.weights.shape[1]) for d, r in routers.items()}
         again = found_in(few.mapInArrow(_route(everywhere, True), schema))
-        found = found.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+        found = found.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(once(again))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows from each visited piece
     return found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

@@ -3,8 +3,9 @@
 Lines that begin with ``>`` marks are quotes, as many levels deep as they have marks. Runs of one level are
 passages; a passage, normalised and hashed, is joined to the earliest message of its conversation that has it as
 its own text, paragraph or line. The shallowest linked passage tells what a message replies to. Threads follow
-from the links by pointer jumping, and every message comes out without its quotes, in an order in which
-replies follow what they quote.
+from the links by pointer jumping, and every message comes out without its quotes, with the columns that order it: by
+(conversation, thread, turn) replies follow what they quote. The rows are not sorted, which would shuffle every text
+for an order that few sinks keep.
 """
 
 from __future__ import annotations
@@ -69,12 +70,12 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     single = passages.where("size(bodies) > 1").select(*passage, F.lit(1).alias("unit"), F.posexplode("bodies").alias("at", "body"))
     asked = whole.unionByName(paragraphs).unionByName(single).withColumn("normal", _normal(F.col("body"))).where("normal <> ''").select(*passage, "unit", "at", _key(F.col("normal")).alias("key"))
 
-    with_quotes = quoting.select("conv_id").distinct()
+    with_quotes = cut(quoting.select("conv_id").distinct())  # written first, so that a very long conversation can be split
     own = messages.where("turn is not null").join(with_quotes, "conv_id", "left_semi").select("conv_id", "turn", _own_lines(_lines(F.coalesce("text", F.lit("")))).alias("own"))
     body = F.array_join("own", "\n")
     units = F.array_distinct(F.transform(F.concat(F.array(body), F.split(body, _BLANK), F.col("own")), _normal))
     units = own.select("conv_id", "turn", F.explode(units).alias("normal")).where("normal <> ''")
-    origin = units.groupBy("conv_id", _key(F.col("normal")).alias("key")).agg(F.min("turn").alias("quoted_turn"))
+    origin = cut(units.groupBy("conv_id", _key(F.col("normal")).alias("key")).agg(F.min("turn").alias("quoted_turn")))
     linked = asked.join(origin, ["conv_id", "key"]).where("quoted_turn < turn")
     return linked.groupBy("conv_id", "turn", "level", "passage").agg(F.min_by("quoted_turn", F.struct("unit", "at")).alias("quoted_turn"))
 
@@ -96,8 +97,8 @@ def threads(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def format_conversations(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role, text, reply_to, thread_root, depth, n_quoted, formatted), a row for each message,
-    ordered by conversation, thread and turn.
+    """(conv_id, turn, role, text, reply_to, thread_root, depth, n_quoted, formatted), a row for each message; sorted by
+    (conv_id, thread_root, turn) they read as reply-ordered conversations.
 
     text has no quotes and no line that introduces one, and is trimmed; formatted wraps it with its role. reply_to
     is the turn that the shallowest linked passage comes from (the first such passage), null if none is linked;
@@ -119,5 +120,4 @@ def format_conversations(table: DataFrame, conv_col: str = "conv_id", turn_col:
         "reply_to", F.coalesce("root", "turn").alias("thread_root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
         F.size(F.filter(lines, lambda x: _level(x) > 0)).cast("long").alias("n_quoted"),
     )
-    out = out.withColumn("formatted", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>")))
-    return out.orderBy("conv_id", "thread_root", "turn")
+    return out.withColumn("formatted", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>")))

@@ -156,7 +156,8 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
-    """Fit on rows that are not held out and have a language: FIT_ROWS of each language at most, FIT_ROWS_ALL in all."""
+    """Fit on rows that are not held out and have a language: FIT_ROWS of each language at most, FIT_ROWS_ALL in all. Of
+    rows repeated under one id and language the least vector of counts teaches, so that no more come to the driver."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and id is not null")
     rows = rows.where(~is_held_out(F.col("id"))).select("id", "lang", F.xxhash64("id", F.lit(7)).alias("h"))
     # a first cut by hash leaves about four times the rows wanted of each language, so that none is sorted whole
@@ -164,7 +165,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if counts.count() <= MOST_LANGUAGES:  # else Spark deals the rows by language for the join
         counts = F.broadcast(counts)
     below = F.col("h") < F.least(F.lit(1.0), 4.0 * FIT_ROWS / F.col("of_lang")) * 2.0**64 - 2.0**63
-    some = rows.join(counts, "lang").where((F.col("of_lang") <= 4 * FIT_ROWS) | below)
+    some = rows.join(counts, "lang").where((F.col("of_lang") <= 4 * FIT_ROWS) | below).select("id", "lang", "h").distinct()
     some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(f"n <= {FIT_ROWS}")
     some = some.orderBy("n", "h").limit(FIT_ROWS_ALL).select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct()
 
@@ -177,7 +178,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     picked = picked.join(F.broadcast(some), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("id", "text", "lang")
-    found = picked.mapInArrow(run, "h long, lang string, counts binary").toPandas().sort_values(["h", "lang", "counts"])
+    found = picked.mapInArrow(run, "h long, lang string, counts binary").groupBy("h", "lang").agg(F.min("counts").alias("counts")).toPandas().sort_values(["h", "lang", "counts"])
     counts = np.stack([np.frombuffer(c, "<u4") for c in found["counts"]]) if len(found) else np.zeros((0, WIDTH))
     return fit(counts, found["lang"].to_numpy(object))
 

@@ -1,16 +1,18 @@
 """Variable-capacity best-fit packing of token sequences.
 
 Sequences are dealt by hash into groups of bounded size that are packed independently. Within a group, pieces
-go, longest first, into the open bin with the least room that still holds them; if there is none, a bin of the
-least-cost size is opened. The permitted sizes are optimised jointly: the group is packed once for each least
-opening size, every bin is downsized to the smallest permitted size that holds its contents, and the packing of
-least total cost stays.
+go, longest first, into the open bin with the least room that still holds them; if there is none, a bin is opened in
+the size of least expected cost a token: each permitted size is filled, as far as it goes, with the pieces still to
+come, and costs what the downsized bin would. At the end every bin is downsized to the smallest permitted size that
+holds its contents. The permitted sizes are also optimised jointly: the group is packed with these openings and with
+each fixed least opening size, and the packing of least total cost stays.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from heapq import heappop, heappush
 
 import numpy as np
@@ -28,12 +30,36 @@ OVERHEAD = 32
 GROUP_PIECES = 32_768
 
 
-def best_fit(lengths: Sequence[int], capacities: Sequence[int], least: int) -> tuple[list[int], list[int], list[int]]:
+def least_cost_opening(lengths: Sequence[int], capacities: Sequence[int], overhead: int) -> Callable[[int], int]:
+    """The size to open for the piece at a place of lengths (longest first): of least cost a token, larger on ties, if
+    the bin takes, longest first, what still fits of the pieces after it."""
+    rising = [-n for n in lengths]
+
+    def opening(at: int) -> int:
+        best = (float("inf"), 0)
+        for c in capacities:
+            room = c - lengths[at]
+            if room < 0:
+                continue
+            k = at
+            while room and (k := bisect_left(rising, -room, k + 1)) < len(rising):
+                room -= lengths[k]
+            used = c - room
+            cost = (capacities[bisect_left(capacities, used)] + overhead) / used
+            if (cost, -c) < best:
+                best = (cost, -c)
+        return -best[1]
+
+    return opening
+
+
+def best_fit(lengths: Sequence[int], capacities: Sequence[int], least: int | Callable[[int], int]) -> tuple[list[int], list[int], list[int]]:
     """(bin of each piece, its offset there, opened size of each bin); lengths longest first, all in
-    1..max(capacities). Of bins with equal room the first opened is taken; a new bin has the smallest permitted size that is not below ``least`` and holds the piece."""
+    1..max(capacities). Of bins with equal room the first opened is taken; a new bin has the size that ``least`` gives for
+    the piece's place, or the smallest permitted size that is not below ``least`` and holds the piece."""
     rooms, mask = defaultdict(list), 0  # heaps of open bins by room left; mask has a bit for each room that some bin has
     bins, offsets, opened, filled = [], [], [], []
-    for n in lengths:
+    for at, n in enumerate(lengths):
         reach = mask >> n
         if reach:
             room = (reach & -reach).bit_length() - 1 + n
@@ -42,7 +68,7 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], least: int) -> t
                 mask ^= 1 << room
         else:
             b = len(opened)
-            room = next(c for c in capacities if c >= max(n, least))
+            room = least(at) if callable(least) else next(c for c in capacities if c >= max(n, least))
             opened.append(room)
             filled.append(0)
         bins.append(b)
@@ -55,11 +81,11 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], least: int) -> t
 
 
 def pack(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each piece, its offset, final size of each bin) of the least cost over the least opening sizes;
-    ties go to the larger one."""
+    """(bin of each piece, its offset, final size of each bin) of the least cost over openings of least cost and the
+    fixed least opening sizes; ties go to the first, then to the larger size."""
     capacities = sorted(capacities)
     best: tuple | None = None
-    for least in reversed(capacities):
+    for least in (least_cost_opening(lengths, capacities, overhead), *reversed(capacities)):
         bins, offsets, opened = best_fit(lengths, capacities, least)
         filled = np.bincount(bins, weights=lengths, minlength=len(opened)).astype(np.int64) if len(opened) else np.zeros(0, np.int64)
         sizes = np.asarray(capacities)[np.searchsorted(capacities, filled)]

@@ -245,6 +245,8 @@ def _taught(labels: DataFrame) -> DataFrame:
 
 
 def _fit_on(sample: DataFrame) -> RuleEnsemble:
+    """Fit on rows (id, quality, statistics); of rows repeated under one id the least counts, so FIT_ROWS bounds them."""
+    sample = sample.groupBy("id").agg(F.min(F.struct("quality", *STATISTICS)).alias("row")).select("row.*")
     rows = sample.select("quality", *STATISTICS).toPandas().sort_values(["quality", *STATISTICS])
     return fit(rows[list(STATISTICS)].to_numpy(np.float64), rows["quality"].to_numpy(np.int64))
 
@@ -253,12 +255,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """(doc_id, held_out, score, predicted), one row for each row of docs.
 
     Labels are learned from rows that are not held out, FIT_ROWS of them at most (least by a hash of the id);
-    null labels and ids teach nothing, and of repeated labels of an id the lowest counts. Null and empty texts
+    null labels and ids teach nothing, and of repeated labels or rows of an id the lowest counts. Null and empty texts
     have statistics 0 and a score as any other. A null doc_id is not held out. Without any label the score is
     0.5. An empty table gives no rows.
     """
     stats = cut(with_statistics(docs, id_col, text_col))
-    model = _fit_on(stats.join(F.broadcast(_taught(labels)), "doc_id"))
+    model = _fit_on(stats.join(F.broadcast(_taught(labels)), "doc_id").withColumnRenamed("doc_id", "id"))
     score = stats.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
     return score.withColumn("predicted", F.when(F.col("score") >= good, 1).otherwise(0))
 
@@ -276,7 +278,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     them, and texts are neither shuffled nor sent back from Python.
     """
     taught = F.broadcast(_taught(labels).withColumnsRenamed({"doc_id": "__id", "quality": "__quality"}))
-    picked = docs.join(taught, F.col(id_col).cast("long") == F.col("__id")).select(F.col("__quality").cast("long").alias("id"), F.col(text_col).alias("text"))
-    model = _fit_on(with_statistics(picked, "id", "text").withColumnRenamed("doc_id", "quality"))
+    picked = docs.join(taught, F.col(id_col).cast("long") == F.col("__id")).select("__id", "__quality", F.col(text_col).cast("string").alias("__text"))
+    picked = picked.withColumn("s", F.arrow_udf(_statistics_of, "array<double>")("__text"))
+    model = _fit_on(picked.select(F.col("__id").alias("id"), F.col("__quality").alias("quality"), *(F.col("s")[i].alias(x) for i, x in enumerate(STATISTICS))))
     made = docs.withColumn("__statistics", F.arrow_udf(_statistics_of, "array<double>")(F.col(text_col).cast("string")))
     return made.where(model.column(lambda f: F.col("__statistics")[f]) >= good).drop("__statistics")

@@ -39,10 +39,13 @@ def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every document. The cache starts empty, so each distinct text is
-    encoded once; a production caller passes a lasting folder."""
-    cache = f"{shared_dir(spark)}/token_cache/{uuid.uuid4().hex}"
-    return token_cache.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache, limit=4096)
+    """doc_id, n_bytes, n_tokens, over_limit, cached of every document. The first call finds an empty cache and encodes
+    each distinct text once; the second, whose rows these are, finds all counts stored. A production caller passes a
+    lasting folder."""
+    cache, path = f"{shared_dir(spark)}/token_cache/{uuid.uuid4().hex}", public_tokenizers.path("piece_bpe_32k.model")
+    docs = read(spark, sf_dir, "documents")
+    token_cache.count_tokens(docs, path, cache)
+    return token_cache.count_tokens(docs, path, cache, limit=4096, with_cached=True)
 
 
 def op7_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

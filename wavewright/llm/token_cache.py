@@ -9,6 +9,7 @@ Normalising must not change a count, so it only makes null the empty text.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ from .common import cut
 
 CACHE_CHUNKS = 400_000
 CACHED_LENGTH = 48
-_SCHEMA = "version string, digest binary, n_tokens long"
+_SCHEMA = "version string, run string, digest binary, n_tokens long"
 
 
 class _Chunks(dict):
@@ -115,12 +116,14 @@ def version_of(path: str, pattern: str = "") -> str:
         return hashlib.sha256(file.read() + path.rpartition(".")[2].encode() + pattern.encode()).hexdigest()
 
 
-def read_cache(spark, cache_path: str, version: str) -> DataFrame:
-    """(digest, n_tokens) of one tokenizer version; a folder that does not exist yet is an empty cache."""
+def read_cache(spark, cache_path: str, version: str, run: str = "") -> DataFrame:
+    """(digest, n_tokens, cached) of one tokenizer version, cached unless only ``run`` has stored it; a folder that does
+    not exist yet is an empty cache."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "digest binary, n_tokens long")
-    return spark.read.schema(_SCHEMA).parquet(cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        return spark.createDataFrame([], "digest binary, n_tokens long, cached boolean")
+    stored = spark.read.schema(_SCHEMA).parquet(cache_path).where(F.col("version") == version)
+    return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"), F.bool_or(F.coalesce(F.col("run") != run, F.lit(True))).alias("cached"))
 
 
 def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,29 +134,35 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def _encode_distinct(path: str, pattern: str, version: str):
+def _encode_distinct(path: str, pattern: str, version: str, run_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _first_seen(batches):
             count = counter(path, pattern).count
             n = [count(t.as_py()) for t in batch.column(1)]
-            yield pa.record_batch([pa.array([version] * len(n), pa.string()), batch.column(0), pa.array(n, pa.int64())], names=["version", "digest", "n_tokens"])
+            yield pa.record_batch([pa.array([version] * len(n), pa.string()), pa.array([run_id] * len(n), pa.string()), batch.column(0), pa.array(n, pa.int64())], names=["version", "run", "digest", "n_tokens"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, path: str, cache_path: str, pattern: str = "", limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of docs; appends to the cache first.
+def count_tokens(docs: DataFrame, path: str, cache_path: str, pattern: str = "", limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_cached: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit and, if wanted, cached), one row for each row of docs; appends to the cache first.
 
-    Null texts are empty: no bytes, no tokens. Rows keep their repeats and null ids. An empty table gives no
-    rows and leaves the cache as it was. A run that dies before its append commits leaves no counts behind.
+    cached tells whether the count was stored before. Null texts are empty: no bytes, no tokens. Rows keep their
+    repeats and null ids. An empty table gives no rows and leaves the cache as it was. A run that dies before its
+    append commits leaves no counts behind. Where the cache knows something, the digests that it misses are found
+    first, and only their texts are shuffled.
     """
     spark, version = docs.sparkSession, version_of(path, pattern)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
-    known = read_cache(spark, cache_path, version).select("digest").hint("shuffle_hash")
-    local = keyed.select("digest", "text").mapInArrow(_first_seen, "digest binary, text string")
-    misses = local.repartition("digest").join(known, "digest", "left_anti")
-    misses.mapInArrow(_encode_distinct(path, pattern, version), _SCHEMA).write.mode("append").parquet(cache_path)
-    counts = cut(read_cache(spark, cache_path, version))  # an aggregate in the join's stage would keep Spark from splitting a hot digest
+    run, known = uuid.uuid4().hex, read_cache(spark, cache_path, version).select("digest")
+    misses, some = keyed.select("digest", "text").mapInArrow(_first_seen, "digest binary, text string"), True
+    if not known.isEmpty():
+        digests = keyed.select("digest").mapInArrow(_first_seen, "digest binary").distinct()
+        missing = cut(digests.join(known, "digest", "left_anti"))
+        misses, some = misses.join(missing, "digest", "left_semi"), not missing.isEmpty()
+    if some:
+        misses.repartition("digest").mapInArrow(_encode_distinct(path, pattern, version, run), _SCHEMA).write.mode("append").parquet(cache_path)
+    counts = cut(read_cache(spark, cache_path, version, run))  # an aggregate in the join's stage would keep Spark from splitting a hot digest
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), *(["cached"] if with_cached else []))
