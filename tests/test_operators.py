@@ -176,7 +176,7 @@ def test_long_numbering(spark):
 
 
 def test_corruption():
-    x = np.sin(np.arange(64.0))
+    x = np.sin(np.arange(64.0)).astype(np.float32)  # signals are float32 before and after a corruption
     for family in kernels.FAMILIES:
         a, b = (kernels.corrupt(x, family, 0.5, 7) for _ in range(2))
         assert a.tobytes() == b.tobytes() and (family == "none") == bool((a == x).all())
@@ -210,6 +210,54 @@ def test_scorers(spark):
         scorers.checked(lambda v: v[:-1], x)
 
 
+@pytest.mark.parametrize("size", [8, 12, 32, 64, 100])
+def test_batched_kernels_give_each_row_what_it_gets_alone(size):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(5, size))
+    x[3] = 0
+    for fn in (*scorers.METHODS.values(), lambda v: kernels.wavelet_shrink(v, "db2", "soft", 1.0, 2), lambda v: kernels.spectral_gate(v, False, 0.75, 16), lambda v: kernels.moving_average(v, 4, "edge")):
+        together = fn(x)
+        assert together.shape == x.shape and all(np.allclose(together[k], fn(x[k]), rtol=1e-12, atol=1e-12) for k in range(5))
+    assert [float(s[0]) for s in kernels.robust_scales(x)] == [kernels.robust_scale(r) for r in x]
+    ragged = [x[0], x[1, :8], x[2], x[4, :8]]
+    assert all(np.allclose(a, scorers.METHODS["wavelet_sym4"](b), atol=1e-12) for a, b in zip(scorers.through(kernels.wavelet_shrink, ragged), ragged, strict=True))
+
+
+@pytest.mark.parametrize("wavelet", sorted(kernels.SCALING))
+def test_wavelet_transform_by_convolution(wavelet):
+    """The slices against NumPy's convolutions, and the inverse against the input."""
+    bank = kernels.OrthogonalWavelet(wavelet)
+    for size in (9, 32, 33):
+        x = np.random.default_rng(size).normal(size=size)
+        n = len(bank.up)
+        ends = np.pad(x, n - 1, mode="symmetric")
+        low, high = bank.split(x)
+        assert np.allclose(low, np.convolve(ends, bank.up[::-1], mode="valid")[1::2]) and np.allclose(high, np.convolve(ends, bank.high[::-1], mode="valid")[1::2])
+        assert np.allclose(bank.join(low, high, size), x)
+
+
+def test_one_pass_event_metrics_shuffle_once(spark):
+    s = series(spark, value=np.arange(20.0), label=np.arange(20) % 5 > 2)
+    for df in (metrics.event_recall(s, K, F.col("label"), F.col("value") > 9), metrics.erasure_rate(s, K, F.col("label"), F.col("value") > 3, F.col("value") > 9), metrics.false_event_rate(s, K, F.col("label"), F.col("value") > 3, F.col("value") > 9)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 1 and "Join" not in plan
+
+
+def test_mixed_corruption_in_float32_steps():
+    """Each family draws from a seed of its own and is rounded to float32 before the next."""
+    x = np.sin(np.arange(64) / 5).astype(np.float32)
+    seeds = np.random.default_rng(11).integers(0, np.iinfo(np.int32).max, size=3)
+    for severity, seed, family in ((0.65 * 0.5, seeds[0], "gaussian"), (0.65 * 0.5, seeds[1], "impulse"), (0.55 * 0.5, seeds[2], "drift")):
+        x = kernels.corrupt(x, family, severity, int(seed))
+        assert x.dtype == np.float32
+    found = kernels.corrupt(np.sin(np.arange(64) / 5), "mixed", 0.5, 11)
+    assert found.tobytes() == x.tobytes()
+    low, high = np.percentile(x, (25, 75))
+    assert kernels.robust_scale(x) == max(float((high - low) / 1.349), float(np.std(x)), 1e-4)
+    with pytest.raises(AuditError):
+        kernels.corrupt(np.ones(7), "gaussian", 0.5, 1)
+
+
 def magnitude_controller(**options):
     base = {"tile": 1, "padding": 0, "dilation": 0, "max_changed": 1.0}
     return ct.Controller([scorers.Witness("w", scorers.magnitude, 1.0)], ct.ControllerSettings(**{**base, **options}))

@@ -3,7 +3,7 @@
 import pytest
 from helpers import oracle, rows
 
-from wavewright.plans import registry
+from wavewright.plans import registry, registry_io  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))

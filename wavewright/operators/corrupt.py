@@ -16,7 +16,7 @@ def corrupt_packed(df: DataFrame, values: str = "values", family: str = "family"
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series, f: pd.Series, s: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([kernels.corrupt(a, b, float(c), int(d)) for a, b, c, d in zip(x, f, s, k, strict=True)])
+        return pd.Series([kernels.corrupt(a, b, float(c), int(d)).astype(np.float64) for a, b, c, d in zip(x, f, s, k, strict=True)])
 
     return df.withColumn(name, run(values, family, severity, seed))
 

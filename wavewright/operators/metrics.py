@@ -47,6 +47,16 @@ def event_hits(df: DataFrame, events: DataFrame, keys: list[str], flags: dict[st
     return points.join(marks, [*keys, order], "left").groupBy(*keys, "start", "end").agg(*(F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in flags))
 
 
+def own_events(df: DataFrame, keys: list[str], event: Column, flags: dict[str, Column], order: str = "t") -> DataFrame:
+    """The runs of samples with ``event`` and, for each name, whether the flag holds anywhere inside: (keys, is_event,
+    flags). What lies outside of runs is one more row of each key, so that keys without events stay. Runs are numbered
+    by a window over the keys and gathered by the same keys: one scan and one shuffle, and no join."""
+    rows = df.select(*keys, order, F.coalesce(event, F.lit(False)).alias("is_event"), *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()))
+    seen = F.sum(F.col("is_event").cast("long")).over(in_order(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+    run = F.when(F.col("is_event"), F.col(order) - seen).alias("__run")
+    return rows.select(*keys, run, "is_event", *flags).groupBy(*keys, "__run", "is_event").agg(*(F.bool_or(n).alias(n) for n in flags)).drop("__run")
+
+
 def all_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
@@ -57,25 +67,22 @@ def _ratio(top: Column, bottom: Column, none: float | None = None) -> Column:
 
 def event_recall(df: DataFrame, keys: list[str], label: Column, predicted: Column, order: str = "t") -> DataFrame:
     """(keys, event_recall): share of labelled events with a prediction inside; 0 without events."""
-    hits = event_hits(df, iv.islands(df, keys, label, order), keys, {"hit": predicted}, order)
-    found = hits.groupBy(*keys).agg(F.avg(F.col("hit").cast("double")).alias("event_recall"))
-    return all_keys(df, keys).join(found, keys, "left").na.fill(0.0, ["event_recall"])
+    found = own_events(df, keys, label, {"hit": predicted}, order).groupBy(*keys).agg(F.avg(F.when(F.col("is_event"), F.col("hit").cast("double"))).alias("event_recall"))
+    return found.na.fill(0.0, ["event_recall"])
 
 
 def erasure_rate(df: DataFrame, keys: list[str], label: Column, before: Column, after: Column, order: str = "t") -> DataFrame:
     """(keys, erasure): of labelled events hit before, the share not hit after; 0 if none was."""
-    hits = event_hits(df, iv.islands(df, keys, label, order), keys, {"b": before, "a": after}, order)
-    lost = _ratio(F.count_if(F.col("b") & ~F.col("a")), F.count_if(F.col("b")), 0.0)
-    return all_keys(df, keys).join(hits.groupBy(*keys).agg(lost.alias("erasure")), keys, "left").na.fill(0.0, ["erasure"])
+    hit = F.col("is_event") & F.col("b")
+    lost = _ratio(F.count_if(hit & ~F.col("a")), F.count_if(hit), 0.0)
+    return own_events(df, keys, label, {"b": before, "a": after}, order).groupBy(*keys).agg(lost.alias("erasure"))
 
 
 def false_event_rate(df: DataFrame, keys: list[str], label: Column, before: Column, after: Column, order: str = "t", none: float | None = 0.0) -> DataFrame:
     """(keys, false_event_rate): of events predicted after, the share that meets neither a label nor a prediction
     before."""
-    hits = event_hits(df, iv.islands(df, keys, after, order), keys, {"known": label | before}, order)
-    rate = _ratio(F.count_if(~F.col("known")), F.count("*"), none)
-    out = all_keys(df, keys).join(hits.groupBy(*keys).agg(rate.alias("false_event_rate")), keys, "left")
-    return out if none is None else out.na.fill(none, ["false_event_rate"])
+    rate = _ratio(F.count_if(F.col("is_event") & ~F.col("known")), F.count_if("is_event"), none)
+    return own_events(df, keys, after, {"known": label | before}, order).groupBy(*keys).agg(rate.alias("false_event_rate"))
 
 
 def average_precision(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
@@ -163,15 +170,15 @@ def event_decisions(df: DataFrame, keys: list[str], label: Column, reference: Co
     """(keys, labelled_events, retained, reference_detectable, erased, observation_detectable, recovered,
     recovery_eligible, false_generated, predicted, retention, erasure, recovery, false_generation); null rates
     where nothing is eligible."""
-    hits = event_hits(df, iv.islands(df, keys, label, order), keys, {"r": reference, "o": observation, "c": candidate}, order)
-    r, o, c = F.col("r"), F.col("o"), F.col("c")
+    hits = own_events(df, keys, label, {"r": reference, "o": observation, "c": candidate}, order)
+    r, o, c = (F.col("is_event") & F.col(x) for x in "roc")
     own = hits.groupBy(*keys).agg(
-        F.count("*").alias("labelled_events"), F.count_if(r & c).alias("retained"), F.count_if(r).alias("reference_detectable"), F.count_if(o & ~c).alias("erased"),
+        F.count_if("is_event").alias("labelled_events"), F.count_if(r & c).alias("retained"), F.count_if(r).alias("reference_detectable"), F.count_if(o & ~c).alias("erased"),
         F.count_if(o).alias("observation_detectable"), F.count_if(r & ~o & c).alias("recovered"), F.count_if(r & ~o).alias("recovery_eligible"),
     )
-    made = event_hits(df, iv.islands(df, keys, candidate, order), keys, {"known": label | observation}, order)
-    made = made.groupBy(*keys).agg(F.count_if(~F.col("known")).alias("false_generated"), F.count("*").alias("predicted"))
-    out = all_keys(df, keys).join(own, keys, "left").join(made, keys, "left").na.fill(0)
+    made = own_events(df, keys, candidate, {"known": label | observation}, order)
+    made = made.groupBy(*keys).agg(F.count_if(F.col("is_event") & ~F.col("known")).alias("false_generated"), F.count_if("is_event").alias("predicted"))
+    out = own.join(made, keys)
     rates = {"retention": ("retained", "reference_detectable"), "erasure": ("erased", "observation_detectable"), "recovery": ("recovered", "recovery_eligible"), "false_generation": ("false_generated", "predicted")}
     return out.withColumns({n: _ratio(F.col(a), F.col(b)) for n, (a, b) in rates.items()})
 

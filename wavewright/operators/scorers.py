@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,18 +101,60 @@ def fit_forecaster(df: DataFrame, order_n: int, values: str = "values", limit: i
 def filter_packed(df: DataFrame, fn: Callable[..., np.ndarray], values: str = "values", name: str = "output", **options) -> DataFrame:
     """Packed windows through a kernel such as wavelet_shrink or spectral_gate."""
 
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([fn(np.asarray(a, np.float64), **options) for a in x])
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(*packed_rows(through(fn, unpacked_rows(x), **options)))
 
-    return df.withColumn(name, run(values))
+    return df.withColumn(name, run(F.col(values).cast("array<double>")))
+
+
+def unpacked_rows(x: pa.Array) -> list[np.ndarray]:
+    flat, ends = x.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def packed_rows(rows: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Offsets and values of a list array."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0), pa.float64())
+
+
+#: Cells of the matrices that batched kernels are given.
+BATCH_CELLS = 1 << 18
+
+
+def through(fn: Callable[..., np.ndarray], windows: list[np.ndarray], **options) -> list[np.ndarray]:
+    """fn of each window; windows of one length go through a batched kernel together."""
+    if not getattr(fn, "batched", False):
+        return [np.asarray(fn(np.asarray(w, np.float64), **options), np.float64) for w in windows]
+    out: list = [None] * len(windows)
+    places: dict[int, list[int]] = {}
+    for k, w in enumerate(windows):
+        places.setdefault(len(w), []).append(k)
+    for size, ks in places.items():
+        step = max(1, BATCH_CELLS // max(1, size))
+        for at in range(0, len(ks), step):
+            some = ks[at : at + step]
+            for k, row in zip(some, fn(np.stack([np.asarray(windows[k], np.float64) for k in some]), **options), strict=True):
+                out[k] = row
+    return out
+
+
+@kernels.batched
+def _unchanged(x) -> np.ndarray:
+    return np.asarray(x, np.float64)
+
+
+@kernels.batched
+def _mean_of_nine(x) -> np.ndarray:
+    return kernels.moving_average(x, 9, "reflect_odd")
 
 
 #: Denoisers on packed windows, by name.
 METHODS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "corrupted_input": lambda x: np.asarray(x, np.float64),
+    "corrupted_input": _unchanged,
     "median_w3": kernels.median3,
-    "moving_average_w9": lambda x: kernels.moving_average(x, 9, "reflect_odd"),
+    "moving_average_w9": _mean_of_nine,
     "wavelet_sym4": kernels.wavelet_shrink,
     "spectral_gating": kernels.spectral_gate,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_mod, in_order
+from ..sources.staging import settled
 
 
 def number_samples(df: DataFrame, keys: list[str], order: list[str], name: str = "t") -> DataFrame:
@@ -23,10 +24,7 @@ def number_long_samples(df: DataFrame, keys: list[str], order: list[str], name:
     spark = df.sparkSession
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *keys, *order).withColumn("__slice", F.spark_partition_id())
-    if spark.sparkContext.getCheckpointDir() is not None:
-        dealt = dealt.checkpoint()  # the slices must stay as they are counted
-    else:
-        dealt = dealt.persist()
+    dealt = settled(dealt)  # the slices must stay as they are counted
     counts = dealt.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(in_order(keys, "__slice").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
@@ -47,6 +45,14 @@ def pack(df: DataFrame, keys: list[str], columns: list[str], order: str = "i") -
     return packed.select(*keys, *(F.col(f"__p.{c}").alias(c) for c in columns))
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Packed windows dealt for maps that are dear by the row: into the session's number of shuffle partitions, or a task
+    for each core if that is more. A numbered repartition is not coalesced by bytes, of which windows have few."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def unpack(df: DataFrame, keys: list[str], columns: list[str], order: str = "i") -> DataFrame:
     """One row for each element of the arrays."""
     zipped = F.posexplode(F.arrays_zip(*columns)).alias(order, "__z")

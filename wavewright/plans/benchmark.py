@@ -36,13 +36,12 @@ def tune(conditions_: DataFrame, grid: tuple[dict, ...], kernel: Callable[..., n
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for g, ref, obs in zip(pdf["source_group_id"], pdf["values"], pdf["observation"], strict=True):
-                x = np.asarray(obs, np.float64)
-                scale = kernels.robust_scale(x)
-                for i, config in enumerate(grid):
-                    rows.append((g, i, float(np.sqrt(np.mean((kernel(x, **config) - np.asarray(ref)) ** 2))) / scale))
-            yield pd.DataFrame(rows, columns=["source_group_id", "config", "error"])
+            references, observed = ([np.asarray(x, np.float64) for x in pdf[c]] for c in ("values", "observation"))
+            scales = [float(x[0]) for x in scorers.through(kernels.batched(kernels.robust_scales), observed)]
+            for i, config in enumerate(grid):
+                made = scorers.through(kernel, observed, **config)
+                errors = [float(np.sqrt(np.mean((y - r) ** 2))) / scale for y, r, scale in zip(made, references, scales, strict=True)]
+                yield pd.DataFrame({"source_group_id": pdf["source_group_id"].to_numpy(), "config": np.int32(i), "error": errors})
 
     errors = conditions_.select("source_group_id", "values", "observation").mapInPandas(run, "source_group_id string, config int, error double")
     return metrics.hierarchical_mean(errors, ["source_group_id"], "error", ["config"]).withColumnRenamed("mean", "os_nrmse")
@@ -77,15 +76,16 @@ def waveform_rows(conditions_: DataFrame, methods: list[str] | None = None) -> D
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for i, (ref, obs) in enumerate(zip(pdf["values"], pdf["observation"], strict=True)):
-                r, o = np.asarray(ref, np.float64), np.asarray(obs, np.float64)
-                scale, label = kernels.robust_scale(o), np.asarray(pdf["labels"].iloc[i], bool) if "labels" in pdf else np.zeros(r.size, bool)
-                for m in names:
-                    y = np.asarray(scorers.METHODS[m](o), np.float64)
+            references, observed = ([np.asarray(x, np.float64) for x in pdf[c]] for c in ("values", "observation"))
+            labels = [np.asarray(x, bool) for x in pdf["labels"]] if "labels" in pdf else [np.zeros(r.size, bool) for r in references]
+            scales = [float(x[0]) for x in scorers.through(kernels.batched(kernels.robust_scales), observed)]
+            for m in names:
+                rows = []
+                for r, o, y, label, scale in zip(references, observed, scorers.through(scorers.METHODS[m], observed), labels, scales, strict=True):
                     e = (y - r) ** 2
-                    rows.append((*pdf[keys].iloc[i], m, float(np.sqrt(e.mean())) / scale, float(np.sqrt(e[label].mean())) / scale if label.any() else None, float(np.sqrt(e.mean())), float(np.abs(y - o).mean()), bool(np.isfinite(y).all()), kernels.array_hash(y)))
-            yield pd.DataFrame(rows, columns=[*keys, "method", "os_nrmse", "anomaly_os_nrmse", "native_rmse", "mean_abs_correction", "finite", "output_sha256"])
+                    rows.append((m, float(np.sqrt(e.mean())) / scale, float(np.sqrt(e[label].mean())) / scale if label.any() else None, float(np.sqrt(e.mean())), float(np.abs(y - o).mean()), bool(np.isfinite(y).all()), kernels.array_hash(y)))
+                made = pd.DataFrame(rows, columns=["method", "os_nrmse", "anomaly_os_nrmse", "native_rmse", "mean_abs_correction", "finite", "output_sha256"])
+                yield pd.concat([pdf[keys].reset_index(drop=True), made], axis=1)
 
     kinds = dict(conditions_.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", method string, os_nrmse double, anomaly_os_nrmse double, native_rmse double, mean_abs_correction double, finite boolean, output_sha256 string"
@@ -104,21 +104,20 @@ def witness_rows(conditions_: DataFrame, witnesses: list[scorers.Witness], metho
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for i, obs in enumerate(pdf["observation"]):
-                o = np.asarray(obs, np.float64)
-                target = np.asarray(pdf["labels"].iloc[i], bool)
-                outs = {m: np.asarray(scorers.METHODS[m](o), np.float64) for m in names}
-                for w in witnesses:
-                    valid = np.zeros(o.size, bool)
-                    valid[w.context_left : o.size - w.context_right] = True
-                    seen = (w.scorer(o) >= w.threshold) & valid
-                    wide = np.convolve(seen, np.ones(2 * tolerance + 1), "same") > 0
-                    for m, y in outs.items():
-                        mine = (w.scorer(y) >= w.threshold) & valid
-                        a, b = bool((seen & target).any()), bool((mine & target).any())
-                        rows.append((*pdf[keys].iloc[i], m, w.witness_id, int(a), int(b), int(a and not b), sum(not wide[s:e].any() for s, e in runs_of(mine))))
-            yield pd.DataFrame(rows, columns=[*keys, "method", "scorer", "observation_detectable", "output_detectable", "erased", "output_only"])
+            observed, targets = [np.asarray(x, np.float64) for x in pdf["observation"]], [np.asarray(x, bool) for x in pdf["labels"]]
+            outputs = {m: scorers.through(scorers.METHODS[m], observed) for m in names}
+            for w in witnesses:
+                valid = [np.r_[np.zeros(w.context_left, bool), np.ones(o.size - w.context_left - w.context_right, bool), np.zeros(w.context_right, bool)] for o in observed]
+                seen = [(w.scorer(o) >= w.threshold) & v for o, v in zip(observed, valid, strict=True)]
+                wide = [np.convolve(x, np.ones(2 * tolerance + 1), "same") > 0 for x in seen]
+                for m, made in outputs.items():
+                    rows = []
+                    for y, s, target, v, near in zip(made, seen, targets, valid, wide, strict=True):
+                        mine = (w.scorer(y) >= w.threshold) & v
+                        a, b = bool((s & target).any()), bool((mine & target).any())
+                        rows.append((m, w.witness_id, int(a), int(b), int(a and not b), sum(not near[x:z].any() for x, z in runs_of(mine))))
+                    counts = pd.DataFrame(rows, columns=["method", "scorer", "observation_detectable", "output_detectable", "erased", "output_only"])
+                    yield pd.concat([pdf[keys].reset_index(drop=True), counts], axis=1)
 
     kinds = dict(conditions_.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", method string, scorer string, observation_detectable int, output_detectable int, erased int, output_only int"

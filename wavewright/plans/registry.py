@@ -552,7 +552,7 @@ def condition_grid(spark, d):
 
 
 def packed_windows(spark, d) -> DataFrame:
-    p = wn.pack(window_samples(spark, d), KW, ["value", "label"])
+    p = wn.spread(wn.pack(window_samples(spark, d), KW, ["value", "label"]), KW)
     return p.withColumnsRenamed({"value": "values", "label": "labels"}).withColumn("window_id", F.concat_ws(":", "series_id", "w")).withColumn("source_group_id", F.col("series_id").cast("string"))
 
 
@@ -659,9 +659,9 @@ def _official_sql(buffers: int, m: int) -> str:
     SELECT series_id, round(avg(area), 6) AS vus_pr, count(*) AS n_buffers FROM su GROUP BY ALL"""
 
 
-@query(_official_sql(4, 10))
+@query(_official_sql(4, 250))
 def vus_pr(spark, d):
-    r = metrics.vus_pr(samples(spark, d), K, "label", "value", 4, 10)
+    r = metrics.vus_pr(samples(spark, d), K, "label", "value", 4, 250)
     return r.select("series_id", r6(F.col("vus_pr"), "vus_pr"), "n_buffers")
 
 
@@ -870,31 +870,31 @@ PAIRS = f"WITH {S}, p AS (SELECT series_id, avg(value) FILTER (WHERE t % 2 = 1)
 POISSON = "CASE " + " ".join(f"WHEN u < {b!r} THEN {k}" for k, b in enumerate(np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1), initial=1.0) for k in range(11)]).tolist())) + " ELSE 11 END"
 
 
-@query(PAIRS + f""", q AS (SELECT r, d, CAST('0x' || substr(sha256('2026|' || CAST(r AS VARCHAR) || '|' || CAST(series_id AS VARCHAR)), 1, 8) AS UBIGINT) / 4294967296.0 AS u FROM p CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS r)),
+@query(PAIRS + f""", q AS (SELECT r, d, CAST('0x' || substr(sha256('2026|' || CAST(r AS VARCHAR) || '|' || CAST(series_id AS VARCHAR)), 1, 8) AS UBIGINT) / 4294967296.0 AS u FROM p CROSS JOIN (SELECT unnest(generate_series(1, 10000)) AS r)),
     m AS (SELECT r, sum({POISSON} * d) / sum({POISSON}) AS m FROM q GROUP BY r), i AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m)
     SELECT round(avg(d), 6) AS estimate, round(first(lo), 6) AS "lower", round(first(hi), 6) AS "upper", count(*) AS clusters FROM p CROSS JOIN i""")
 def cluster_bootstrap(spark, d):
     p = stats.contributions(*cluster_pairs(spark, d), K)
-    b = stats.bootstrap_hashed(p, K)
+    b = stats.bootstrap_hashed(p, K, replicates=10_000)
     return b.select(r6(F.col("estimate"), "estimate"), r6(F.col("lower"), "lower"), r6(F.col("upper"), "upper"), "clusters")
 
 
-@query(PAIRS + """, q AS (SELECT r, d, CAST('0x' || substr(sha256('2026|' || CAST(r AS VARCHAR) || '|' || CAST(series_id AS VARCHAR)), 1, 8) AS UBIGINT) / 4294967296.0 AS u FROM p CROSS JOIN (SELECT unnest(generate_series(1, 200)) AS r)),
-    m AS (SELECT r, avg(CASE WHEN u < 0.5 THEN -d ELSE d END) AS m FROM q GROUP BY r) SELECT round((count(*) FILTER (WHERE abs(m) >= (SELECT abs(avg(d)) FROM p)) + 1) / 201.0, 8) AS p_value FROM m""")
+@query(PAIRS + """, q AS (SELECT r, d, CAST('0x' || substr(sha256('2026|' || CAST(r AS VARCHAR) || '|' || CAST(series_id AS VARCHAR)), 1, 8) AS UBIGINT) / 4294967296.0 AS u FROM p CROSS JOIN (SELECT unnest(generate_series(1, 100000)) AS r)),
+    m AS (SELECT r, avg(CASE WHEN u < 0.5 THEN -d ELSE d END) AS m FROM q GROUP BY r) SELECT round((count(*) FILTER (WHERE abs(m) >= (SELECT abs(avg(d)) FROM p)) + 1) / 100001.0, 8) AS p_value FROM m""")
 def sign_permutation(spark, d):
     p = stats.contributions(*cluster_pairs(spark, d), K)
-    return stats.sign_permutation_hashed(p, K).select(F.round("p_value", 8).alias("p_value"))
+    return stats.sign_permutation_hashed(p, K, replicates=100_000).select(F.round("p_value", 8).alias("p_value"))
 
 
 @query()
 def cluster_bootstrap_pcg64(spark, d):
     """The exact form: PCG64 draws over clusters in key order."""
-    return stats.bootstrap_exact(stats.contributions(*cluster_pairs(spark, d), K), K, replicates=2000)
+    return stats.bootstrap_exact(stats.contributions(*cluster_pairs(spark, d), K), K, replicates=10_000)
 
 
 @query()
 def sign_permutation_pcg64(spark, d):
-    return stats.sign_permutation_exact(stats.contributions(*cluster_pairs(spark, d), K), K, replicates=5000)
+    return stats.sign_permutation_exact(stats.contributions(*cluster_pairs(spark, d), K), K, replicates=100_000)
 
 
 @query(PAIRS + """ SELECT false AS preservation_pass, true AS restoration_pass, round(avg(d), 6) AS erasure_estimate, false AS supported FROM p""")
@@ -940,7 +940,7 @@ def linear_forecaster_scores(spark, d):
 
 @query()
 def wavelet_shrinkage(spark, d):
-    p = scorers.filter_packed(packed_windows(spark, d), kernels.wavelet_shrink, levels=2)
+    p = scorers.filter_packed(packed_windows(spark, d), kernels.wavelet_shrink)
     return p.select(*KW, F.round(F.aggregate("output", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
@@ -1011,11 +1011,16 @@ def witness_verification(spark, d):
 
 
 def demo_controller() -> ct.Controller:
-    return ct.Controller([scorers.Witness("A", scorers.magnitude, 100.0), scorers.Witness("B", scorers.SCORERS["last_value"], 10000.0, 1)], ct.ControllerSettings(dilation=1, padding=0, tile=4, max_changed=0.9))
+    """Two witnesses and the settings' own defaults."""
+    return ct.Controller([scorers.Witness("A", scorers.magnitude, 2.5), scorers.Witness("B", scorers.SCORERS["last_value"], 14.0, 1)])
 
 
 def packed_signals(spark, d):
-    p = packed_windows(spark, d).withColumnRenamed("values", "observation")
+    """Windows of 512 of suppliers' scaled prices: observation, a repaired and a classical candidate."""
+    x = ((F.col("l_extendedprice") - 36000) / 23000).cast("double")
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("series_id"), "l_orderkey", "l_linenumber", x.alias("value"))
+    p = wn.full_windows(wn.number_samples(p, K, ["l_orderkey", "l_linenumber"]), K, 512)
+    p = wn.spread(wn.pack(p, KW, ["value"]), KW).withColumnRenamed("value", "observation")
     p = scorers.filter_packed(p, kernels.median3, "observation", "candidate")
     return scorers.filter_packed(p, scorers.METHODS["moving_average_w9"], "observation", "classical")
 
@@ -1110,23 +1115,22 @@ def median_diagnostic(spark, d):
 
 def demo_conditions(spark, d):
     p = packed_windows(spark, d).withColumn("domain", F.when(F.col("series_id") % 2 == 0, "even").otherwise("odd")).withColumn("identity", F.lit(False))
-    return benchmark.conditions(p, "bench", ("gaussian", "impulse"), (0.5,))
+    return benchmark.conditions(p, "bench")
 
 
 @query()
 def benchmark_waveforms(spark, d):
-    s = benchmark.summary(benchmark.waveform_rows(demo_conditions(spark, d), ["corrupted_input", "median_w3", "moving_average_w9"]))
+    s = benchmark.summary(benchmark.waveform_rows(demo_conditions(spark, d)))
     return s.select("method", r6(F.col("overall_os_nrmse"), "overall_os_nrmse"), r6(F.col("anomaly_os_nrmse"), "anomaly_os_nrmse"))
 
 
 @query()
 def benchmark_witnesses(spark, d):
-    r = benchmark.witness_rows(demo_conditions(spark, d), [scorers.Witness("A", scorers.magnitude, 100.0)], ["corrupted_input", "median_w3"])
+    r = benchmark.witness_rows(demo_conditions(spark, d), [scorers.Witness("A", scorers.magnitude, 100.0), scorers.Witness("B", scorers.SCORERS["last_value"], 10000.0, 1)])
     return benchmark.evidence_summary(r).withColumn("retained_percent", F.round("retained_percent", 6))
 
 
 @query()
 def benchmark_tuning(spark, d):
     c = demo_conditions(spark, d)
-    grid = tuple({"wavelet": "haar", "mode": m, "multiplier": k, "levels": 2} for m in ("soft", "hard") for k in (0.5, 1.0))
-    return benchmark.tune(c, grid, kernels.wavelet_shrink).withColumn("os_nrmse", F.round("os_nrmse", 6))
+    return benchmark.tune(c, benchmark.WAVELET_GRID, kernels.wavelet_shrink).withColumn("os_nrmse", F.round("os_nrmse", 6))

@@ -24,6 +24,8 @@ SIGNAL_NAMES = ("value", "signal", "data", "observation")
 LABEL_NAMES = ("label", "labels", "is_anomaly", "anomaly", "class")
 #: Limits of an upload.
 UPLOAD_LEAST, UPLOAD_MOST = 64, 250_000
+#: Most domains that an archive scan is given.
+MOST_DOMAINS = 100_000
 
 
 def resolve_column(requested: str | None, columns: list[str], usual: tuple[str, ...]) -> str | None:
@@ -92,8 +94,18 @@ def read_archive(spark: SparkSession, path: str, domains: DataFrame | None = Non
     """(member, fields of its name, signal, labels) of the CSV members of ZIP archives, listed and read by
     executors; names are parsed, and domains tested, before a member is read. Blank signals are refused; a positive
     label is any number but zero."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    wanted = None if domains is None else [(r["source_collection"], r["domain"]) for r in domains.limit(1000).collect()]
+    return archive_members(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content"), domains)
+
+
+def archive_members(files: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+    """read_archive for archives (path, content) at hand. domains (source_collection, domain) are few: AuditError beyond
+    MOST_DOMAINS, none is dropped. An archive is one cell, so it must be below 2 GB."""
+    wanted = None
+    if domains is not None:
+        rows = domains.select("source_collection", "domain").distinct().limit(MOST_DOMAINS + 1).collect()
+        if len(rows) > MOST_DOMAINS:
+            raise AuditError(f"more than {MOST_DOMAINS} domains")
+        wanted = {(r["source_collection"], r["domain"]) for r in rows}
 
     def run(batches):
         import re
@@ -105,7 +117,7 @@ def read_archive(spark: SparkSession, path: str, domains: DataFrame | None = Non
                     for info in sorted(z.infolist(), key=lambda i: i.filename):
                         name = posixpath.basename(info.filename)
                         m = re.match(validate.FILE_NAME, name)
-                        if m is None or (wanted is not None and not any(c == m[2] and d in (None, m[4]) for c, d in wanted)):
+                        if m is None or (wanted is not None and (m[2], None) not in wanted and (m[2], m[4]) not in wanted):
                             continue
                         signal, labels = parse_member(z.read(info).decode("utf-8-sig"), name)
                         rows.append((archive, info.filename, name, m[2], int(m[3]), m[4], int(m[5]), int(m[6]), signal, labels))
@@ -133,7 +145,11 @@ def parse_member(text: str, name: str) -> tuple[list[float], list[int]]:
 
 def read_npz_cases(spark: SparkSession, path: str, signal: str = "signal", label: str = "labels") -> DataFrame:
     """(path, values, labels) of npz cases: 64 samples at least, not constant, labels optional."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return npz_cases(spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path).select("path", "content"), signal, label)
+
+
+def npz_cases(files: DataFrame, signal: str = "signal", label: str = "labels") -> DataFrame:
+    """read_npz_cases for files (path, content) at hand."""
 
     def run(batches):
         for pdf in batches:
@@ -167,7 +183,8 @@ def read_replay(spark: SparkSession, path: str, digest: str | None = None, n_con
 def read_traces(spark: SparkSession, path: str, expected: dict[str, int]) -> DataFrame:
     """Audit traces (domain, condition_id, method, values); AuditError unless each domain has its number of conditions."""
     df = spark.read.parquet(path)
-    counts = {r["domain"]: r["n"] for r in df.groupBy("domain").agg(F.count_distinct("condition_id").alias("n")).limit(1000).collect()}
+    found = df.groupBy("domain").agg(F.count_distinct("condition_id").alias("n")).limit(len(expected) + 1).collect()
+    counts = {r["domain"]: r["n"] for r in found}
     if counts != expected:
         raise AuditError(f"conditions by domain differ: {counts}")
     return df
@@ -221,10 +238,14 @@ def upload(spark: SparkSession, values: list[float], labels: list | None = None,
     return spark.createDataFrame(pdf, "series_id string, t long, t_raw string, value double, label boolean")
 
 
-def read_config(path: str, required: tuple[str, ...] = ()) -> dict:
-    """A JSON object on the driver; AuditError if it is none or lacks a key."""
-    with open(path, encoding="utf-8") as file:
-        value = json.load(file)
+def read_config(path: str, required: tuple[str, ...] = (), spark: SparkSession | None = None) -> dict:
+    """A JSON object on the driver; AuditError if it is none or lacks a key. With a session the path may be anywhere
+    that Spark reads."""
+    if spark is not None:
+        value = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(2).collect()))
+    else:
+        with open(path, encoding="utf-8") as file:
+            value = json.load(file)
     if not isinstance(value, dict) or set(required) - set(value):
         raise AuditError(f"{path}: not an object with {required}")
     return value

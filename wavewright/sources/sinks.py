@@ -16,10 +16,10 @@ from ..functions.errors import AuditError
 from ..operators.digests import table_digest
 
 
-def write_case_csv(df: DataFrame, path: str) -> None:
-    """time, value, label with 17 significant digits, one file for each series."""
-    rows = df.select("series_id", F.col("t").alias("time"), F.format_string("%.17g", "value").alias("value"), F.col("label").cast("int").alias("label"))
-    rows.repartition("series_id").sortWithinPartitions("series_id", "time").write.mode("errorifexists").partitionBy("series_id").csv(path, header=True)
+def write_case_csv(df: DataFrame, path: str, folder: str = "series_id") -> None:
+    """time, value, label with 17 significant digits, one file for each series, in a folder named for it."""
+    rows = df.select(F.col("series_id").alias(folder), F.col("t").alias("time"), F.format_string("%.17g", "value").alias("value"), F.col("label").cast("int").alias("label"))
+    rows.repartition(folder).sortWithinPartitions(folder, "time").write.mode("errorifexists").partitionBy(folder).csv(path, header=True)
 
 
 def write_cases(df: DataFrame, path: str, by: list[str] | None = None) -> None:
