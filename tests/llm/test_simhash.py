@@ -157,3 +157,16 @@ def test_a_hub_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_pieces_of_a_large_shard_meet_once(spark):
+    rows = spark.range(200).select(F.lit(1).alias("key"), F.lit(5).cast("long").alias("pieces"), F.col("id").alias("node"))
+    dealt = simhash.pairs_of_pieces(rows, "key", ["node"]).collect()
+    shards = {}
+    for r in dealt:
+        shards.setdefault(r["shard"], []).append((r["node"], r["role"]))
+    met = []
+    for members in shards.values():
+        assert len({role for _, role in members} & {0, 1, 2}) <= 2 and len(members) < 120
+        met += [tuple(sorted((u, v))) for u, a in members for v, b in members if (a, b) == (2, 1) or (a, b) == (0, 0) and u < v]
+    assert len(dealt) == 1000 and len(met) == len(set(met)) == 200 * 199 // 2

@@ -8,7 +8,8 @@ its own distance. A tree travels by shuffle to the tasks that probe it, not by b
 fingerprints of all documents, which a broadcast would gather on the driver.
 
 A shard above ``SHARD_LIMIT`` is dealt again by blocks of its remaining bits, and what is still too large
-is cut into several trees that all members probe, so no shard is gathered whole and no link is lost.
+is cut into pieces. One piece of each pair probes the tree of the other in a task of the pair's own, so no shard is
+gathered whole, neither as trees nor as probes, and no link is lost.
 Each task reduces its links to a spanning forest before it writes them.
 """
 
@@ -184,6 +185,15 @@ def _deal(rows: DataFrame, level: int, radius: int) -> DataFrame:
     return arrow_map(rows, "path long, agreed long, node long, fp long", of)
 
 
+def pairs_of_pieces(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows (key, pieces, node, columns) -> (shard, columns, role): each node falls into one of its key's pieces, and
+    each two pieces, or one with itself, are a shard. Role 1 stands in the shard's tree, 2 probes it, 0 does both; so
+    each two nodes of a key meet in one shard, and a shard has two pieces at most."""
+    dealt = rows.withColumn("a", F.expr("pmod(xxhash64(node, 7), pieces)")).withColumn("b", F.explode(F.expr("sequence(0L, pieces - 1)")))
+    role = F.when(F.col("a") == F.col("b"), 0).when(F.col("a") < F.col("b"), 1).otherwise(2)
+    return dealt.select(F.xxhash64(key, F.least("a", "b"), F.greatest("a", "b")).alias("shard"), *columns, role.alias("role"))
+
+
 def near_links(classes: DataFrame, radius: int = 3, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """(node, fp), distinct fp -> links (u, v) that connect exactly what fingerprints within the radius connect.
 
@@ -203,11 +213,9 @@ def near_links(classes: DataFrame, radius: int = 3, shard_limit: int = SHARD_LIM
         ready.append(rows.join(large, ["path", "value"], "left_anti").select(shard, "node", "fp", role))
         rows = cut(rows.join(large, ["path", "value"]).select("path", "agreed", "node", "fp", "count"))
         if level == LEVELS - 1:
-            trees = F.ceil(F.col("count") / shard_limit).cast("long")
-            rows = rows.select("node", "fp", F.xxhash64(F.lit(level), *key).alias("base"), trees.alias("trees"))
-            own = F.expr("pmod(xxhash64(node, 7), trees)")
-            ready.append(rows.select(F.xxhash64("base", own).alias("shard"), "node", "fp", F.lit(1).alias("role")))
-            ready.append(rows.select(F.explode(F.expr("sequence(0L, trees - 1)")).alias("t"), "base", "node", "fp").select(F.xxhash64("base", "t").alias("shard"), "node", "fp", F.lit(2).alias("role")))
+            pieces = F.ceil(F.col("count") / shard_limit).cast("long")
+            rows = rows.select("node", "fp", F.xxhash64(F.lit(level), *key).alias("base"), pieces.alias("pieces"))
+            ready.append(pairs_of_pieces(rows, "base", ["node", "fp"]))
             break
         rows = rows.drop("count")
     out = ready[0]
