@@ -494,3 +494,54 @@ def test_unet():
     assert nw.convolve(y, w, b) == pytest.approx(np.array(plain)) and nw.convolve(y, w, b, 2) == pytest.approx(np.array(plain)[:, ::2])
     assert nw.resize(np.array([[0.0, 1.0]]), 4)[0].tolist() == [0.0, 0.25, 0.75, 1.0]
     assert nw.norm_groups(6, 4) == 3
+
+
+def test_patch_discriminator():
+    from wavewright.functions import networks as nw
+
+    rng = np.random.default_rng(3)
+    shape = nw.PatchShape(base=4, layers=2, widest=8, groups=4)
+    w = nw.random_patch_weights(shape)
+    x, y = rng.normal(size=(2, 37))
+
+    def conv(h, name, stride):
+        k, b = w[f"{name}.w"], w[f"{name}.b"]
+        half, n = k.shape[2] // 2, -(-h.shape[1] // stride)
+        at = lambda c, t: h[c, t] if 0 <= t < h.shape[1] else 0.0
+        return np.array([[b[o] + sum(k[o, c, j] * at(c, t * stride + j - half) for c in range(k.shape[1]) for j in range(k.shape[2])) for t in range(n)] for o in range(k.shape[0])])
+
+    leaky = lambda h: np.maximum(h, 0.2 * h)
+    h = leaky(conv(np.stack([x, y]), "level0", 2))
+    h = conv(h, "level1", 2)
+    for g in range(4):
+        part = h[2 * g : 2 * g + 2]
+        h[2 * g : 2 * g + 2] = (part - part.mean()) / np.sqrt(part.var() + 1e-5)
+    expected = conv(leaky(conv(leaky(h), "mix", 1)), "out", 1)[0]
+    assert nw.PatchDiscriminator(w, shape)(x, y) == pytest.approx(expected)
+    assert nw.parameter_count(w) == 4 * 2 * 7 + 4 + 8 * 4 * 7 + 8 + 16 + 8 * 8 * 5 + 8 + 8 * 3 + 1
+    for bad in ((x, y[:-1]), (x, np.full(37, np.nan))):
+        with pytest.raises(AuditError):
+            nw.PatchDiscriminator(w, shape)(*bad)
+
+
+def test_responses_of_incomplete_rows(spark):
+    from wavewright.plans import analysis
+
+    rows = [(2, [0.7, 0.4], None, None, None), (2, [0.7], ["a", "b"], [0.1, 0.2], "said"), (0, None, ["x"], None, None)]
+    df = spark.createDataFrame(rows, "n int, risk array<double>, level array<string>, uncertainty array<double>, interpretation string")
+    out = analysis.cues_response(analysis.concern_response(df)).collect()
+    assert [r["values"] for r in out] == [[0.7, 0.4], [0.0, 0.0], []]
+    assert [r["levels"] for r in out] == [["high", "medium"], ["a", "b"], []]
+    assert [r["disagreement"] for r in out] == [[0.0, 0.0], [0.1, 0.2], []]
+    assert [r["interpretation"] for r in out] == [analysis.INTERPRETATION, "said", analysis.INTERPRETATION]
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from wavewright.__main__ import main
+
+    assert main(["queries"]) == 0 and '"flagship' not in capsys.readouterr().out
+    assert main(["run", "label_parsing", sf, str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+    assert main(["run", "nothing", sf, str(tmp_path / "other")]) == 1
+    assert main(["package", str(tmp_path / "to"), "no digest"]) == 1
+    assert main(["smoke", sf]) == 0

@@ -1,4 +1,4 @@
-"""NumPy forward pass of a one-dimensional residual U-Net, for weights that a user brings.
+"""NumPy forward passes of a one-dimensional residual U-Net and of a patch discriminator, for weights that a user brings.
 
 Weights are a flat dictionary of arrays: ``<block>.<part>.w`` [out, in, taps], ``.b`` [out], and for normalised parts
 ``.gain`` and ``.shift`` [out]. Blocks are ``stem``, ``down0`` ..., ``up0`` ... (deepest first, with a ``project`` part) and
@@ -51,15 +51,23 @@ def convolve(x: np.ndarray, w: np.ndarray, b: np.ndarray, stride: int = 1) -> np
     return np.einsum("oik,itk->ot", w, frames, optimize=True) + b[:, None]
 
 
+def group_norm(h: np.ndarray, groups: int, gain: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    g = h.reshape(norm_groups(h.shape[0], groups), -1)
+    h = ((g - g.mean(axis=1, keepdims=True)) / np.sqrt(g.var(axis=1, keepdims=True) + 1e-5)).reshape(h.shape)
+    return h * gain[:, None] + shift[:, None]
+
+
+def parameter_count(weights: dict[str, np.ndarray]) -> int:
+    return sum(int(np.size(x)) for x in weights.values())
+
+
 class TemporalUNet:
     def __init__(self, weights: dict[str, np.ndarray], shape: UNetShape | None = None):
         self.w, self.shape = weights, shape or UNetShape()
 
     def _part(self, x: np.ndarray, name: str, stride: int = 1) -> np.ndarray:
         h = convolve(x, self.w[f"{name}.w"], self.w[f"{name}.b"], stride)
-        g = h.reshape(norm_groups(h.shape[0], self.shape.groups), -1)
-        h = ((g - g.mean(axis=1, keepdims=True)) / np.sqrt(g.var(axis=1, keepdims=True) + 1e-5)).reshape(h.shape)
-        h = h * self.w[f"{name}.gain"][:, None] + self.w[f"{name}.shift"][:, None]
+        h = group_norm(h, self.shape.groups, self.w[f"{name}.gain"], self.w[f"{name}.shift"])
         return h / (1 + np.exp(-h))
 
     def _block(self, x: np.ndarray, name: str, stride: int = 1, drop: np.random.Generator | None = None) -> np.ndarray:
@@ -103,3 +111,56 @@ def random_weights(shape: UNetShape, seed: int = 0, out_scale: float = 0.0) -> d
         block(f"up{k}", 2 * c[level], c[level])
     add("out", c[0], 1, 1, normed=False, scale=out_scale)
     return w
+
+
+@dataclass(frozen=True)
+class PatchShape:
+    base: int = 16
+    layers: int = 3
+    widest: int = 128
+    groups: int = 4
+
+    def __post_init__(self):
+        if self.layers < 1 or self.base < 1:
+            raise AuditError("layers and width are positive")
+
+    def channels(self) -> list[int]:
+        return [min(self.base << level, self.widest) for level in range(self.layers)]
+
+
+class PatchDiscriminator:
+    """Scores of local patches of an (observation, candidate) pair; each level halves the time resolution.
+
+    Weights: ``level0`` ... (7 taps, stride 2; normalised with ``.gain`` and ``.shift`` from level 1 on), ``mix`` (5 taps)
+    and ``out`` (3 taps, one channel).
+    """
+
+    def __init__(self, weights: dict[str, np.ndarray], shape: PatchShape | None = None):
+        self.w, self.shape = weights, shape or PatchShape()
+
+    def _conv(self, h: np.ndarray, name: str, stride: int = 1) -> np.ndarray:
+        return convolve(h, self.w[f"{name}.w"], self.w[f"{name}.b"], stride)
+
+    def __call__(self, observation: np.ndarray, candidate: np.ndarray) -> np.ndarray:
+        pair = [np.asarray(x, np.float64) for x in (observation, candidate)]
+        if pair[0].ndim != 1 or pair[0].shape != pair[1].shape or not np.isfinite(pair).all():
+            raise AuditError("observation and candidate are finite series of one length")
+        h = np.stack(pair)
+        for level in range(self.shape.layers):
+            h = self._conv(h, f"level{level}", 2)
+            if level:
+                h = group_norm(h, self.shape.groups, self.w[f"level{level}.gain"], self.w[f"level{level}.shift"])
+            h = np.where(h > 0, h, 0.2 * h)
+        h = self._conv(h, "mix")
+        return self._conv(np.where(h > 0, h, 0.2 * h), "out")[0]
+
+
+def random_patch_weights(shape: PatchShape, seed: int = 0) -> dict[str, np.ndarray]:
+    rng, w, inner = np.random.default_rng(seed), {}, 2
+    parts = [(f"level{k}", c, 7) for k, c in enumerate(shape.channels())] + [("mix", shape.channels()[-1], 5), ("out", 1, 3)]
+    for name, outer, taps in parts:
+        w[f"{name}.w"], w[f"{name}.b"] = rng.normal(size=(outer, inner, taps)) * (inner * taps) ** -0.5, rng.normal(size=outer)
+        if name.startswith("level") and name != "level0":
+            w[f"{name}.gain"], w[f"{name}.shift"] = np.ones(outer), np.zeros(outer)
+        inner = outer
+    return w

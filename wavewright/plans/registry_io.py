@@ -377,3 +377,29 @@ def _totals(spark, d: str, scorer) -> DataFrame:
 
     p = scorers.score_packed(packed_windows(spark, d), scorer)
     return p.select(*KW, F.round(F.aggregate("scores", F.lit(0.0), lambda x, y: x + y), 3).alias("total"))
+
+
+# Responses --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {W()}, v AS (SELECT series_id, w, CASE WHEN series_id % 3 = 0 THEN 0.0 ELSE value / 100 END AS x, value / 200 AS y FROM win)
+    SELECT series_id, w, CAST(count_if(x >= 0.66) AS BIGINT) AS n_high, CAST(count_if(x >= 0.33 AND x < 0.66) AS BIGINT) AS n_medium, CAST(count_if(x < 0.33) AS BIGINT) AS n_low, round(sum(y), 6) AS changed, CAST(0 AS DOUBLE) AS moved,
+    'Inspection priority; not a calibrated probability.' AS interpretation FROM v GROUP BY ALL""")
+def response_fallbacks(spark, d):
+    """What responses show for windows whose concern has the wrong length in every third series."""
+    p = packed_windows(spark, d).withColumn("n", F.size("values"))
+    part = F.when(F.col("series_id") % 3 == 0, F.slice("values", 1, 5)).otherwise(F.col("values"))
+    p = p.select(*KW, "n", F.transform(part, lambda x: x / 100).alias("concern"), F.lit(None).cast("array<double>").alias("score_delta"), F.transform("values", lambda x: x / 200).alias("possible_suppression"))
+    out = analysis.cues_response(analysis.concern_response(p))
+    graded = [F.expr(f"cast(size(filter(levels, x -> x = '{k}')) as bigint)").alias(f"n_{k}") for k in ("high", "medium", "low")]
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda x, y: x + y), 6)
+    return out.select(*KW, *graded, total("score_change").alias("changed"), total("morphology").alias("moved"), "interpretation")
+
+
+@query("SELECT t, t BETWEEN 235 AND 257 AS label, true AS near FROM range(512) AS r(t)")
+def demo_case(spark, d):
+    """The synthetic labelled case: where its bump lies, and that its noise stays within six deviations."""
+    phase = F.col("t") * F.lit(12 * np.pi / 511)
+    bump = F.when(F.col("label"), 0.38 * F.pow(F.sin((F.col("t") - 235) * F.lit(np.pi / 22)), 2)).otherwise(0.0)
+    smooth = 0.72 * F.sin(phase) + 0.18 * F.sin(0.23 * phase + 0.7) + 0.0007 * F.col("t") + bump
+    return readers.demo_series(spark).select("t", "label", (F.abs(F.col("value") - smooth) < 6 * 0.012).alias("near"))
