@@ -84,6 +84,14 @@ def test_clustered_vectors_are_pruned():
     assert r.visits <= 6 and sizes.max() - sizes.min() <= 2
 
 
+def test_partitions_grow_with_the_table():
+    assert [ann.parts_for(n) for n in (0, 255, 512, 51_282, 2**22, 2**23, 2**24, 2**40)] == [1, 1, 2, 64, 64, 128, 256, 256]
+    rng = np.random.default_rng(2)
+    x = ann._unit(np.repeat(rng.normal(size=(256, 16)), 32, axis=0) * 3 + 0.3 * rng.normal(size=(8192, 16)))
+    r = ann.fit_router(x, ann.parts_for(2**40))
+    assert r.weights.shape[1] == 256 and r.visits <= 16
+
+
 def test_ties_and_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows_ = [(i, v, "s") for i in range(0, 40)] + [(3, v, "s"), (41, None, "s"), (42, [0.0, 0.0, 0.0], "s"), (44, [float("nan"), 1.0, 1.0], "s"), (45, [1.0, None, 2.0], "s"), (46, [1.0, 2.0], "s")]

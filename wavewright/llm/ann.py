@@ -23,6 +23,8 @@ from .vectors import by_length, matrix, valid_vectors
 
 #: Bound of the rows that the index is fitted on, least by a hash of the id.
 SAMPLE_ROWS = 8192
+#: Sample rows that a partition has at least.
+PART_SAMPLE = 32
 #: Rows of a partition that one task holds; larger partitions are cut into such pieces.
 PIECE_ROWS = 16384
 QUERY_PIECE = 4096
@@ -125,12 +127,19 @@ def _train(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, rounds:
     return w[:-1].astype(np.float64), w[-1].astype(np.float64)
 
 
+def parts_for(n: int) -> int:
+    """Partitions of n rows, a power of two: one for each 256 rows up to 64, then one for each 65,536 rows up to one for
+    each ``PART_SAMPLE`` rows of the sample, beyond which the sample could not tell them apart."""
+    few, many = (1 << max(0, (n // rows).bit_length() - 1) for rows in (256, 1 << 16))
+    return max(min(few, 64), min(many, SAMPLE_ROWS // PART_SAMPLE))
+
+
 def fit_router(sample: np.ndarray, parts: int, k: int = 5, target: float = TARGET, seed: int = 0) -> Router:
     """Fit on unit vectors. visits is measured as rows will be indexed: each in its most probable partition."""
     rng = np.random.default_rng(seed)
     x = np.unique(sample, axis=0)
     x = x[rng.permutation(len(x))]
-    parts = min(parts, 1 << max(0, (len(x) // 32).bit_length() - 1))
+    parts = min(parts, 1 << max(0, (len(x) // PART_SAMPLE).bit_length() - 1))
     if parts < 2:
         return Router(np.zeros((sample.shape[1], 1)), np.zeros(1), 1)
     graph = neighbour_graph(x, min(10, len(x) - 1))
@@ -210,8 +219,8 @@ def nearest(table: DataFrame, is_query: str, k: int = 5, parts: int | None = Non
     candidates while the table has more visits all partitions instead. A repeated id counts once, with the best score
     of any of its vectors; so does a repeated query. An empty table gives no rows.
 
-    A partition goes to as many tasks as its pieces and the queries that visit it fill; with a fixed number of
-    partitions and a fixed share of queries that work is rows times visiting queries, which visits keep down.
+    A partition goes to as many tasks as its pieces and the queries that visit it fill. The sample bounds the number of
+    partitions, so with a fixed share of queries that work ends up as rows times visiting queries, which visits keep down.
     """
     spark = table.sparkSession
     rows = valid_vectors(table, id_col, vec_col, nonzero=True).withColumn("dim", F.size("v"))
@@ -222,8 +231,7 @@ def nearest(table: DataFrame, is_query: str, k: int = 5, parts: int | None = Non
         if n > 4 * SAMPLE_ROWS:  # a first cut by hash, so that tasks send few rows on
             some = some.where(F.col("h") < int(2**64 * 4 * SAMPLE_ROWS / n) - 2**63)
         sample = some.orderBy("h").limit(SAMPLE_ROWS).toPandas()
-        wanted = parts or 1 << max(0, min(6, (n // 256).bit_length() - 1))
-        routers[d] = fit_router(_unit(np.stack(sample["v"].to_numpy())), wanted, k, target)
+        routers[d] = fit_router(_unit(np.stack(sample["v"].to_numpy())), parts or parts_for(n), k, target)
     if not routers:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     schema = "part long, dim int, vec_id long, v array<double>"
