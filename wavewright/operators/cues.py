@@ -13,6 +13,9 @@ from ..functions.errors import AuditError
 from . import filters, metrics
 from . import intervals as iv
 
+#: Decimal digits of a concern that count against the limits; later ones hang on the order of the terms of its sums.
+DIGITS = 12
+
 
 @dataclass(frozen=True)
 class CueSettings:
@@ -69,7 +72,8 @@ def morphology(df: DataFrame, keys: list[str], observation: str = "observation",
 
 def concern(df: DataFrame, keys: list[str], settings: CueSettings | None = None, order: str = "t") -> DataFrame:
     """Samples (observation, candidate, score_before, score_after, mad) with score_delta, suppression, emergence,
-    morphology, uncertainty, concern and level."""
+    morphology, uncertainty, concern and level. A concern that equals a limit up to the last bits of its sums reaches it.
+    """
     s = settings or CueSettings()
     delta = F.col("score_after") - F.col("score_before")
     out = morphology(df, keys, radius=s.match_radius, order=order).withColumn("score_delta", delta)
@@ -81,7 +85,8 @@ def concern(df: DataFrame, keys: list[str], settings: CueSettings | None = None,
     mixed = (s.score_weight * F.col("score_change") + s.morphology_weight * F.col("morphology") + s.uncertainty_weight * F.col("uncertainty")) / total
     out = filters.moving_average(out.withColumn("__c", mixed), keys, s.smoothing, "edge", "__c", "concern", order).drop("__c")
     out = out.withColumn("concern", clip01(F.col("concern")))
-    return out.withColumn("level", F.when(F.col("concern") >= s.high, "high").when(F.col("concern") >= s.medium, "medium").otherwise("low"))
+    graded = F.round("concern", DIGITS)
+    return out.withColumn("level", F.when(graded >= s.high, "high").when(graded >= s.medium, "medium").otherwise("low"))
 
 
 def concern_intervals(df: DataFrame, keys: list[str], order: str = "t") -> DataFrame:
