@@ -17,6 +17,8 @@ from .sets import paired_values
 
 #: Clusters that the exact forms gather into one task.
 MAX_CLUSTERS = 100_000
+#: Clusters that hashed sign draws hold in one row.
+PIECE = 512
 
 
 def contributions(left: DataFrame, right: DataFrame, keys: list[str], value: str = "value", relative: bool = False) -> DataFrame:
@@ -101,9 +103,20 @@ def bootstrap_hashed(d: DataFrame, keys: list[str], confidence: float = 0.95, re
 
 
 def sign_permutation_hashed(d: DataFrame, keys: list[str], replicates: int = 200, seed: int = 2026) -> DataFrame:
-    """(p_value), two-sided, with signs drawn by hash."""
-    drawn = _weights(d, keys, replicates, seed).withColumn("s", F.when(F.col("u") < 0.5, -1.0).otherwise(1.0))
-    null = drawn.groupBy("r").agg(F.avg(F.col("s") * F.col("d")).alias("m"))
+    """(p_value), two-sided, with signs drawn by hash: minus where _weights draws below 0.5, which the digest's first hex
+    digit tells.
+
+    Clusters are dealt into equal pieces on all tasks, as a table of few clusters is dear all the same; a piece takes
+    one replicate after the other, so that its sums stay in the processor's cache.
+    """
+    tasks = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = tasks * max(1, -(-d.count() // (tasks * PIECE)))
+    cluster = F.struct(F.concat_ws("|", F.lit(""), *keys).alias("k"), "d")
+    dealt = d.groupBy(F.pmod(F.xxhash64(*keys), F.lit(pieces)).alias("piece")).agg(F.collect_list(cluster).alias("p")).repartition(tasks)
+    drawn = dealt.select("p", F.explode(F.expr(f"sequence(1, {replicates})")).alias("r"))
+    drawn = drawn.select("r", F.concat(F.lit(f"{seed}|"), F.col("r").cast("string")).alias("head"), F.explode("p").alias("c"))
+    minus = F.sha2(F.concat("head", "c.k"), 256) < "8"
+    null = drawn.groupBy("r").agg(F.avg(F.when(minus, -F.col("c.d")).otherwise(F.col("c.d"))).alias("m"))
     centre = d.agg(F.abs(F.avg("d")).alias("c"))
     return null.join(F.broadcast(centre), F.lit(True)).agg(((F.count_if(F.abs("m") >= F.col("c")) + 1) / F.lit(replicates + 1.0)).alias("p_value"))
 
