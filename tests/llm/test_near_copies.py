@@ -100,3 +100,21 @@ def test_short_texts(spark):
     expected, pairs = components_of(texts)
     found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert len(pairs) > 20 and {r["doc_id"]: r["component_id"] for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("n_texts, least", [(10_000, 0.999), (5_000_000, 0.99)])
+def test_bands_of_fingerprints_find_pairs_on_the_limit(n_texts, least):
+    """Pairs of sets at a similarity of 0.8, or little above for few shingles, meet by bits of their fingerprints alone."""
+    rng = np.random.default_rng(9)
+    n_bands, bits = near_copies.plan(n_texts)
+    found = []
+    for k in range(600):
+        n = int(rng.integers(9, 300))
+        alone = n // 9
+        x = rng.integers(0, 2**63, n + alone, dtype=np.uint64)
+        a, b = (near_copies.fingerprints(np.sort(y)) for y in (x[alone:], x[:n]))
+        assert (n - alone) / (n + alone) >= 0.8
+        shared = near_copies.keys_of(np.stack([a, b]), n_bands, bits)
+        near = [int(c) for c in np.bitwise_count(a ^ b)[: near_copies.SENT]]
+        found.append((shared[0] == shared[1]).any() and near[0] <= near_copies.RADIUS and sum(near) <= near_copies.WIDE)
+    assert np.mean(found) >= least

@@ -1,12 +1,13 @@
 """SimHash near-dedup with verified similarity: one document of each group of near copies.
 
-A text is the set of its five-word shingles; equal sets collapse to one node. At a Jaccard similarity of 0.8 two
-64-bit SimHash fingerprints differ in about 10 bits, which no split into blocks of bits can find, so nodes are dealt
-into shards by ``BANDS`` bands of ``ROWS`` MinHash values instead: a pair at similarity 0.8 agrees on one with
-probability 0.9998. Each shard holds a BK-tree of the fingerprints, probes follow its edges within ``RADIUS``, and
-every pair found is measured on its whole sets before it links. First each node meets the least of each of its shards,
-which joins most groups at linear cost; then the shards that still hold several components are searched by their trees
-inside one task each, which writes only links that connect, so pairs are never written out.
+A text is the set of its five-word shingles; equal sets collapse to one node. At a Jaccard similarity of 0.8 two SimHash
+fingerprints differ in about 15 % of their bits, which no split of 64 bits into blocks can find, so a node has ``WORDS``
+fingerprints, and nodes are dealt into shards by bands of bits drawn from all of them (``plan`` says how many). Each shard
+holds a BK-tree of the first fingerprints, probes follow its edges within ``RADIUS``, and pairs within ``WIDE`` bits of
+the first ``SENT`` fingerprints are candidates. Every candidate is measured on its whole sets before it links. First each
+node meets its least candidate of each shard, which joins most groups at linear cost; then the groups of candidates that
+still hold several components are searched by their trees inside one task each, which writes only links that connect, so
+pairs are never written out.
 """
 
 from __future__ import annotations
@@ -17,18 +18,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, partitions_for
 from .components import connected_components
-from .simhash import BKForest, keep_least, links_of_repeats, pairs_of_pieces
+from .simhash import BKForest, _union, keep_least, links_of_repeats, pairs_of_pieces
 
 WIDTH, SIMILAR = 5, 0.8
-BANDS, ROWS = 16, 4
-#: Bits in which the fingerprints of a candidate pair may differ. At 0.8 about 15 % of 64 bits differ (angle of the sets'
-#: vectors: cosine 0.89), 10 in the mean with a deviation of 3; sets of few shingles come near 12.
-RADIUS = 26
+#: Fingerprints of a set, and those that travel with a band.
+WORDS, SENT = 16, 3
+#: Bands of bits at least, and bits of a band at least.
+BANDS, LEAST_BITS = 64, 10
+#: Unlike texts that a shard holds in the mean, about; bands get a bit more when the texts double.
+CROWD = 64
+#: Bits in which the first fingerprints of a candidate pair may differ, and the first ``SENT``. At 0.8 about 15 % differ
+#: (angle of the sets' vectors: cosine 0.89), of 64 bits 10 in the mean with a deviation of 3, of 192 bits 29 with 5; sets
+#: of few shingles come near 12 and 36. Of unlike texts half the bits differ, 96 of 192 with a deviation of 7.
+RADIUS, WIDE = 26, 66
 #: Members of a shard's tree; larger shards are cut into pieces, each pair of which is a shard of its own.
 SHARD_LIMIT = 8192
 #: Shingles of a shard's tree, for the same reason, and of a task's shards in the mean.
@@ -37,7 +44,10 @@ SHARD_SHINGLES = 8_000_000
 MOST_BROADCAST = 1_000_000
 _SPAN = 1 << 10
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS, _FACTORS = np.random.default_rng(6).integers(0, 2**63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASKS, _FACTORS = np.random.default_rng(6).integers(0, 2**63, (2, 1, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The eight bits of a byte, each in a byte of its own.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -57,39 +67,53 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A key for each band of a set; none for an empty set."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(found), _SPAN):  # bounded memory for very long texts
-        np.minimum(least, ((found[at : at + _SPAN] ^ _MASKS) * _FACTORS).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def fingerprints(found: np.ndarray) -> np.ndarray:
+    """``WORDS`` 64-bit SimHashes of a set of shingle hashes, each by a mixing of its own; zeros for an empty set."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(found), 255):  # a lane counts to 255; memory is bounded for very long texts
+        h = (found[at : at + 255, None] ^ _MASKS) * _FACTORS
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        h ^= h >> np.uint64(29)
+        counts += _LANES[h.astype("<u8").view(np.uint8)].sum(axis=0).astype("<u8").view(np.uint8)
+    return np.packbits(2 * counts > len(found), bitorder="little").view("<u8")
+
+
+def plan(n: int) -> tuple[int, int]:
+    """(bands, bits of a band) for n texts: of bits that agree with probability 0.83, less than at a similarity of 0.8
+    (0.85), one band agrees with probability 0.999."""
+    bits = max(LEAST_BITS, round(float(np.log2(max(n, 1) / CROWD))))
+    return max(BANDS, int(np.ceil(np.log(0.001) / np.log1p(-(0.83**bits))))), bits
 
 
-def fingerprint(found: np.ndarray) -> int:
-    """64-bit SimHash of a set of shingle hashes; 0 for an empty set."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(found), 1 << 16):  # bounded memory for very long texts
-        counts += np.unpackbits(found[at : at + (1 << 16)].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<u8")[0])
+def keys_of(fps: np.ndarray, n_bands: int, bits: int) -> np.ndarray:
+    """Fingerprints (n, WORDS) -> the key of each band (n, n_bands): its number and its bits."""
+    at = np.stack([np.random.default_rng((7, k)).permutation(64 * WORDS)[:bits] for k in range(n_bands)])
+    out = np.empty((len(fps), n_bands), np.int64)
+    for i in range(0, len(fps), 512):
+        b = np.unpackbits(np.ascontiguousarray(fps[i : i + 512], "<u8").view(np.uint8), axis=1, bitorder="little")
+        out[i : i + 512] = b[:, at].astype(np.int64) @ (np.int64(1) << np.arange(bits))
+    return out | (np.arange(n_bands, dtype=np.int64) << 40)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key for each of ``BANDS`` bands of a set; none for an empty set."""
+    return keys_of(fingerprints(found)[None], BANDS, LEAST_BITS)[0] if len(found) else np.zeros(0, np.int64)
 
 
 def _of_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest of the set, n shingles, fingerprint, keys of its bands): one row per input row."""
+    """(doc_id, digest of the set, n shingles, fingerprints): one row per input row."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, sizes, fps, keys = [], [], [], []
+        digests, sizes, fps = [], [], []
         for t in batch.column(1):
             found = shingles(t.as_py())
             digests.append(xxhash.xxh128_digest(found.tobytes()))
             sizes.append(len(found))
-            fps.append(fingerprint(found))
-            keys.append(bands(found))
-        columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.record_batch(columns, names=["doc_id", "digest", "n", "fp", "keys"])
+            fps.append(fingerprints(found).view(np.int64))
+        columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
+        return pa.record_batch(columns, names=["doc_id", "digest", "n", "fps"])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id long, digest binary, n long, fp long, keys array<long>", of)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id long, digest binary, n long, fps array<long>", of)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -112,40 +136,119 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("both") >= F.lit(SIMILAR) * (F.col("sum") - F.col("both"))).select("u", "v")
 
 
-def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, node, component, fp, role, band, keys, shingles) of whole shards -> links (u, v) that connect what
-    similar pairs of different components connect. Role 1 only stands in the tree, 2 only probes, 0 does both; members
-    of role 0 share no shard with others.
+def _in_bands(classes: DataFrame, n_bands: int, bits: int) -> DataFrame:
+    """(key, node, a, b, c) of each band of each node that has shingles; a, b, c are its first fingerprints."""
 
-    A pair is measured in the first band that it agrees on, and not at all once it is connected, so a task writes no
-    more links than members.
-    """
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    shard = np.unique(table["shard"].to_numpy(), return_inverse=True)[1]
-    node, role, band = (table[c].to_numpy() for c in ("node", "role", "band"))
-    label = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
-    fps = table["fp"].to_numpy().view(np.uint64)
-    keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    lists = table["shingles"].combine_chunks()
-    flat, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
-    size = np.diff(ends)
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = _words(batch.column(1))
+        columns = [pa.array(keys_of(fps, n_bands, bits).ravel()), *(pa.array(np.repeat(x, n_bands)) for x in (batch.column(0).to_numpy(), *fps[:, :SENT].view(np.int64).T))]
+        return pa.record_batch(columns, names=["key", "node", "a", "b", "c"])
+
+    return arrow_map(classes.where("n > 0").select("node", "fps"), "key long, node long, a long, b long, c long", of)
+
+
+def _words(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
+
+
+def _probe_all(shard: np.ndarray, fps: np.ndarray, role: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (probe, tree member) within ``RADIUS``, so many at once that they fit memory; shard is dense."""
     trees, probes = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
     forest = BKForest(shard[trees], fps[trees])
     forest.root = np.r_[forest.root, np.full(int(shard.max()) + 1 - len(forest.root), -1)]
     load = np.cumsum(np.bincount(shard[trees], minlength=int(shard.max()) + 1)[shard[probes]])
-    us, vs, at = [], [], 0
-    while at < len(probes):  # so many probes at once that their hits fit memory
+    at = 0
+    while at < len(probes):
         end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + 1_000_000)))
         some = probes[at:end]
         i, j = forest.probe(shard[some], fps[some], RADIUS)
-        i, j = some[i], trees[j]
+        yield some[i], trees[j]
+        at = end
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, key, node, a, b, c, role) of whole shards -> (key, band, node, least) of the nodes with a candidate: the
+    key of the group that candidates connect inside the shard, and the node's least candidate or itself."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    raw = table["shard"].to_numpy()
+    shard = np.unique(raw, return_inverse=True)[1]
+    node, role = table["node"].to_numpy(), table["role"].to_numpy()
+    fps = [table[c].to_numpy().view(np.uint64) for c in "abc"]
+    label, least = np.arange(len(node)), node.copy()
+    hit = np.zeros(len(node), bool)
+    for i, j in _probe_all(shard, fps[0], role):
+        i, j = (x[node[i] != node[j]] for x in (i, j))
+        near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in fps) <= WIDE
+        i, j = i[near], j[near]
+        hit[i] = hit[j] = True
+        np.minimum.at(least, i, node[j])
+        np.minimum.at(least, j, node[i])
+        label = _union(label, i, j)
+    group = raw.view(np.uint64) ^ (node[label].view(np.uint64) + np.uint64(1)) * _MIX
+    columns = [group.view(np.int64), table["key"].to_numpy() >> 40, node, least]
+    yield pa.record_batch([pa.array(c[hit]) for c in columns], names=["key", "band", "node", "least"])
+
+
+def _members(classes: DataFrame, n_bands: int, bits: int, n: int, shard_limit: int) -> DataFrame:
+    """(key, band, node, least) of the candidates of all shards; see _candidates."""
+    rows, columns = _in_bands(classes, n_bands, bits), ["key", "node", "a", "b", "c"]
+    large = cut(rows.groupBy("key").count().where(F.col("count") > shard_limit).select("key", F.ceil(F.col("count") / shard_limit).cast("long").alias("pieces")))
+    if large.isEmpty():
+        dealt = rows.select(F.xxhash64("key").alias("shard"), *columns, F.lit(0).alias("role"))
+    else:
+        small = rows.join(F.broadcast(large), "key", "left_anti").select(F.xxhash64("key").alias("shard"), *columns, F.lit(0).alias("role"))
+        dealt = small.union(pairs_of_pieces(rows.join(F.broadcast(large), "key"), "key", columns))
+    return dealt.repartition(partitions_for(classes.sparkSession, n * n_bands, 1_000_000), "shard").mapInArrow(_candidates, "key long, band long, node long, least long")
+
+
+def _pairs_to_measure(table: pa.Table, label: np.ndarray, plan_of: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different components, near in size, in the first band that they agree on. Role 1 only stands in
+    the tree, 2 only probes, 0 does both; members of role 0 share no shard with others."""
+    shard = np.unique(table["shard"].to_numpy(), return_inverse=True)[1]
+    node, role, band, size = (table[c].to_numpy() for c in ("node", "role", "band", "n"))
+    words = _words(table["fps"].combine_chunks())
+    keys = keys_of(words, *plan_of)
+    for i, j in _probe_all(shard, np.ascontiguousarray(words[:, 0]), role):
         keep = ((role[i] == 2) | (node[i] < node[j])) & (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j]))
         i, j = i[keep], j[keep]
-        first = np.argmax(keys[i] == keys[j], axis=1) == band[i]
-        i, j = i[first], j[first]
+        keep = sum(np.bitwise_count(words[i, k] ^ words[j, k]).astype(np.int64) for k in range(SENT)) <= WIDE
+        i, j = i[keep], j[keep]
+        first = np.argmax(keys[i] == keys[j], axis=1) == band[i] if len(i) else np.zeros(0, bool)
+        yield i[first], j[first]
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch], plan_of: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, key, node, n, component, fps, role, band) of whole shards -> (key, node) of the rows with a pair to measure."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    wanted = np.zeros(table.num_rows, bool)
+    for i, j in _pairs_to_measure(table, table["component"].to_numpy(), plan_of):
+        wanted[i] = wanted[j] = True
+    yield pa.record_batch([pa.array(table[c].to_numpy()[wanted]) for c in ("key", "node")], names=["key", "node"])
+
+
+def _shard_links(batches: Iterator[pa.RecordBatch], plan_of: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, node, n, component, fps, role, band, shingles) of whole shards -> links (u, v) that connect what
+    similar pairs of different components connect.
+
+    A pair is not measured once it is connected, so a task writes no more links than members.
+    """
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    node = table["node"].to_numpy()
+    label = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+    lists = table["shingles"].combine_chunks()
+    flat, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+    size = np.diff(ends)
+    us, vs = [], []
+    for i, j in _pairs_to_measure(table, label, plan_of):
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
         for who, start, stop in zip(*_groups(i), strict=True):
@@ -161,7 +264,6 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         us.append(node[who])
                         vs.append(node[o])
                         label[label == label[o]] = label[who]
-        at = end
     yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
@@ -176,19 +278,26 @@ def _is_in(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return (sorted_set[at] == x).astype(np.int64)
 
 
-def _more_links(open_: DataFrame, sets: DataFrame, shard_limit: int) -> DataFrame:
-    """(u, v) of the rows (key, node, n, component, fp, band, keys) of mixed shards."""
-    columns = ["node", "component", "fp", "band", "keys", "shingles"]
-    pieces = F.greatest(F.ceil(F.count("*") / shard_limit), F.ceil(F.sum("n") / SHARD_SHINGLES)).cast("long")
-    load = cut(open_.groupBy("key").agg(pieces.alias("pieces"), F.sum("n").alias("shingles")))
+def _deal_open(rows: DataFrame, columns: list[str], shard_limit: int, shingles: Column) -> DataFrame:
+    """Rows (key, columns) dealt by shards of one key, or of two pieces of a large one."""
+    pieces = F.greatest(F.ceil(F.count("*") / shard_limit), F.ceil(F.sum(shingles) / SHARD_SHINGLES)).cast("long")
+    load = cut(rows.groupBy("key").agg(pieces.alias("pieces"), F.sum(shingles).alias("shingles")))
     large = load.where("pieces > 1").select("key", "pieces")
-    full = open_.join(sets, "node")
-    small = full.join(large, "key", "left_anti") if not large.isEmpty() else full
-    rows = small.select(F.xxhash64("key").alias("shard"), *columns, F.lit(0).alias("role"))
+    small = rows.join(large, "key", "left_anti") if not large.isEmpty() else rows
+    dealt = small.select(F.xxhash64("key").alias("shard"), *columns, F.lit(0).alias("role"))
     if not large.isEmpty():
-        rows = rows.union(pairs_of_pieces(full.join(large, "key"), "key", columns))
-    shingles_sent = load.agg(F.sum(F.col("shingles") * F.col("pieces")).cast("long")).first()[0] or 0
-    return rows.repartition(partitions_for(open_.sparkSession, shingles_sent, SHARD_SHINGLES), "shard").mapInArrow(_shard_links, "u long, v long")
+        dealt = dealt.union(pairs_of_pieces(rows.join(large, "key"), "key", columns))
+    sent = load.agg(F.sum(F.col("shingles") * F.col("pieces")).cast("long")).first()[0] or 0
+    return dealt.repartition(partitions_for(rows.sparkSession, sent, SHARD_SHINGLES), "shard")
+
+
+def _more_links(open_: DataFrame, classes: DataFrame, sets: DataFrame, shard_limit: int, plan_of: tuple[int, int]) -> DataFrame:
+    """(u, v) of the rows (key, node, component, band) of mixed groups; classes holds (node, n, fps). Sets are sent only to
+    the shards in which a pair of theirs is measured."""
+    columns = ["key", "node", "n", "component", "band", "fps"]
+    wanted = _deal_open(open_.join(classes, "node"), columns, shard_limit, F.lit(WORDS)).mapInArrow(lambda b: _open_rows(b, plan_of), "key long, node long")
+    full = cut(open_.join(cut(wanted.distinct()), ["key", "node"])).join(classes, "node").join(sets, "node")
+    return _deal_open(full, [*columns, "shingles"], shard_limit, F.col("n")).mapInArrow(lambda b: _shard_links(b, plan_of), "u long, v long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_limit: int = SHARD_LIMIT) -> DataFrame:
@@ -200,18 +309,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with different texts are one document and link those texts. An empty table gives no rows.
     """
     texts = cut(_of_texts(docs, id_col, text_col))
-    classes = cut(texts.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    rows = classes.select("node", "n", "fp", "keys", F.posexplode("keys").alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
-    members = cut(rows.join(buckets, "key"))
+    classes = cut(texts.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fps").alias("fps")))
+    n = classes.count()
+    n_bands, bits = plan(n)
+    members = cut(_members(classes, n_bands, bits, n, shard_limit))
     sets = _sets(docs, members.select("node").distinct(), id_col, text_col)
     links = cut(_similar(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), sets))
     parts = cut(connected_components(links))
 
-    placed = cut(members.join(parts, "node", "left").select("key", "band", "keys", "node", "n", "fp", "least", F.coalesce("component", "node").alias("component")))
+    placed = cut(members.join(parts, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")).distinct())
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    open_ = cut(placed.where("node <> least").join(mixed, "key"))  # the least has met all others
-    more = cut(_more_links(open_, sets, shard_limit))
+    open_ = cut(placed.join(mixed, "key"))
+    more = cut(_more_links(open_, classes.select("node", "n", "fps"), sets, shard_limit, (n_bands, bits)))
     found = [x for x in (None if more.isEmpty() else more, links_of_repeats(texts, classes, "digest")) if x is not None]
     if found:
         for x in found:
