@@ -118,3 +118,49 @@ def test_bands_of_fingerprints_find_pairs_on_the_limit(n_texts, least):
         near = [int(c) for c in np.bitwise_count(a ^ b)[: near_copies.SENT]]
         found.append((shared[0] == shared[1]).any() and near[0] <= near_copies.RADIUS and sum(near) <= near_copies.WIDE)
     assert np.mean(found) >= least
+
+
+def alike():
+    """140 texts alike, nearly all short of 0.8 among each other, and a copy with one edit of every seventh."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(140):
+        at = set(rng.choice(len(base), 8, replace=False).tolist())
+        texts[2 * i] = " ".join(f"x{i}" if k in at else w for k, w in enumerate(base))
+        if i % 7 == 0:
+            texts[2 * i + 1] = texts[2 * i] + " more"
+    return texts
+
+
+def test_alike_texts_are_dealt_once_and_not_for_each_band(spark, monkeypatch):
+    texts, dealt, deal = alike(), [], near_copies._deal_open
+    expected, pairs = components_of(texts)
+    assert len(pairs) >= 20 and len(set(expected.values())) > 100
+
+    def counted(rows, *more):
+        dealt.append(rows.count())
+        return deal(rows, *more)
+
+    monkeypatch.setattr(near_copies, "_deal_open", counted)
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == expected
+    assert dealt and max(dealt) <= len(texts)
+
+
+@pytest.mark.parametrize("limit, most_edges", [(128, near_copies.MOST_EDGES), (16, 10)])
+def test_alike_texts_in_pieces_and_by_bands(spark, monkeypatch, limit, most_edges):
+    """160 texts of one area are 5 pieces at a limit of 128, and too many pieces at 16, so that bands deal them."""
+    texts, by_bands, keyed = alike(), [], near_copies._keyed
+    expected, _ = components_of(texts)
+
+    def seen(*args):
+        rows = keyed(*args)
+        by_bands.append(not rows.where("band >= 0").isEmpty())
+        return rows
+
+    monkeypatch.setattr(near_copies, "_keyed", seen)
+    monkeypatch.setattr(near_copies, "MOST_EDGES", most_edges)
+    found = near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shard_limit=limit)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == expected
+    assert by_bands == [limit == 16]

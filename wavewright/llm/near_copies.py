@@ -5,8 +5,9 @@ fingerprints differ in about 15 % of their bits, which no split of 64 bits into
 fingerprints, and nodes are dealt into shards by bands of bits drawn from all of them (``plan`` says how many). Each shard
 holds a BK-tree of the first fingerprints, probes follow its edges within ``RADIUS``, and pairs within ``WIDE`` bits of
 the first ``SENT`` fingerprints are candidates. Every candidate is measured on its whole sets before it links. First each
-node meets its least candidate of each shard, which joins most groups at linear cost; then the groups of candidates that
-still hold several components are searched by their trees inside one task each, which writes only links that connect, so
+node meets two candidates, the least of the close ones and the nearest, which joins most groups at linear cost. Then the areas that candidates of all
+shards connect, and that still hold several components, are searched by trees of their own: a node is dealt once for its
+area and not for each band, sets go only to the shards that measure them, and tasks write only links that connect, so
 pairs are never written out.
 """
 
@@ -36,12 +37,21 @@ CROWD = 64
 #: (angle of the sets' vectors: cosine 0.89), of 64 bits 10 in the mean with a deviation of 3, of 192 bits 29 with 5; sets
 #: of few shingles come near 12 and 36. Of unlike texts half the bits differ, 96 of 192 with a deviation of 7.
 RADIUS, WIDE = 26, 66
+#: Bits in which the first ``SENT`` fingerprints of close candidates may differ.
+CLOSE = 45
+#: Bits in which all fingerprints of a pair that is measured may differ: at 0.8 about 154 of 1024 with a deviation of 11,
+#: for sets of few shingles up to 192 with 13.
+WIDEST = 290
 #: Members of a shard's tree; larger shards are cut into pieces, each pair of which is a shard of its own.
 SHARD_LIMIT = 8192
+#: Pieces of an area at most, each of a quarter of ``SHARD_LIMIT``, as its pairs are measured; larger areas are dealt by bands.
+MOST_PIECES = 16
 #: Shingles of a shard's tree, for the same reason, and of a task's shards in the mean.
 SHARD_SHINGLES = 8_000_000
 #: Up to so many nodes with a candidate, their ids are broadcast to find their texts; else the texts are shuffled.
 MOST_BROADCAST = 1_000_000
+#: Up to so many edges, one task joins them.
+MOST_EDGES = 1_000_000
 _SPAN = 1 << 10
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS, _FACTORS = np.random.default_rng(6).integers(0, 2**63, (2, 1, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,6 +139,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
     return sets if sets.count() == n else cut(sets.distinct())
 
 
+def _near_in_all(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes within ``WIDEST`` bits in all fingerprints; classes holds (node, n, fps)."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        apart = np.bitwise_count(_words(batch.column(2)) ^ _words(batch.column(3))).sum(axis=1, dtype=np.int64)
+        return batch.select([0, 1]).filter(pa.array(apart <= WIDEST))
+
+    fps = lambda end: classes.select(F.col("node").alias(end), F.col("fps").alias(f"of_{end}"))
+    return arrow_map(pairs.join(fps("u"), "u").join(fps("v"), "v").select("u", "v", "of_u", "of_v"), "u long, v long", of)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose whole sets have the similarity."""
     joined = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
@@ -167,57 +188,128 @@ def _probe_all(shard: np.ndarray, fps: np.ndarray, role: np.ndarray) -> Iterator
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, key, node, a, b, c, role) of whole shards -> (key, band, node, least) of the nodes with a candidate: the
-    key of the group that candidates connect inside the shard, and the node's least candidate or itself."""
+    """Rows (shard, node, a, b, c, role) of whole shards -> (node, group, close, nearest, apart) of the nodes with a candidate:
+    the group that the task's candidates connect, the node's least close candidate or itself, and its nearest in bits."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
     table = pa.Table.from_batches(batches)
-    raw = table["shard"].to_numpy()
-    shard = np.unique(raw, return_inverse=True)[1]
-    node, role = table["node"].to_numpy(), table["role"].to_numpy()
+    shard = np.unique(table["shard"].to_numpy(), return_inverse=True)[1]
+    ids, node = np.unique(table["node"].to_numpy(), return_inverse=True)
     fps = [table[c].to_numpy().view(np.uint64) for c in "abc"]
-    label, least = np.arange(len(node)), node.copy()
-    hit = np.zeros(len(node), bool)
-    for i, j in _probe_all(shard, fps[0], role):
-        i, j = (x[node[i] != node[j]] for x in (i, j))
-        near = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in fps) <= WIDE
-        i, j = i[near], j[near]
-        hit[i] = hit[j] = True
-        np.minimum.at(least, i, node[j])
-        np.minimum.at(least, j, node[i])
-        label = _union(label, i, j)
-    group = raw.view(np.uint64) ^ (node[label].view(np.uint64) + np.uint64(1)) * _MIX
-    columns = [group.view(np.int64), table["key"].to_numpy() >> 40, node, least]
-    yield pa.record_batch([pa.array(c[hit]) for c in columns], names=["key", "band", "node", "least"])
+    n = len(ids)
+    group, close, nearest = np.arange(n), np.arange(n), np.full(n, (64 * SENT + 1) * n)
+    for i, j in _probe_all(shard, fps[0], table["role"].to_numpy()):
+        apart = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in fps)
+        keep = (apart <= WIDE) & (node[i] != node[j])
+        i, j, apart = node[i[keep]], node[j[keep]], apart[keep]
+        for x, y in ((i, j), (j, i)):
+            np.minimum.at(close, x[apart <= CLOSE], y[apart <= CLOSE])
+            np.minimum.at(nearest, x, apart * n + y)
+        group = _union(group, i, j)
+    apart, nearest = np.divmod(nearest, n)
+    hit = apart <= WIDE
+    columns = [ids, ids[group], ids[close], ids[nearest], apart]
+    yield pa.record_batch([pa.array(c[hit]) for c in columns], names=["node", "group", "close", "nearest", "apart"])
 
 
 def _members(classes: DataFrame, n_bands: int, bits: int, n: int, shard_limit: int) -> DataFrame:
-    """(key, band, node, least) of the candidates of all shards; see _candidates."""
-    rows, columns = _in_bands(classes, n_bands, bits), ["key", "node", "a", "b", "c"]
+    """(node, group, close, nearest, apart) of the candidates of each task's shards; see _candidates."""
+    rows, columns = _in_bands(classes, n_bands, bits), ["node", "a", "b", "c"]
     large = cut(rows.groupBy("key").count().where(F.col("count") > shard_limit).select("key", F.ceil(F.col("count") / shard_limit).cast("long").alias("pieces")))
     if large.isEmpty():
         dealt = rows.select(F.xxhash64("key").alias("shard"), *columns, F.lit(0).alias("role"))
     else:
         small = rows.join(F.broadcast(large), "key", "left_anti").select(F.xxhash64("key").alias("shard"), *columns, F.lit(0).alias("role"))
         dealt = small.union(pairs_of_pieces(rows.join(F.broadcast(large), "key"), "key", columns))
-    return dealt.repartition(partitions_for(classes.sparkSession, n * n_bands, 1_000_000), "shard").mapInArrow(_candidates, "key long, band long, node long, least long")
+    return dealt.repartition(partitions_for(classes.sparkSession, n * n_bands, 1_000_000), "shard").mapInArrow(_candidates, "node long, group long, close long, nearest long, apart long")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) -> a spanning forest of the task's edges."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    u, v = (np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(2))
+    ids, at = np.unique(np.r_[u, v], return_inverse=True)
+    label = _union(np.arange(len(ids)), at[: len(u)], at[len(u) :])
+    linked = np.flatnonzero(label != np.arange(len(ids)))
+    yield pa.record_batch([pa.array(ids[label[linked]]), pa.array(ids[linked])], names=["u", "v"])
+
+
+def _chains(members: DataFrame, n_partitions: int) -> DataFrame:
+    """(u, v) that connect the nodes of members as their groups do: about an edge a node, not one for each task."""
+    edges = members.where("node <> group").select(F.col("group").alias("u"), F.col("node").alias("v"))
+    edges = cut(edges.repartition(n_partitions, "v").mapInArrow(_forest, "u long, v long"))
+    return cut(edges.coalesce(max(1, -(-edges.count() // MOST_EDGES))).mapInArrow(_forest, "u long, v long"))
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (u, v) -> (node, component) of their ends."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    u, v = (np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(2))
+    ids, at = np.unique(np.r_[u, v], return_inverse=True)
+    label = _union(np.arange(len(ids)), at[: len(u)], at[len(u) :])
+    yield pa.record_batch([pa.array(ids), pa.array(ids[label])], names=["node", "component"])
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """connected_components(edges); up to ``MOST_EDGES`` in one task, as each round of the stars writes files for every
+    partition."""
+    edges = cut(edges.where("u <> v"))
+    if edges.count() > MOST_EDGES:
+        return connected_components(edges)
+    return edges.coalesce(1).mapInArrow(_labels, "node long, component long")
+
+
+def _open(chains: DataFrame, placed: DataFrame) -> DataFrame:
+    """(node, component, area) of the nodes whose area, that is what chains connect, holds several components; placed
+    holds (node, component) of all nodes of chains."""
+    of = lambda end: placed.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    between = chains.join(of("u"), "u").join(of("v"), "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+    areas = _components(between).select(F.col("node").alias("component"), F.col("component").alias("area"))
+    return cut(placed.join(areas, "component"))
+
+
+def _keyed(open_: DataFrame, classes: DataFrame, limit: int, plan_of: tuple[int, int]) -> DataFrame:
+    """(key, node, component, band): rows of open_ with their area as key and band -1, or for the bands of a large area a key
+    each, where its members with equal bits are of several components."""
+    large = cut(open_.groupBy("area").count().where(F.col("count") > MOST_PIECES * limit).select("area"))
+    if large.isEmpty():
+        return open_.select(F.col("area").alias("key"), "node", "component", F.lit(-1).cast("long").alias("band"))
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [np.repeat(batch.column(k).to_numpy(), plan_of[0]) for k in range(3)]
+        return pa.record_batch([pa.array(c) for c in (*columns, keys_of(_words(batch.column(3)), *plan_of).ravel())], names=["area", "node", "component", "bits"])
+
+    inside = open_.join(F.broadcast(large), "area").join(classes.select("node", "fps"), "node").select("area", "node", "component", "fps")
+    banded = cut(arrow_map(inside, "area long, node long, component long, bits long", of).select(F.xxhash64("area", "bits").alias("key"), "node", "component", F.shiftright("bits", 40).alias("band")))
+    mixed = banded.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    small = open_.join(F.broadcast(large), "area", "left_anti")
+    return small.select(F.col("area").alias("key"), "node", "component", F.lit(-1).cast("long").alias("band")).union(banded.join(mixed, "key", "left_semi"))
 
 
 def _pairs_to_measure(table: pa.Table, label: np.ndarray, plan_of: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of different components, near in size, in the first band that they agree on. Role 1 only stands in
-    the tree, 2 only probes, 0 does both; members of role 0 share no shard with others."""
+    """Pairs of rows of different components, near in size and in all fingerprints; in shards of a band, only those for which
+    it is the first that they agree on. Role 1 only stands in the tree, 2 only probes, 0 does both; members of role 0 share
+    no shard with others."""
     shard = np.unique(table["shard"].to_numpy(), return_inverse=True)[1]
     node, role, band, size = (table[c].to_numpy() for c in ("node", "role", "band", "n"))
     words = _words(table["fps"].combine_chunks())
-    keys = keys_of(words, *plan_of)
+    keys = keys_of(words, *plan_of) if (band >= 0).any() else None
     for i, j in _probe_all(shard, np.ascontiguousarray(words[:, 0]), role):
         keep = ((role[i] == 2) | (node[i] < node[j])) & (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j]))
         i, j = i[keep], j[keep]
         keep = sum(np.bitwise_count(words[i, k] ^ words[j, k]).astype(np.int64) for k in range(SENT)) <= WIDE
         i, j = i[keep], j[keep]
-        first = np.argmax(keys[i] == keys[j], axis=1) == band[i] if len(i) else np.zeros(0, bool)
-        yield i[first], j[first]
+        keep = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= WIDEST
+        i, j = i[keep], j[keep]
+        if keys is not None and len(i):
+            keep = (band[i] < 0) | (np.argmax(keys[i] == keys[j], axis=1) == band[i])
+            i, j = i[keep], j[keep]
+        yield i, j
 
 
 def _open_rows(batches: Iterator[pa.RecordBatch], plan_of: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -292,12 +384,13 @@ def _deal_open(rows: DataFrame, columns: list[str], shard_limit: int, shingles:
 
 
 def _more_links(open_: DataFrame, classes: DataFrame, sets: DataFrame, shard_limit: int, plan_of: tuple[int, int]) -> DataFrame:
-    """(u, v) of the rows (key, node, component, band) of mixed groups; classes holds (node, n, fps). Sets are sent only to
-    the shards in which a pair of theirs is measured."""
-    columns = ["key", "node", "n", "component", "band", "fps"]
-    wanted = _deal_open(open_.join(classes, "node"), columns, shard_limit, F.lit(WORDS)).mapInArrow(lambda b: _open_rows(b, plan_of), "key long, node long")
-    full = cut(open_.join(cut(wanted.distinct()), ["key", "node"])).join(classes, "node").join(sets, "node")
-    return _deal_open(full, [*columns, "shingles"], shard_limit, F.col("n")).mapInArrow(lambda b: _shard_links(b, plan_of), "u long, v long")
+    """(u, v) of the rows (node, component, area) of open areas; classes holds (node, n, fps). Sets are sent only to the shards
+    in which a pair of theirs is measured."""
+    limit = max(1, shard_limit // 4)
+    keyed, columns = _keyed(open_, classes, limit, plan_of), ["key", "node", "n", "component", "band", "fps"]
+    wanted = _deal_open(keyed.join(classes, "node"), columns, limit, F.lit(WORDS)).mapInArrow(lambda b: _open_rows(b, plan_of), "key long, node long")
+    full = cut(keyed.join(cut(wanted.distinct()), ["key", "node"])).join(classes, "node").join(sets, "node")
+    return _deal_open(full, [*columns, "shingles"], limit, F.col("n")).mapInArrow(lambda b: _shard_links(b, plan_of), "u long, v long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_limit: int = SHARD_LIMIT) -> DataFrame:
@@ -313,19 +406,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = classes.count()
     n_bands, bits = plan(n)
     members = cut(_members(classes, n_bands, bits, n, shard_limit))
-    sets = _sets(docs, members.select("node").distinct(), id_col, text_col)
-    links = cut(_similar(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), sets))
-    parts = cut(connected_components(links))
-
-    placed = cut(members.join(parts, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component")).distinct())
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    open_ = cut(placed.join(mixed, "key"))
-    more = cut(_more_links(open_, classes.select("node", "n", "fps"), sets, shard_limit, (n_bands, bits)))
+    best = cut(members.groupBy("node").agg(F.min("close").alias("close"), F.min(F.struct("apart", "nearest"))["nearest"].alias("nearest")))
+    sets = _sets(docs, best.select("node"), id_col, text_col)
+    pairs = best.select("node", F.explode(F.array("close", "nearest")).alias("other")).where("node <> other")
+    pairs = pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    links = cut(_similar(cut(_near_in_all(pairs, classes)), sets))
+    parts = cut(_components(links))
+
+    placed = cut(best.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    chains = _chains(members, partitions_for(docs.sparkSession, n * n_bands, 1_000_000))
+    more = cut(_more_links(_open(chains, placed), classes.select("node", "n", "fps"), sets, shard_limit, (n_bands, bits)))
     found = [x for x in (None if more.isEmpty() else more, links_of_repeats(texts, classes, "digest")) if x is not None]
     if found:
         for x in found:
             links = links.union(x)
-        parts = connected_components(links)
+        parts = _components(links)
     of_text = classes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return texts.select("doc_id", "digest").join(of_text, "digest", "left").select("doc_id", "component_id")
 
